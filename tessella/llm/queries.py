@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid_ppm, media_avi, mixing, packing, quality_gam, sharding, simhash, suffix_dedup
+from . import embedding_dedup, langid_ppm, media_avi, mixing, packing, quality_gam, sharding, simhash, substring_recompression, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.media_rows(_documents(spark, sf_dir)).drop("clips")
 
 
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_recompression.earlier_passages(_documents(spark, sf_dir)).drop("spans")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
     "op3_media_avi": op3_media_avi,
+    "op4_recompression": op4_recompression,
     "op5_mixing": op5_mixing,
     "op6_quality_gam": op6_quality_gam,
     "op7_packing": op7_packing,
