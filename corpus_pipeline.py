@@ -1,12 +1,69 @@
-"""Corpus pipeline: language ID, near-dedup, repeated passages, mixture, packing."""
+"""Corpus pipeline: language ID, SimHash near-dedup, repeated passages, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of ``documents``;
+the last returns the packed pieces.
+
+* ``language_id``: documents whose text has no language (``und``) or whose posterior is under one half go.
+* ``near_dedup``: one row of each SimHash component stays, the one with the smallest doc_id.
+* ``passage_dedup``: bytes under a repeated 200-byte string are cut out; a document of which nothing but white space
+  remains goes. n_chars is that of the new text.
+* ``mixture``: a document is returned as often as its source's target takes it; the one document on a source's border
+  is cut to the words taken, joined by one space.
+* ``packing``: pieces of at most 2,048 tokens with their place in a sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import langid_ppm, mixing, packing, simhash, suffix_dedup
+from tessella.llm.common import shared_table
+from tessella.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ORACLE_SQL = None  # SQL can't express the models and hashes of the stages
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS[1:])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    known = langid_ppm.predict(docs, langid_ppm.train(docs), keep=COLUMNS[1:])
+    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("k")
+    docs = _rows(docs)
+    kept = simhash.near_duplicates(docs).withColumnRenamed("doc_id", "id").select(F.col("component_id").alias("doc_id")).distinct().select(key)
+    own = docs.select(key, *COLUMNS).join(kept, "k", "left_semi")
+    least = F.struct("text", "lang", "source", "n_chars")  # of rows that share an id one stays
+    return own.groupBy("k").agg(*[F.min_by(c, least).alias(c) for c in COLUMNS]).select(*COLUMNS)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _rows(docs)
+    cut = suffix_dedup.repeats(docs, with_text=True).select("doc_id", "kept_text").withColumnRenamed("doc_id", "id")
+    rest = docs.drop("text", "n_chars").join(cut, F.col("doc_id").eqNullSafe(F.col("id")))
+    return rest.where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.drawn_documents(_rows(docs)).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(docs, tokenizer_path()))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("mixture", mixture), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("no stages yet")
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_arrays, ids_out, plain, small_batches, text_arrays
+from .common import id_arrays, ids_out, small_batches, text_arrays
 
 LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -165,8 +165,8 @@ def train(docs: DataFrame, train_docs: int = 6000, id_col: str = "doc_id", text_
     return Model(langs, counts, alphabet)
 
 
-def predict(docs: DataFrame, model: Model | None, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row."""
+def predict(docs: DataFrame, model: Model | None, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row, with the columns of ``docs`` named in ``keep``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # tables of fixed size for a language
@@ -197,7 +197,11 @@ def predict(docs: DataFrame, model: Model | None, block_bytes: int = 1 << 20, id
                     names += [m.langs[k] if x else "und" for k, x in zip(best.tolist(), ok.tolist(), strict=True)]
                     scores += np.where(ok, post, 0.0).tolist()
                 at = to
-            yield pa.RecordBatch.from_arrays([ids_out(ids, id_null), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    out = plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+            own = [ids_out(ids, id_null), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(own + [b.column(2 + i) for i in range(len(keep))], names=["doc_id", "lang_pred", "score", *(f"k{i}" for i in range(len(keep)))])
+
+    keep = keep or []
+    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + "".join(f", k{i} {kinds[c]}" for i, c in enumerate(keep)))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))

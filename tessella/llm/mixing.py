@@ -53,8 +53,8 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), tilts=(-0.5, 0.0, 0.5),
     return per.select("skey", "source_size", "target", F.round("target").cast("long").alias("quota"), "tilt")
 
 
-def mixture(docs: DataFrame, weights=(5, 2, 1), tilts=(-0.5, 0.0, 0.5), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position) of every row, sorted by training position."""
+def draws(docs: DataFrame, weights=(5, 2, 1), tilts=(-0.5, 0.0, 0.5), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, quota, tilt, at, taken) of every row; at: words of the source before it."""
     n = partitions(docs.sparkSession)
     doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
     sizes = doc.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("key"))
@@ -68,12 +68,38 @@ def mixture(docs: DataFrame, weights=(5, 2, 1), tilts=(-0.5, 0.0, 0.5), most: in
     at = F.col("base") + F.sum("size").over(inside) - F.col("size")
     drawn = dealt.withColumn("at", at).withColumn("laps", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)))
     extra = F.col("quota") - F.col("laps") * F.col("source_size")
-    drawn = drawn.withColumn("taken", F.col("laps") * F.col("size") + F.greatest(F.lit(0), F.least("size", extra - F.col("at"))))
-    share = F.col("at").cast("double") / F.col("quota").cast("double")
-    drawn = drawn.withColumn("position", F.when(F.col("taken") > 0, F.round(inverse(F.least(share, F.lit(1.0)), F.col("tilt")), 9)))
+    taken = F.col("laps") * F.col("size") + F.greatest(F.lit(0), F.least("size", extra - F.col("at")))
+    return drawn.select("doc_id", "size", "source_size", "target", "quota", "tilt", "at", taken.alias("taken"))
+
+
+def position(words_before: Column) -> Column:
+    """Training position of the draw that has so many of its source's taken words before it."""
+    share = words_before.cast("double") / F.col("quota").cast("double")
+    return F.round(inverse(F.least(share, F.lit(1.0)), F.col("tilt")), 9)
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, position) of every row, sorted by (first) training position."""
+    drawn = draws(docs, **options).withColumn("position", F.when(F.col("taken") > 0, position(F.col("at"))))
     return drawn.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
+def drawn_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: ``docs`` (doc_id unique) with a row per draw and its ``position``, sorted by it.
+
+    A draw in part keeps a document's first words, joined by one space, and n_chars follows if there is such a column.
+    """
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    drawn = draws(docs, **options).where("taken > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
+    drawn = drawn.select(key.alias("k"), F.least("size", F.col("taken") - F.col("lap") * F.col("size")).alias("words"), (F.col("size") > F.col("taken") - F.col("lap") * F.col("size")).alias("cut"), position(F.col("at") + F.col("lap") * F.col("source_size")).alias("position"))
+    out = docs.withColumn("k", key).join(drawn, "k")
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("cut"), start).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns, "position").orderBy("position", "doc_id")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS skey,
