@@ -36,32 +36,27 @@ _draw = np.random.default_rng(21)
 _BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE = _draw.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 _RUN, _PAIR, _ONE, _NEXT = (np.uint64(x) for x in _draw.integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
-
-
-def _cut(mask: np.ndarray, change: np.ndarray) -> np.ndarray:
-    """mask, with True put in front, or'ed with changes of ``change``: where something new begins."""
-    return np.concatenate(([True], mask | (change[1:] != change[:-1]))) if len(change) else np.zeros(0, bool)
+_BYTE[32] = 0  # the space behind a word adds nothing to its hash
 
 
 class Words:
-    """The words of texts laid end to end."""
+    """The words of texts: ``bytes`` holds every word followed by one space, word i at at[i] with length[i] bytes."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        white = _WHITE[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offs] = True
-        start = np.flatnonzero(~white & (np.concatenate(([True], white[:-1])) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
-        self.doc = np.searchsorted(offs, start, side="right") - 1
-        solid = np.flatnonzero(~white)
-        owner = np.searchsorted(start, solid, side="right") - 1
-        self.length = np.bincount(owner, minlength=len(start))
-        self.bytes = np.full(len(solid) + len(start), 32, np.uint8)  # every word followed by one space
-        self.bytes[np.arange(len(solid)) + owner] = data[solid]
-        self.at = np.cumsum(self.length + 1) - self.length - 1
-        place = np.arange(len(solid)) - (self.at - np.arange(len(start)))[owner] if len(start) else solid
-        self.hash = mix(np.add.reduceat(_BYTE[data[solid]] * _PLACE[place & 4095], self.at - np.arange(len(start))) + self.length.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+        raw, edge = data.tobytes(), offs.tolist()
+        split = [raw[i:j].split() for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        n = np.array([len(w) for w in split], np.int64)
+        self.bytes = np.frombuffer(b"".join([x for w in split if w for x in (b" ".join(w), b" ")]), np.uint8)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        end = np.flatnonzero(self.bytes == 32)
+        self.at = np.concatenate((np.zeros(1, np.int64), end[:-1] + 1)) if len(end) else end
+        self.length = end - self.at
+        if not len(end):
+            self.hash = np.zeros(0, np.uint64)
+            return
+        place = np.arange(len(self.bytes), dtype=np.int32) - np.repeat(self.at.astype(np.int32), self.length + 1)
+        place &= 4095
+        self.hash = mix(np.add.reduceat(_BYTE[self.bytes] * _PLACE[place], self.at) + self.length.astype(np.uint64))
 
 
 class Symbols:
@@ -69,44 +64,56 @@ class Symbols:
 
     def __init__(self, words: Words, window: int, phrase: int):
         w, doc = words.hash, words.doc
-        new_run = _cut(w[1:] != w[:-1], doc)
-        run = np.cumsum(new_run) - 1
+        self.window = np.flatnonzero(doc[: max(0, len(w) - window + 1)] == doc[window - 1 :]) if len(w) >= window else np.zeros(0, np.int64)
+        self.anchor = np.full(len(self.window), -1)
+        self.high, self.symbol_doc = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        if not len(w):
+            return
+        new_run = np.concatenate(([True], (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])))
+        run = np.cumsum(new_run, dtype=np.int32) - 1
         head = np.flatnonzero(new_run)
         name = mix(w[head] + _RUN * np.diff(np.append(head, len(w))).astype(np.uint64))
         left = (name >> np.uint64(17) & np.uint64(1)).astype(bool)
-        right = np.concatenate(([False], left[:-1] & ~left[1:] & (doc[head][1:] == doc[head][:-1]))) if len(head) else left
-        symbol = np.cumsum(~right) - 1
+        own = doc[head]
+        right = np.concatenate(([False], left[:-1] & ~left[1:] & (own[1:] == own[:-1])))
+        symbol = np.cumsum(~right, dtype=np.int32) - 1
         first = np.flatnonzero(~right)
-        second = np.minimum(first + 1, max(len(name) - 1, 0))
-        paired = np.append(right, False)[first + 1] if len(first) else left
-        names = np.where(paired, mix(name[first] * _PAIR + name[second]), mix(name[first] + _ONE)) if len(first) else name
-        begin = head[first] if len(first) else first
-        stop = np.searchsorted(begin, begin + phrase, side="left") - 1  # last symbol of each phrase
-        complete = begin + phrase <= len(w)
-        stop = np.where(np.append(begin, len(w))[np.minimum(stop + 1, len(begin))] - begin >= phrase, stop, len(begin)) if len(begin) else stop
-        stop = np.where(complete, stop, len(begin))
+        paired = np.append(right, False)[first + 1]
+        names = mix(np.where(paired, name[first] * _PAIR + name[np.minimum(first + 1, len(name) - 1)], name[first] + _ONE))
+        begin = head[first]
+        count = len(begin)
+        is_begin = np.zeros(len(w) + 1, np.int32)
+        is_begin[begin + 1] = 1
+        before = np.cumsum(is_begin, dtype=np.int32)  # symbols that begin before a word
+        # the last symbol of the shortest phrase from each symbol on; count: the words don't suffice
+        stop = np.where(begin + phrase <= len(w), before[np.minimum(begin + phrase, len(w))] - 1, count)
+        self.symbol_doc = doc[begin]
         self.high = names.copy()
         for k in range(1, phrase):
-            at = np.flatnonzero(np.arange(len(names)) + k <= stop)
-            at = at[at + k < len(names)]
+            at = np.flatnonzero((np.arange(count) + k <= stop) & (stop < count))
             self.high[at] = mix(self.high[at] * _NEXT + names[at + k])
-        self.symbol_doc = doc[begin] if len(begin) else begin
-        # windows, and in each the symbols that are the same in every equal window
-        n = max(0, len(w) - window + 1)
-        self.window = np.flatnonzero(doc[:n] == doc[window - 1 :]) if n else np.zeros(0, np.int64)
-        r0, r1 = run[self.window], run[self.window + window - 1] if n else self.window
+        if not len(self.window):
+            return
+        # in each window the symbols that are the same in every equal window: a to b, phrases begin up to last
+        r0, r1 = run[self.window], run[self.window + window - 1]
         inner = r1 - r0 >= 2
-        a = np.where(inner, symbol[np.minimum(r0 + 1, max(len(symbol) - 1, 0))] + 1, 0) if n else r0
-        b = np.where(inner, symbol[np.maximum(r1 - 1, 0)] - 1, -1) if n else r0
-        last = np.searchsorted(stop, b, side="right") - 1 if n else r0
-        count = np.where(b >= a, last - a + 1, 0).clip(min=0)
-        self.anchor = np.full(len(self.window), -1)
-        best = np.full(len(self.window), np.uint64(2**64 - 1))
-        for t in range(int(count.max(initial=0))):
-            i = np.flatnonzero(count > t)
-            h = self.high[a[i] + t]
-            less = (h < best[i]) | (self.anchor[i] < 0)
-            best[i[less]], self.anchor[i[less]] = h[less], (a[i] + t)[less]
+        a = symbol[np.minimum(r0 + 1, len(symbol) - 1)] + 1
+        b = symbol[np.maximum(r1 - 1, 0)] - 1
+        upto = np.cumsum(np.bincount(stop, minlength=count + 1))  # phrases that end at a symbol or before it
+        last = upto[np.maximum(b, 0)] - 1
+        n = np.where(inner & (b >= a), last - a + 1, 0)
+        # least key of a to last from two overlapping powers of two; a key's low bits are its place
+        low = np.uint64((1 << 32) - 1)
+        key = (self.high & ~low) | np.arange(count, dtype=np.uint64)
+        width = 1
+        while True:
+            i = np.flatnonzero((n >= width) & (n < 2 * width))
+            if len(i):
+                self.anchor[i] = (np.minimum(key[a[i]], key[last[i] - width + 1]) & low).astype(np.int64)
+            if not (n >= 2 * width).any():
+                break
+            key = np.minimum(key, np.append(key[width:], np.full(min(width, len(key)), ~np.uint64(0))))
+            width *= 2
 
 
 class _Chunk:
