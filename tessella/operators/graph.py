@@ -13,14 +13,31 @@ from .raster import NEIGHBOURS
 TILE = 256  # side of the tiles that are labelled locally: a bounded group
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges(u, v) of any one orderable type to (node, component): the least node that each reaches.
-
-    Large-star and small-star rounds alternate until the edge table is a forest of stars; each round is written once.
+def _least_reached(batches):
+    """Components of all edges of one task: nodes are (raster_id, id)."""
+    parts = [p for p in batches if len(p)]
+    if parts:
+        e = pd.concat(parts)
+        ends = pd.concat([e[["ru", "iu"]].set_axis(["raster_id", "id"], axis=1), e[["rv", "iv"]].set_axis(["raster_id", "id"], axis=1)])
+        nodes = ends.drop_duplicates().sort_values(["raster_id", "id"], ignore_index=True)
+        number = pd.MultiIndex.from_frame(nodes).get_indexer(pd.MultiIndex.from_frame(ends))
+        label = merge_labels(len(nodes), number[: len(e)], number[len(e) :])
+        yield nodes.assign(root=nodes["id"].to_numpy()[label])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, most_local: int = 200_000) -> DataFrame:
+    """edges(u, v), nodes struct(raster_id, id), to (node, component): the least node that each reaches.
+
+    Up to ``most_local`` edges (counted) are merged in one task. Beyond, large-star and small-star rounds alternate
+    until the edge table is a forest of stars; each round is written once.
     """
     e = settled(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    name = e.schema["u"].dataType.fields[1].name
+    if e.count() <= most_local:
+        flat = e.select(F.col("u.raster_id").alias("ru"), F.col(f"u.{name}").alias("iu"), F.col("v.raster_id").alias("rv"), F.col(f"v.{name}").alias("iv"))
+        out = flat.coalesce(1).mapInPandas(_least_reached, "raster_id string, id long, root long")
+        node = lambda c: F.struct(F.col("raster_id"), F.col(c).alias(name))
+        return out.select(node("id").alias("node"), node("root").alias("component"))
     seen = None
     for _ in range(most_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -132,6 +132,17 @@ def test_frames_agree_with_brute_force(spark):
         assert score[f"g{k}"] == pytest.approx(brute_iic(habitat, float((habitat | np.isin(g, RESTORABLE)).sum()), 2.0))
 
 
+def test_components_by_rounds_and_in_one_task(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(f"r{k}", int(a), int(b)) for k in range(3) for a, b in rng.integers(0, 60, (45, 2))]
+    edges = spark.createDataFrame(pairs, "raster_id string, a long, b long")
+    edges = edges.select(F.struct("raster_id", F.col("a").alias("id")).alias("u"), F.struct("raster_id", F.col("b").alias("id")).alias("v"))
+    one = {tuple(r.node): tuple(r.component) for r in graph.components(edges).collect()}
+    assert one == {tuple(r.node): tuple(r.component) for r in graph.components(edges, most_local=0).collect()}
+    for k, a, b in pairs:
+        assert a == b or one[k, a] == one[k, b] <= (k, min(a, b))
+
+
 def test_gaps_by_frames_and_by_grid(spark):
     rng = np.random.default_rng(6)
     cells = frame(spark, *[CODES[rng.choice(6, (6, 7))] for _ in range(3)])
