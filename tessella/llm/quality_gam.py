@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import id_arrays, ids_out, mix, plain, small_batches, text_arrays
 
-FEATURES = ["bytes", "words", "word_length", "upper", "digits", "symbols", "punctuation", "non_ascii", "lines", "distinct_words", "distinct_pairs", "distinct_lines", "top_word", "sentence_words", "short_words", "long_words", "vowels"]
+FEATURES = ["bytes", "words", "word_length", "upper", "digits", "symbols", "punctuation", "non_ascii", "lines", "distinct_words", "distinct_pairs", "distinct_lines", "top_word", "sentence_words", "short_words", "long_words", "vowels", "echoes"]
 _KIND = np.full(256, 8)  # 0 lower, 1 upper, 2 digit, 3 symbol, 4 punctuation, 5 sentence end, 6 white, 7 newline, 8 others
 for _k, _chars in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~|<>{}[]\\/=+_", b",;:'\"()-", b".!?", b" \t\r\x0b\x0c", b"\n"]):
     _KIND[list(_chars)] = _k
@@ -69,6 +69,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     words = np.bincount(word_owner, minlength=n).astype(float)
     kinds, most = _distinct(word_owner, h, n)
     same = word_owner[1:] == word_owner[:-1]
+    echo = np.bincount(word_owner[1:][same & (h[1:] == h[:-1])], minlength=n)  # words that repeat the one before
     pairs, _ = _distinct(word_owner[1:][same], mix(h[:-1][same]) + h[1:][same], n)
     line_at = np.flatnonzero(edge | np.concatenate(([False], kind[:-1] == 7))) if len(data) else starts
     lines = np.bincount(owner[line_at], minlength=n).astype(float)
@@ -79,7 +80,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.stack([
         np.log1p(lens), np.log1p(words), np.bincount(word_owner, weights=length, minlength=n) / some, c[:, 1] / letters, c[:, 2] / byte,
         c[:, 3] / byte, c[:, 4] / byte, c[:, 8] / byte, lines / some, kinds / some, pairs / np.maximum(words - 1, 1), line_kinds / np.maximum(lines, 1),
-        most / some, words / (1 + c[:, 5]), share(length <= 2), share(length >= 15), np.bincount(owner, weights=_VOWEL[data], minlength=n) / letters,
+        most / some, words / (1 + c[:, 5]), share(length <= 2), share(length >= 15), np.bincount(owner, weights=_VOWEL[data], minlength=n) / letters, echo / some,
     ], axis=1)
 
 

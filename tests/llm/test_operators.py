@@ -278,6 +278,7 @@ def test_quality_features_by_hand():
     f = dict(zip(quality_gam.FEATURES, quality_gam.features(np.frombuffer(b"".join(texts), np.uint8), offs).T, strict=True))
     assert f["words"].tolist() == np.log1p([0, 5, 1]).tolist() and f["distinct_words"].tolist() == [0, 4 / 5, 1] and f["upper"].tolist() == [0, 1 / 8, 0]
     assert f["lines"].tolist() == [0, 2 / 5, 1] and f["top_word"].tolist() == [0, 2 / 5, 1] and f["word_length"].tolist() == [0, 11 / 5, 1] and f["distinct_pairs"].tolist() == [0, 1, 0]
+    assert f["echoes"].tolist() == [0, 1 / 5, 0]
 
 
 # --- op7
