@@ -253,6 +253,51 @@ def gap_distances(masked: DataFrame, labelled: DataFrame, most_steps: int | None
     return hit.groupBy("raster_id", F.col("src").alias("lo"), F.col("dst").alias("hi")).agg(F.min("d").alias("steps"))
 
 
+def cheapest_routes(masked: DataFrame, owners: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """Multi-source cheapest distances for rasters of any size: (raster_id, cell_id, y, x, owner, dist, pred).
+
+    owners(raster_id, cell_id, component_id): the habitat cells, sources of cost 0. A restorable cell takes the least
+    (distance, cell) among its neighbours, their distance plus its own cost; rounds go on until nothing changes.
+    """
+    place = masked.select("raster_id", "cell_id", "y", "x")
+    sources = owners.join(place, ["raster_id", "cell_id"]).select("raster_id", "cell_id", "y", "x", F.col("component_id").alias("owner"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"))
+    free = settled(masked.where("restorable").select("raster_id", "cell_id", "y", "x", "cost").join(owners.select("raster_id", "cell_id"), ["raster_id", "cell_id"], "left_anti"))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in NEIGHBOURS])).alias("s")
+    sources = state = settled(sources)
+    seen = None
+    for _ in range(most_rounds):
+        offer = state.select("raster_id", "y", "x", F.struct("dist", "cell_id", "owner").alias("via"), steps)
+        offer = offer.select("raster_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "via").groupBy("raster_id", "y", "x").agg(F.min("via").alias("via"))
+        reached = free.join(offer, ["raster_id", "y", "x"]).select("raster_id", "cell_id", "y", "x", F.col("via.owner").alias("owner"), (F.col("via.dist") + F.col("cost")).alias("dist"), F.col("via.cell_id").alias("pred"))
+        state = settled(sources.unionByName(reached))
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("raster_id", "cell_id", "owner", "dist", "pred").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return state
+        seen = now
+    raise RuntimeError("routes did not settle")
+
+
+def cheapest_bridge(state: DataFrame) -> DataFrame:
+    """(raster_id, cost, a, b) of the least sum of distances over neighbours with different owners."""
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, 0))])).alias("s")
+    near = state.select("raster_id", "y", "x", F.struct("owner", "dist", "cell_id").alias("p"), steps)
+    near = near.select("raster_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "p")
+    pair = near.join(state, ["raster_id", "y", "x"]).where("p.owner <> owner")
+    best = F.min(F.struct((F.col("p.dist") + F.col("dist")).alias("cost"), F.least("p.cell_id", "cell_id").alias("a"), F.greatest("p.cell_id", "cell_id").alias("b")))
+    return pair.groupBy("raster_id").agg(best.alias("m")).select("raster_id", "m.cost", "m.a", "m.b")
+
+
+def bridge_cells(state: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Cells to plant on the bridge: both ends followed back by predecessor, a round per cell of the route."""
+    at = settled(bridge.select("raster_id", F.explode(F.array("a", "b")).alias("cell_id")))
+    out = None
+    while not at.isEmpty():
+        here = settled(at.join(state, ["raster_id", "cell_id"]).where("pred is not null").select("raster_id", "cell_id", "pred"))
+        out = here if out is None else out.unionAll(here)
+        at = settled(here.select("raster_id", F.col("pred").alias("cell_id")).distinct())
+    return out.select("raster_id", "cell_id").distinct()
+
+
 def largest_patch(areas: DataFrame) -> DataFrame:
     """(raster_id, patch_id, area) of the largest patch, the least id on ties."""
     best = F.max_by(F.struct("patch_id", "area"), F.struct("area", -F.col("patch_id")))

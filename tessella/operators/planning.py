@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import HABITAT, INVALID_PENALTY, REPEAT_LIMIT, RESTORABLE, limit_of_steps
+from ..model import EVALUATIONS, HABITAT, INVALID_PENALTY, LAND_SCENARIOS, LEARNED, METHODS, REPEAT_LIMIT, RESTORABLE, RESULTS, limit_of_steps
 from .graph import grid_links, half_stencil, hop_rows, merge_labels
 from .raster import NEIGHBOURS
 
@@ -328,6 +328,27 @@ def summarise_seeds(eps: DataFrame, keys: list[str], seed: str = "seed") -> Data
     return per.groupBy(*keys).agg(*means, F.stddev_samp("iic_gain").alias("std_iic_gain"))
 
 
+def attributes(rows: DataFrame, resolution: str, land: str, preset: str, cost: F.Column, budget: F.Column, timesteps: int, seeds: list[int]) -> DataFrame:
+    """Summary rows (method, measures) with the columns of a results table: preset, steps and seeds are of learned methods only."""
+    learned = F.col("method").isin(*LEARNED)
+    return rows.withColumns({
+        "resolution": F.lit(resolution), "land_scenario": F.lit(land), "cost_scenario": cost, "budget": budget.cast("int"),
+        "rl_preset": F.when(learned, preset).otherwise(""), "timesteps": F.when(learned, timesteps).otherwise(0), "seeds": F.when(learned, "-".join(map(str, seeds))).otherwise(""),
+    })
+
+
+def run_scenarios(cells: DataFrame, methods: list[str], costs: dict[str, dict], budgets: list[float], r: float, resolution: str = "default", land: str = "main", evaluations: int = EVALUATIONS) -> DataFrame:
+    """Rows of the results table for every cost scenario, budget and method; only the random policy is run more than once."""
+    codes, extra = LAND_SCENARIOS[land]
+    rows = [(f"{name}|{b:g}", m, seed, float(b), float(r), list(codes), {k: float(v) for k, v in (cost | extra).items()}) for name, cost in costs.items() for b in budgets for m in methods for seed in range(evaluations if m == "random" else 1)]
+    configs = cells.sparkSession.createDataFrame(rows, _CONFIG)
+    parts = F.split("config", r"\|")
+    label = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
+    out = summarise(episodes(cells, configs), ["config", "method"]).withColumn("method", label[F.col("method")]).withColumn("training_seconds", F.lit(0.0))
+    out = attributes(out, resolution, land, "default", parts[0], parts[1], 0, [])
+    return out.select(*[c.split()[0] for c in RESULTS.split(", ")])
+
+
 def choose_methods(methods: list[str] | None, learned: str | None, without_learned: bool, land: str = "main", preset: str = "default") -> tuple[list[str], list[str]]:
     """(baselines, learned methods) that a command line asks for."""
     if without_learned and learned:

@@ -72,3 +72,11 @@ def headroom(gains: DataFrame, by: list[str], strict: bool = True) -> DataFrame:
     for k, base in vs.items():
         cols += [(F.col("gain_bridge") - base).alias(f"vs_{k}_absolute"), safe_percent(F.col("gain_bridge") - base, base).alias(f"vs_{k}_percent")]
     return wide.select(*by, "gain_naive", "gain_cost", "gain_bridge", *cols, F.greatest(F.lit(0.0), safe_percent(F.col("gain_bridge") - best, best)).alias("positive_headroom_percent"))
+
+
+def console(df: DataFrame, digits: int = 4, rows: int = 50) -> str:
+    """A fixed-width table of the first rows, doubles rounded."""
+    shown = df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).limit(rows).collect()
+    table = [df.columns, *[["" if v is None else str(v) for v in r] for r in shown]]
+    widths = [max(map(len, col)) for col in zip(*table, strict=True)]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)).rstrip() for line in table)

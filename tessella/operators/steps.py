@@ -51,3 +51,9 @@ def progress(steps: DataFrame, total: int, every: int = 256) -> DataFrame:
     speed = F.try_divide(F.col("step").cast("double"), F.col("seconds"))
     out = steps.where((F.col("step") % every == 0) | (F.col("step") >= total))
     return out.select("*", F.least(F.col("step") / F.lit(total), F.lit(1.0)).alias("share"), speed.alias("steps_per_second"), F.try_divide(F.greatest(F.lit(total) - F.col("step"), F.lit(0)), speed).alias("seconds_left"))
+
+
+def totals(steps: DataFrame) -> DataFrame:
+    """(episode, n_steps, n_planted, n_invalid, cost_used): counters of a whole episode."""
+    ok = ~F.col("invalid")
+    return steps.groupBy("episode").agg(F.count("*").alias("n_steps"), F.count_if(ok).alias("n_planted"), F.count_if("invalid").alias("n_invalid"), F.coalesce(F.sum(F.when(ok, F.col("cost"))), F.lit(0.0)).alias("cost_used"))

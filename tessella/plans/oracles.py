@@ -201,4 +201,25 @@ r AS (SELECT *, sum(CASE WHEN invalid AND coalesce(i, false) AND action = a THEN
     "doc_paragraphs": "SELECT doc_id, n AS paragraph, substr(trim(p), 1, 1000) AS body FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)) WHERE n >= 2 AND n < 6 AND trim(p) <> ''",
     "weighted_value_counts": "SELECT source, sum(n_chars)::BIGINT AS weight FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "doc_table_preview": "SELECT conv_id, k AS \"row\", substr(replace(coalesce(role, ''), chr(10), ' / '), 1, 250) || ' | ' || substr(replace(coalesce(text, ''), chr(10), ' / '), 1, 250) AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 12",
+    "step_totals": _with(_STEPS) + "SELECT episode, count(*) AS n_steps, count(*) FILTER (NOT invalid) AS n_planted, count(*) FILTER (invalid) AS n_invalid, coalesce(sum(cost) FILTER (NOT invalid), 0)::DOUBLE AS cost_used FROM e GROUP BY 1",
+    "mask_sets": _with(_GRID) + "SELECT 'landscape' AS part, cell_id FROM m WHERE habitat OR restorable UNION ALL SELECT 'frontier', cell_id FROM front UNION ALL SELECT 'interior', cell_id FROM m WHERE restorable AND cell_id NOT IN (SELECT cell_id FROM front) UNION ALL SELECT 'locked', cell_id FROM m WHERE NOT habitat AND NOT restorable",
+    "result_attributes": _with(_FACTS) + "SELECT CASE WHEN method = 'bridge' THEN 'MaskablePPO' ELSE method END AS method, sum(cents)::BIGINT AS gain, '48x96' AS resolution, 's2' AS land_scenario, '1:2' AS cost_scenario, 45 AS budget, CASE WHEN method = 'bridge' THEN 's2-tuned' ELSE '' END AS rl_preset, CASE WHEN method = 'bridge' THEN 50000 ELSE 0 END AS timesteps, CASE WHEN method = 'bridge' THEN '0-1-2' ELSE '' END AS seeds FROM f GROUP BY method",
+    "bridge_routes_frames": _with(
+        _GRID,
+        _PATCH,
+        _edges(5),
+        _HOP,
+        _COMPONENT,
+        """,
+link AS (SELECT a.cell_id AS a, b.cell_id AS b, CASE WHEN b.habitat THEN NULL ELSE b.cost END AS cost FROM m a JOIN m b
+         ON abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE b.restorable AND NOT b.habitat),
+go AS (SELECT cell_id AS cell, component_id AS owner, 0.0::DOUBLE AS dist FROM label JOIN comp USING (patch_id)
+       UNION SELECT link.b, go.owner, go.dist + link.cost FROM go JOIN link ON link.a = go.cell WHERE go.dist < 8),
+best AS (SELECT cell, min(dist) AS dist FROM go GROUP BY 1),
+near AS (SELECT DISTINCT g.cell, g.owner, g.dist FROM go g JOIN best USING (cell, dist)),
+pairs AS (SELECT p.dist + q.dist AS cost FROM near p JOIN near q ON p.owner <> q.owner
+          JOIN m a ON a.cell_id = p.cell JOIN m b ON b.cell_id = q.cell AND abs(a.y - b.y) + abs(a.x - b.x) = 1)
+""",
+    )
+    + "SELECT min(cost) AS cost FROM pairs HAVING min(cost) IS NOT NULL",
 }

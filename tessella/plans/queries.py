@@ -123,6 +123,19 @@ def observation_planes(spark, sf):
     return p.drop("raster_id")
 
 
+@query
+def mask_sets(spark, sf):
+    """Union, intersection and complement of id sets."""
+    m, front = _masked(spark, sf), frontier_initial(spark, sf)
+    habitat, rest = m.where("habitat").select("cell_id"), m.where("restorable").select("cell_id")
+    parts = {"landscape": habitat.union(rest), "frontier": rest.intersect(front), "interior": rest.exceptAll(front), "locked": m.select("cell_id").exceptAll(habitat.union(rest))}
+    out = None
+    for name, p in parts.items():
+        p = p.select(F.lit(name).alias("part"), "cell_id")
+        out = p if out is None else out.unionAll(p)
+    return out
+
+
 # --- patches -------------------------------------------------------------------------------------------------------
 
 
@@ -408,6 +421,26 @@ def candidate_check(spark, sf):
     return wide.join(top, "raster_id").select("raster_id", "score", "gain_random", "gain_greedy", "gap", passes(F.col("gap"), F.col("gain_greedy")).alias("passed"))
 
 
+@query
+def bridge_routes_frames(spark, sf):
+    masked, lab = _patches(spark, sf)
+    comp = graph.patch_components(graph.patch_areas(lab), graph.patch_edges(lab, R))
+    state = graph.cheapest_routes(masked, lab.join(comp, ["raster_id", "patch_id"]).select("raster_id", "cell_id", "component_id"))
+    return graph.cheapest_bridge(state).select("cost")
+
+
+@query
+def scenario_results(spark, sf):
+    return planning.run_scenarios(_small(spark, sf), ["random", "naive", "cost", "bridge"], COST_SCENARIOS, [4, 8], 2.0, evaluations=3)
+
+
+@query
+def result_attributes(spark, sf):
+    method = F.when(F.col("method") == "bridge", "MaskablePPO").otherwise(F.col("method"))
+    rows = _facts(spark, sf).select(method.alias("method"), "cents").groupBy("method").agg(F.sum("cents").alias("gain"))
+    return planning.attributes(rows, "48x96", "s2", "s2-tuned", F.lit("1:2"), F.lit(45), 50000, [0, 1, 2])
+
+
 # --- step logs -----------------------------------------------------------------------------------------------------
 
 
@@ -427,6 +460,11 @@ def step_rewards(spark, sf):
     return s.select("episode", "step", F.round("plain", 4).alias("plain"), F.round("per_cost", 4).alias("per_cost"), F.round("reward", 4).alias("at_end"))
 
 
+@query
+def step_totals(spark, sf):
+    return steps.totals(_steps(spark, sf))
+
+
 @query
 def truncation_runs(spark, sf):
     return steps.invalid_runs(_steps(spark, sf))

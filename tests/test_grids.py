@@ -143,6 +143,35 @@ def test_components_by_rounds_and_in_one_task(spark):
         assert a == b or one[k, a] == one[k, b] <= (k, min(a, b))
 
 
+def test_bridge_by_frames_agrees_with_the_kernel(spark):
+    rng = np.random.default_rng(14)
+    many = [CODES[rng.choice(6, (6, 8), p=[0.25, 0.05, 0.3, 0.25, 0.1, 0.05])] for _ in range(6)]
+    masked = raster.with_masks(frame(spark, *many))
+    lab = graph.label_patches(masked.where("habitat"))
+    comp = graph.patch_components(graph.patch_areas(lab), graph.patch_edges(lab, 1.5))
+    state = graph.cheapest_routes(masked, lab.join(comp, ["raster_id", "patch_id"]).select("raster_id", "cell_id", "component_id"))
+    bridge = graph.cheapest_bridge(state)
+    route = {}
+    for r in graph.bridge_cells(state, bridge).collect():
+        route.setdefault(r.raster_id, set()).add(r.cell_id)
+    cost = {r.raster_id: r.cost for r in bridge.collect()}
+    for k, g in enumerate(many):
+        grid = planning.Grid(g, COSTS, 50, 1.5)
+        own = sum(grid.cost.ravel()[c] for c in route.get(f"g{k}", ()))
+        assert own == cost.get(f"g{k}", 0.0)
+        assert set(planning.bridge_candidates(grid)) == route.get(f"g{k}", set()) & set(grid.valid().tolist())
+
+
+def test_scenario_rows_fit_the_results_table(spark):
+    from tessella.model import RESULT_KEY
+    from tessella.sources.results import upsert
+
+    g = CODES[np.random.default_rng(4).choice(6, (4, 5))]
+    rows = planning.run_scenarios(frame(spark, g), ["random", "naive"], {"1:2": COSTS}, [2, 3], 1.5, evaluations=2).cache()
+    assert rows.count() == 4 and upsert(rows, rows, RESULT_KEY).count() == 4
+    assert "Random Valid Action" in reports.console(rows)
+
+
 def test_gaps_by_frames_and_by_grid(spark):
     rng = np.random.default_rng(6)
     cells = frame(spark, *[CODES[rng.choice(6, (6, 7))] for _ in range(3)])
