@@ -163,26 +163,22 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = word << np.uint64(8) | padded[k : n + k].astype(np.uint64)
-    sa = np.argsort(word, kind="stable").astype(np.int64)
-    new = np.concatenate(([True], word[sa[1:]] != word[sa[:-1]]))
-    rank = np.empty(n + depth + 256, np.int64)
-    rank[n:] = -1  # behind the text
-    head = np.flatnonzero(new)
-    rank[sa] = np.repeat(head, np.diff(np.append(head, n)))
+    sa = np.argsort(word).astype(np.int64)
+    ranked = word[sa]
+    fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    rank = np.full(n + depth + 256, -1, np.int64)  # -1: behind the text
+    rank[sa] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    open_ = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))  # places in sa of groups that are not settled
     h = 8
-    while h < depth:
-        size = np.diff(np.append(head, n))
-        open_ = np.flatnonzero(np.repeat(size > 1, size))  # places in sa of groups that are not settled
-        if not len(open_):
-            break
+    while h < depth and len(open_):
         own = sa[open_]
         key = (rank[own].astype(np.uint64) << np.uint64(32)) | (rank[own + h] + 1).astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        sa[open_], key = own[order], key[order]
+        order = np.argsort(key)
+        own, key = own[order], key[order]
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
-        new[open_] = fresh
-        head = np.flatnonzero(new)
-        rank[sa] = np.repeat(head, np.diff(np.append(head, n)))
+        sa[open_] = own
+        rank[own] = np.maximum.accumulate(np.where(fresh, open_, 0))
+        open_ = open_[~fresh | ~np.append(fresh[1:], True)]
         h *= 2
     return sa, word
 
