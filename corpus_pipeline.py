@@ -11,6 +11,11 @@ the last returns the packed pieces.
 * ``mixture``: a document is returned as often as its source's target takes it; the one document on a source's border
   is cut to the words taken, joined by one space.
 * ``packing``: pieces of at most 2,048 tokens with their place in a sequence.
+
+Defined cases, in every stage: extra columns are dropped; an empty table gives an empty one of the same columns; very long
+texts are handled whole. Null or letterless texts are ``und`` and go in the first stage; a later stage that still meets a
+null text takes it as empty. Null lang or source: kept as they are (a null source is a source of its own). Null doc_id:
+an id of its own, behind all others; a component of such rows keeps one. Repeated rows: one stays from the second stage on.
 """
 
 from __future__ import annotations
