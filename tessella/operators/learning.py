@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .planning import Grid, packed_grids, patch_graph
+from .planning import Grid, on_every_raster, packed_grids, patch_graph
 
 FEATURES = ("bias", "cost", "habitat_neighbours", "patches_joined", "open_neighbours")
 # Presets of a training run; a preset overrides the defaults.
@@ -89,7 +89,7 @@ def train(g: Grid, seed: int, masked: bool, options: dict):
 def train_policies(cells: DataFrame, configs: DataFrame, preset_name: str = "default", masked: bool = True, **overrides) -> DataFrame:
     """Training logs, a row per episode; the last row of a run holds its weights. configs as for ``planning.episodes``."""
     options = preset(preset_name) | overrides
-    runs = configs.withColumn("one", F.lit(1)).join(packed_grids(cells).withColumn("one", F.lit(1)), "one").drop("one")
+    runs = on_every_raster(packed_grids(cells), configs)
 
     def run(batches):
         for pdf in batches:

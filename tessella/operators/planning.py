@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EVALUATIONS, HABITAT, INVALID_PENALTY, LAND_SCENARIOS, LEARNED, METHODS, REPEAT_LIMIT, RESTORABLE, RESULTS, limit_of_steps
-from .graph import grid_links, half_stencil, hop_rows, merge_labels
+from .graph import grid_links, half_stencil, hop_sums, merge_labels
 from .raster import NEIGHBOURS
 
 
@@ -42,19 +42,31 @@ def patch_graph(habitat: np.ndarray, r: float):
         hit = (a >= 0) & (b >= 0) & (a != b)
         if hit.any():
             pairs.append(np.stack((np.minimum(a[hit], b[hit]), np.maximum(a[hit], b[hit])), axis=1))
-    edges = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return np.bincount(label), edges, image
+    sizes = np.bincount(label)
+    if not pairs:
+        return sizes, np.zeros((0, 2), np.int64), image
+    key = np.concatenate(pairs) @ np.array([len(sizes), 1])
+    if len(sizes) <= 4096:
+        linked = np.zeros(len(sizes) ** 2, bool)
+        linked[key] = True
+        key = np.flatnonzero(linked)
+    else:
+        key = np.unique(key)
+    return sizes, np.stack(np.divmod(key, len(sizes)), axis=1), image
+
+
+def fold(sums: list[int], area: float) -> float:
+    """IIC from the sums of area products per hop, nearest first."""
+    total = 0.0
+    for hop, s in enumerate(sums):
+        total += s / (1 + hop)
+    return total / (area * area) if area else 0.0
 
 
 def iic_of(habitat: np.ndarray, area: float, r: float) -> float:
     """Integral Index of Connectivity of a habitat mask."""
     sizes, edges, _ = patch_graph(habitat, r)
-    if not len(sizes) or not area:
-        return 0.0
-    total = 0.0
-    for src, node, hop in hop_rows(len(sizes), edges[:, 0], edges[:, 1], np.arange(len(sizes))):
-        total += int((sizes[src] * sizes[node]).sum()) / (1 + hop)
-    return total / (area * area)
+    return fold(hop_sums(edges[:, 0], edges[:, 1], sizes), area) if len(sizes) else 0.0
 
 
 class Grid:
@@ -71,13 +83,20 @@ class Grid:
             raise ValueError(f"restorable classes without a positive cost: {np.unique(classes[bad]).tolist()}")
         self.budget, self.r, self.block = float(budget), float(r), block
         self.area = float((self.start | self.restorable).sum())
+        self._reach = np.array(half_stencil(max(self.r, 1.0))).T
+        self._reach = np.concatenate((self._reach, -self._reach), axis=1)
+        if self.r < 1:  # cells side by side are one patch at any distance
+            raise ValueError("dispersal distance has to be 1 or more")
+        self._first = patch_graph(self.start, self.r)
+        self.first_iic = iic_of(self.start, self.area, self.r)
         self.reset()
 
     def reset(self) -> None:
         self.habitat, self.planted = self.start.copy(), np.zeros(self.shape, bool)
+        self._known = self._first
         self.frontier = self._beside(self.start) & self.restorable
         self.remaining, self.used, self.order = self.budget, 0.0, []
-        self.iic = self.first_iic = iic_of(self.habitat, self.area, self.r)
+        self.iic = self.first_iic
         self.invalid = self.steps = self.repeats = 0
         self.last_invalid = None
 
@@ -118,9 +137,46 @@ class Grid:
     def gain(self, cell: int) -> tuple[float, float]:
         """(gain of planting from the cell, rounded so that ties are ties; its cost)."""
         block = self.grow(cell)
+        cost = max(float(self.cost.ravel()[block].sum()), 1e-9)
+        if len(block) == 1:
+            return round(self._with_cell(block[0]) - self.iic, 12), cost
         trial = self.habitat.copy()
         trial.ravel()[block] = True
-        return round(iic_of(trial, self.area, self.r) - self.iic, 12), max(float(self.cost.ravel()[block].sum()), 1e-9)
+        return round(iic_of(trial, self.area, self.r) - self.iic, 12), cost
+
+    def _graph_with(self, cell: int):
+        """(sizes, edges, new number of each patch) with one more cell: its neighbour patches and itself become patch 0,
+
+        linked to what they were linked to and to what the cell reaches.
+        """
+        sizes, edges, image = self._known
+        h, w = self.shape
+        y, x = divmod(cell, w)
+        v, u = y + self._reach[0], x + self._reach[1]
+        ok = (v >= 0) & (v < h) & (u >= 0) & (u < w)
+        near = image[v[ok] * w + u[ok]]
+        beside = near[(np.abs(v[ok] - y) + np.abs(u[ok] - x) == 1) & (near >= 0)]
+        near = np.unique(near[near >= 0])
+        stays = np.ones(len(sizes), np.int64)
+        stays[beside] = 0
+        number = np.cumsum(stays) * stays
+        grown = np.bincount(number, weights=sizes, minlength=1)
+        grown[0] = 1 + sizes[stays == 0].sum()
+        lo, hi, far = number[edges[:, 0]], number[edges[:, 1]], number[near]
+        keep, far = lo != hi, far[far > 0]
+        return grown, np.stack((np.concatenate((lo[keep], np.zeros_like(far))), np.concatenate((hi[keep], far))), axis=1), number
+
+    def _with_cell(self, cell: int) -> float:
+        sizes, edges, _ = self._graph_with(cell)
+        return fold(hop_sums(edges[:, 0], edges[:, 1], sizes), self.area)
+
+    def _plant(self, cell: int) -> None:
+        sizes, edges, number = self._graph_with(cell)
+        image = np.where(self._known[2] >= 0, number[self._known[2]], -1) if len(number) else self._known[2].copy()
+        image[cell] = 0
+        key = np.unique(np.sort(edges, axis=1) @ np.array([len(sizes), 1]))
+        self._known = sizes, np.stack(np.divmod(key, len(sizes)), axis=1), image
+        self.habitat.ravel()[cell] = True
 
     def step(self, cell: int, reward_per_cost: bool = False, penalties: bool = False) -> float:
         block, reward = self.grow(cell), 0.0
@@ -128,7 +184,8 @@ class Grid:
             cost = float(self.cost.ravel()[block].sum())
             for b in block:
                 y, x = divmod(b, self.shape[1])
-                self.planted[y, x] = self.habitat[y, x] = True
+                self.planted[y, x] = True
+                self._plant(b)
                 for dy, dx in NEIGHBOURS:
                     v, u = y + dy, x + dx
                     if 0 <= v < self.shape[0] and 0 <= u < self.shape[1] and self.restorable[v, u] and not self.planted[v, u]:
@@ -137,7 +194,7 @@ class Grid:
             self.order += block
             self.remaining -= cost
             self.used += cost
-            now = iic_of(self.habitat, self.area, self.r)
+            now = fold(hop_sums(self._known[1][:, 0], self._known[1][:, 1], self._known[0]), self.area)
             reward, self.iic = (now - self.iic) / (max(cost, 1e-9) if reward_per_cost else 1), now
             self.repeats, self.last_invalid = 0, None
         else:
@@ -269,11 +326,17 @@ def packed_grids(cells: DataFrame) -> DataFrame:
     return cells.select("raster_id", "y", "x", "class_code").groupBy("raster_id").applyInPandas(run, "raster_id string, height int, width int, grid binary")
 
 
+def on_every_raster(grids: DataFrame, configs: DataFrame, most: int = 100_000) -> DataFrame:
+    """Every configuration on every raster, as asked for: configurations are counted, and shipped to the rasters."""
+    if configs.count() > most:
+        raise ValueError(f"more than {most} configurations; run them in parts")
+    return grids.crossJoin(F.broadcast(configs))
+
+
 def episodes(cells: DataFrame, configs: DataFrame) -> DataFrame:
     """configs(config, method, seed, budget, dispersal, restorable, costs) on every raster, a task per episode."""
     tasks = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grids = packed_grids(cells).withColumn("one", F.lit(1))
-    runs = configs.withColumn("one", F.lit(1)).join(grids, "one")  # every configuration on every raster, as asked
+    runs = on_every_raster(packed_grids(cells), configs)
 
     def run(batches):
         for pdf in batches:
@@ -283,7 +346,7 @@ def episodes(cells: DataFrame, configs: DataFrame) -> DataFrame:
                 e = run_episode(g, r.method, r.seed)
                 yield pd.DataFrame([{"raster_id": r.raster_id, "config": r.config, "method": r.method, "seed": r.seed, **e}])
 
-    return runs.drop("one").repartition(tasks, "raster_id", "config", "method", "seed").mapInPandas(run, EPISODE)
+    return runs.repartition(tasks, "raster_id", "config", "method", "seed").mapInPandas(run, EPISODE)
 
 
 def candidate_gains(cells: DataFrame, costs: dict[int, float], budget: float, r: float, restorable=RESTORABLE, per_task: int = 16) -> DataFrame:

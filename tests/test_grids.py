@@ -229,6 +229,17 @@ def test_episode_rules():
         planning.Grid(np.array([[31]]), COSTS, 3, 1.0, (31,))
 
 
+@settings(max_examples=25, deadline=None)
+@given(grids, st.sampled_from([1.0, 2.5]))
+def test_steps_keep_the_graph_of_the_whole_grid(g, r):
+    s = planning.Grid(g, COSTS, 12, r)
+    while True:
+        s.step(planning.policy_random(s, 3))
+        assert s.iic == planning.iic_of(s.habitat, s.area, r)
+        if s.over():
+            break
+
+
 def test_blocks_grow_within_the_budget():
     s = planning.Grid(np.array([[5, 13, 13, 13, 13]]), COSTS, 3, 1.0, block=4)
     assert s.grow(1) == [1, 2, 3] and s.grow(2) == []
