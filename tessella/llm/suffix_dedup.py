@@ -50,7 +50,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mix(h)
 
 
-def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int, block: int = 1 << 21):
+def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int, block: int = 1 << 20):
     """(first window, last window, name of the anchor) of every segment."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     low = np.uint64((1 << _PLACE) - 1)
@@ -304,13 +304,14 @@ def _merge(batches):
                 yield to_batch(out, MESSAGE_ARROW)
 
 
-def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048, chunk_bytes: int = 1 << 22, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048, chunk_bytes: int = 1 << 21, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept_text]) of every row.
 
     kept_text: what remains as text; bytes of a character that was cut through are left out of it.
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    shards = 4 * n  # a task searches its shards one after another, so the arrays of one are small
     packed = shared_table(pack(plain(docs, id_col, text_col), chunk_bytes), "packed", (n, "chunk"))
     columns = ["chunk", "ids", "id_null", "lens", "blob"]
 
@@ -330,18 +331,18 @@ def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048,
             show = show[np.unique(c.text_of[show], return_index=True)[1]]
             spread = names[show] - 2
             salt = c.lo[show] & ((np.uint64(1) << spread.astype(np.uint64)) - np.uint64(1))
-            shard = ((c.name[show] + mix(salt) * (salt > 0)) % np.uint64(n)).astype(np.int64)
+            shard = ((c.name[show] + mix(salt) * (salt > 0)) % np.uint64(shards)).astype(np.int64)
             for kind, pick in ((SEGMENTS, spread == 0), (HOT, spread > 0)):
                 own = show[pick]
-                for k, i in split_by_bucket(shard[pick], n):
+                for k, i in split_by_bucket(shard[pick], shards):
                     a, b = c.first[own[i]], c.last[own[i]] + window
                     text = b"".join([c.raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
                     out.append((k, row["chunk"], kind, a.tobytes(), (b - a).tobytes(), zstandard.ZstdCompressor(level=3).compress(text)))
             yield to_batch(out, MESSAGE_ARROW)
 
     sorted_out = shared_table(with_replies(packed, replies).select(*columns, "replies").mapInArrow(sort_out, MESSAGE), "segments")
-    shards = sorted_out.where(F.col("kind").isin(SEGMENTS, HOT)).repartitionById(n, F.col("bucket"))
-    searched = shared_table(shards.mapInArrow(_search_shard(window, n), MESSAGE), "searched")
+    dealt = sorted_out.where(F.col("kind").isin(SEGMENTS, HOT)).repartitionById(n, F.col("bucket") % n)
+    searched = shared_table(dealt.mapInArrow(_search_shard(window, n), MESSAGE), "searched")
     merged = searched.where(F.col("kind") == MERGE).repartitionById(n, F.col("bucket")).mapInArrow(_merge, MESSAGE)
     found = sorted_out.where(F.col("kind") == COVER).unionAll(searched.where(F.col("kind") == FOUND)).unionAll(merged)
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("p1", "p2")).alias("found"))
