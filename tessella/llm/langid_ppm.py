@@ -65,10 +65,13 @@ class Model:
                 cost = self._level(n, cost, rare)
             tables.append((codes, c, cost.reshape(-1)))
         seen = np.unique(np.concatenate([codes for codes, _ in counts]))
-        self.seen = seen
+        # a row of four symbols: where its context's rows begin, and how many lower symbols follow that context
+        self.follow = np.zeros(64**3, np.uint64)
+        np.bitwise_or.at(self.follow, seen >> 6, np.uint64(1) << (seen & 63).astype(np.uint64))
+        self.begin = np.searchsorted(seen, np.arange(64**3) << 6).astype(np.int32)
         self.low = np.stack([t[2] for t in tables], axis=1).astype(np.float32)
         self.escape = np.zeros((64**3, len(langs)), np.float32)
-        self.rows = np.empty((len(seen), len(langs)), np.float32)
+        self.rows = np.empty((max(1, len(seen)), len(langs)), np.float32)
         for k, (codes, c, low) in enumerate(tables):
             ctx, last = codes >> 6, 64**3 - 1
             total = np.bincount(ctx, weights=c, minlength=64**3)
@@ -81,7 +84,7 @@ class Model:
             i = np.searchsorted(seen, codes)
             own = -np.log2(c / (total[ctx] + kinds[ctx])) + (codes & 63 == 63) * rare
             row[i] = own
-            self.rows[:, k] = row
+            self.rows[: len(seen), k] = row
 
     @staticmethod
     def _level(n: np.ndarray, lower: np.ndarray, rare: float) -> np.ndarray:
@@ -94,15 +97,6 @@ class Model:
         seen[:, 63] += rare
         return np.where(n > 0, seen, escape + below)
 
-    def index(self) -> np.ndarray:
-        """Row of each four-symbol code, -1 if it wasn't seen; made where the model is used, so it isn't shipped."""
-        if self._index is None:
-            self._index = np.full(64**4, -1, np.int32)
-            self._index[self.seen] = np.arange(len(self.seen))
-        return self._index
-
-    _index: np.ndarray | None = None
-
     def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offs) - 1, len(self.langs)))
@@ -110,10 +104,12 @@ class Model:
         full = np.flatnonzero(lens > 0)
         if len(full):
             code = grams(data, offs, self.alphabet)
-            row = self.index()[code]
-            bits = self.rows[row] if len(self.rows) else np.zeros((len(code), len(self.langs)), np.float32)
-            new = np.flatnonzero(row < 0)
-            bits[new] = self.escape[code[new] >> 6] + self.low[code[new] & (64**3 - 1)]
+            ctx, one = code >> 6, np.uint64(1) << (code & 63).astype(np.uint64)
+            follow = self.follow[ctx]
+            row = self.begin[ctx] + np.bitwise_count(follow & (one - np.uint64(1)))
+            bits = self.rows[np.minimum(row, len(self.rows) - 1)]
+            new = np.flatnonzero((follow & one) == 0)
+            bits[new] = self.escape[ctx[new]] + self.low[code[new] & (64**3 - 1)]
             out[full] = np.add.reduceat(bits, offs[full], axis=0, dtype=np.float64)
         return out
 
@@ -165,7 +161,7 @@ def train(docs: DataFrame, train_docs: int = 6000, id_col: str = "doc_id", text_
     return Model(langs, counts, alphabet)
 
 
-def predict(docs: DataFrame, model: Model | None, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, block_bytes: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, with the columns of ``docs`` named in ``keep``."""
     spark = docs.sparkSession
     small_batches(spark)
