@@ -49,7 +49,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str] = RESULT_KEY, order: s
 
 def output_name(land_scenario: str, with_resolution: bool) -> str:
     scope = "multires" if with_resolution else "scenario"
-    return f"iic_frontier_{scope}.csv" if land_scenario == "main" else f"iic_frontier_{land_scenario}_{scope}.csv"
+    return f"results_{scope}.csv" if land_scenario == "main" else f"results_{land_scenario}_{scope}.csv"
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

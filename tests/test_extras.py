@@ -86,3 +86,13 @@ def test_streams(spark, tmp_path, small):
     for _ in range(2):  # a batch run again changes nothing
         keep(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table/version=1")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from tessella import session
+
+    df = session.settled(spark.range(5))
+    assert df.count() == 5 and session.release(spark) >= 1
+    spark.catalog.clearCache()
+    with pytest.raises(Exception, match="exist|found"):
+        spark.read.parquet(df.inputFiles()[0])

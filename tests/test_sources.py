@@ -35,7 +35,7 @@ def test_upsert_of_an_older_results_file(spark, tmp_path):
 
 
 def test_names_and_shapes():
-    assert results.output_name("main", True) == "iic_frontier_multires.csv" and results.output_name("s2", False) == "iic_frontier_s2_scenario.csv"
+    assert results.output_name("main", True) == "results_multires.csv" and results.output_name("s2", False) == "results_s2_scenario.csv"
     assert parse_shape("32X64") == (32, 64)
     for bad in ("32", "0x4", "ax4", "1x2x3"):
         with pytest.raises(ValueError):
