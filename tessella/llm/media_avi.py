@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import id_arrays, ids_out, plain, small_batches, text_arrays
 
@@ -280,3 +281,8 @@ def media_rows(docs: DataFrame, with_file: bool = False, batch_bytes: int = 1 <<
 
     small_batches(docs.sparkSession)
     return plain(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", file binary" * with_file)
+
+
+def clip_rows(media: DataFrame) -> DataFrame:
+    """(doc_id, clip, first_frame, n_frames, start_s, end_s): a row per shot of ``media_rows``."""
+    return media.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", "clip", "c.first_frame", "c.n_frames", "c.start_s", "c.end_s")

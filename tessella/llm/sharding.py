@@ -3,7 +3,7 @@
 Documents are range-partitioned in the order (hash of the text, id), so equal texts lie side by side. Per-partition
 totals, a table of one row per partition, are summed into offsets, and with a running sum inside each partition every
 document gets its place in the corpus, counted in bytes. Shards are cut at equal targets; a cut that falls into a group
-of equal texts moves to the nearer end of the group if the group is under 1/32 of a shard, else it stays between two
+of equal texts moves to the nearer end of the group if the group is under 1/128 of a shard, else it stays between two
 documents. Everything runs in the JVM; the driver sees one row per cut.
 
 Defined cases: null text: no bytes, size 1, CRC 0, of one group with empty texts; repeated rows: each has its own slot;
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import partitions, plain, shared_table
 
 
-def byte_shards(docs: DataFrame, shards: int = 8, group_share: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def byte_shards(docs: DataFrame, shards: int = 8, group_share: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     n = partitions(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))

@@ -133,6 +133,8 @@ def test_media(docs, texts, empty):
         assert (r["doc_id"], r["n_bytes"], r["payload_bytes"]) == (i, len((t or "").encode()), len(payload))
         assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["media_sha256"] == hashlib.sha256(r["file"]).hexdigest() and r["media_bytes"] == len(r["file"])
         assert sum(c["n_frames"] for c in r["clips"]) == len(payload) // 576
+    clips = rows(media_avi.clip_rows(media_avi.media_rows(docs)))
+    assert sum(c["n_frames"] for c in clips) == sum(r["payload_bytes"] for r in got) // 576 and all(c["end_s"] > c["start_s"] for c in clips)
     assert rows(media_avi.media_rows(empty)) == []
 
 
