@@ -199,7 +199,7 @@ def _smaller_ids(rows: list[dict]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def earlier_passages(docs: DataFrame, window: int = 13, phrase: int = 5, chunk_bytes: int = 1 << 22, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def earlier_passages(docs: DataFrame, window: int = 13, phrase: int = 5, chunk_bytes: int = 1 << 21, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans[, kept_text]) of every row; spans count words.
 
     ``phrase`` is at most window - 8: three words may be lost at either end of a window, and a phrase can overshoot by one.
