@@ -88,16 +88,19 @@ def drawn_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` (doc_id unique) with a row per draw and its ``position``, sorted by it.
 
     A draw in part keeps a document's first words, joined by one space, and n_chars follows if there is such a column.
+    A column ``position`` of ``docs`` is replaced.
     """
     key = F.coalesce("doc_id", F.lit(-(2**63)))
+    left = F.col("taken") - F.col("lap") * F.col("size")
     drawn = draws(docs, **options).where("taken > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
-    drawn = drawn.select(key.alias("k"), F.least("size", F.col("taken") - F.col("lap") * F.col("size")).alias("words"), (F.col("size") > F.col("taken") - F.col("lap") * F.col("size")).alias("cut"), position(F.col("at") + F.col("lap") * F.col("source_size")).alias("position"))
-    out = docs.withColumn("k", key).join(drawn, "k")
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("cut"), start).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "position").orderBy("position", "doc_id")
+    drawn = drawn.select(key.alias("_mix_key"), F.struct(F.least("size", left).cast("int").alias("words"), (F.col("size") > left).alias("cut"), position(F.col("at") + F.col("lap") * F.col("source_size")).alias("position")).alias("_mix"))
+    own = [c for c in docs.columns if c != "position"]
+    out = docs.select(*own, key.alias("_mix_key")).join(drawn, "_mix_key")
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix.words")), " ")
+    out = out.withColumn("text", F.when(F.col("_mix.cut"), start).otherwise(F.col("text")))
+    if "n_chars" in own:
+        out = out.withColumn("n_chars", F.when(F.col("_mix.cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*own, F.col("_mix.position").alias("position")).orderBy("position", "doc_id")
 
 
 ORACLE = r"""

@@ -236,7 +236,9 @@ def test_targets_by_water_level(spark):
 
 
 def test_drawn_documents_match_taken(spark, docs):
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    from pyspark.sql import functions as F
+
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({c: F.lit("mine") for c in ("k", "words", "cut", "position", "lap", "taken")})
     taken = {r["doc_id"]: r["taken"] for r in rows(mixing.mixture(own))}
     drawn = Counter()
     for r in rows(mixing.drawn_documents(own)):

@@ -36,9 +36,10 @@ def test_language_id(stages):
 
 def test_near_dedup(stages):
     docs = [tuple(r) for r in stages["language_id"].select(*ROW).collect()]
-    fps = np.array([simhash.fingerprint((d[1] or "").encode(), 2) for d in docs], np.uint64)
-    label = np.arange(len(docs))
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 5
+    label, near = np.arange(len(docs)), False
+    for law in pipeline.LAWS:
+        fps = np.array([simhash.fingerprint((d[1] or "").encode(), law["shingle"]) for d in docs], np.uint64)
+        near |= np.bitwise_count(fps[:, None] ^ fps[None, :]) <= law["distance"]
     while True:
         new = np.where(near, label[None, :], len(docs)).min(axis=1)
         if (new == label).all():
