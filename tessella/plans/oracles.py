@@ -97,6 +97,25 @@ _HIST = "SELECT {res} AS resolution, class_code, coalesce(class_name, '?') AS cl
 _SCENARIO_COSTS = "(VALUES ('1:1', 13, 1), ('1:1', 21, 1), ('1:2', 13, 1), ('1:2', 21, 2), ('1:3', 13, 1), ('1:3', 21, 3)) AS t(cost_scenario, class_code, cost)"
 _LANDS = "(VALUES ('main'), ('s2')) AS l(land_scenario)"
 
+_GAIN = f""",
+adjc AS (SELECT DISTINCT f.cell_id AS c, l.patch_id AS p FROM front f JOIN lc l ON abs(f.y - l.y) + abs(f.x - l.x) = 1),
+nearc AS (SELECT DISTINCT f.cell_id AS c, l.patch_id AS p FROM front f JOIN lc l ON (f.y - l.y) * (f.y - l.y) + (f.x - l.x) * (f.x - l.x) <= 4),
+node AS (SELECT f.cell_id AS c, a.patch_id AS p, CASE WHEN adjc.p IS NULL THEN a.patch_id ELSE -1 END AS q, a.area
+         FROM front f CROSS JOIN areas a LEFT JOIN adjc ON adjc.c = f.cell_id AND adjc.p = a.patch_id),
+carea AS (SELECT c, q, sum(area) + CASE WHEN q = -1 THEN 1 ELSE 0 END AS area FROM node GROUP BY c, q),
+cedge AS (SELECT DISTINCT n1.c, n1.q AS a, n2.q AS b FROM edges e JOIN node n1 ON n1.p = e.lo JOIN node n2 ON n2.p = e.hi AND n2.c = n1.c WHERE n1.q <> n2.q
+          UNION SELECT n.c, -1, n.q FROM nearc JOIN node n ON n.c = nearc.c AND n.p = nearc.p WHERE n.q <> -1),
+csym AS (SELECT c, a, b FROM cedge UNION ALL SELECT c, b, a FROM cedge),
+cwalk AS (SELECT c, q AS src, q AS dst, 0 AS hop FROM carea
+          UNION SELECT w.c, w.src, s.b, w.hop + 1 FROM cwalk w JOIN csym s ON s.c = w.c AND s.a = w.dst WHERE w.hop < 24),
+chops AS (SELECT c, src, dst, min(hop) AS hop FROM cwalk GROUP BY 1, 2, 3),
+csum AS (SELECT h.c, h.hop, sum(x.area * y.area)::DOUBLE / (1 + h.hop) AS t FROM chops h JOIN carea x ON x.c = h.c AND x.q = h.src
+         JOIN carea y ON y.c = h.c AND y.q = h.dst GROUP BY h.c, h.hop),
+cgain AS (SELECT g.c AS cell_id, f.cost, round(g.s / power((SELECT count(*) FROM m WHERE habitat OR restorable), 2)::DOUBLE - {_IIC}, 12) AS gain
+          FROM (SELECT c, sum(t ORDER BY hop) AS s FROM csum GROUP BY c) g JOIN front f ON f.cell_id = g.c)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "class_histogram": _with(_GRID) + "SELECT class_code, class_name, n_cells, percent FROM (" + _HIST.format(res="''", src="SELECT class_code FROM cells") + ")",
     "band_stats": _with(_GRID) + "SELECT min(v) AS minimum, max(v) AS maximum, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std_dev, round(100.0 * count(v) / count(*), 6)::DOUBLE AS valid_percent FROM (SELECT nullif(class_code, 0) AS v FROM cells)",
@@ -222,4 +241,7 @@ pairs AS (SELECT p.dist + q.dist AS cost FROM near p JOIN near q ON p.owner <> q
 """,
     )
     + "SELECT min(cost) AS cost FROM pairs HAVING min(cost) IS NOT NULL",
+    "candidate_gains": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(gain, 10) AS gain, cost FROM cgain",
+    "greedy_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(gain, 10) AS gain FROM cgain ORDER BY cgain.gain DESC, cell_id LIMIT 1",
+    "greedy_cost_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(round(gain / cost, 12), 10) AS ratio FROM cgain ORDER BY round(gain / cost, 12) DESC, cell_id LIMIT 1",
 }
