@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 the last returns the packed pieces.
 
 * ``language_id``: documents whose text has no language (``und``) or whose posterior is under one half go.
-* ``near_dedup``: one row of each SimHash component stays, the one with the smallest doc_id. It links wider than op2
-  (2-word shingles, 5 bits), since 3 bits of 3-word shingles hold few pairs of 0.8 Jaccard similarity; README has figures.
+* ``near_dedup``: one row of each SimHash component stays, the one with the smallest doc_id. Documents link
+  as in op2 or by 2-word shingles and 5 bits, since 3 bits of 3-word shingles hold few pairs of 0.8 Jaccard similarity;
+  README has figures.
 * ``passage_dedup``: bytes under a repeated 200-byte string are cut out; a document of which nothing but white space
   remains goes. n_chars is that of the new text.
 * ``mixture``: a document is returned as often as its source's target takes it; the one document on a source's border
@@ -28,6 +29,7 @@ from tessella.llm.common import shared_table
 from tessella.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LAWS = [{"shingle": 3, "distance": 3, "blocks": 5}, {"shingle": 2, "distance": 5, "blocks": 8}]  # how near-duplicates link
 ORACLE_SQL = None  # SQL can't express the models and hashes of the stages
 
 
@@ -43,7 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(-(2**63))).alias("k")
     docs = _rows(docs)
-    kept = simhash.near_duplicates(docs, shingle=2, distance=5, blocks=8).select(F.col("component_id").alias("doc_id")).distinct().select(key)
+    kept = simhash.near_duplicates_of_any(docs, LAWS).select(F.col("component_id").alias("doc_id")).distinct().select(key)
     own = docs.select(key, *COLUMNS).join(kept, "k", "left_semi")
     least = F.struct("text", "lang", "source", "n_chars")  # of rows that share an id one stays
     return own.groupBy("k").agg(*[F.min_by(c, least).alias(c) for c in COLUMNS]).select(*COLUMNS)

@@ -126,3 +126,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(roots, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def near_duplicates_of_any(docs: DataFrame, laws: list[dict], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): linked by any of several laws (options of :func:`near_duplicates`), ids unique or repeated.
+
+    Components of one law are nodes named by their smallest id; a document joins its components under all laws. Rows
+    without an id stay in the component of the first law (null if that has no id either).
+    """
+    found = [shared_table(near_duplicates(docs, id_col=id_col, text_col=text_col, **law).select("doc_id", "component_id"), "law") for law in laws]
+    edges = None
+    for other in found[1:]:
+        pair = found[0].select("doc_id", F.col("component_id").alias("u")).join(other.select("doc_id", F.col("component_id").alias("v")), "doc_id").select("u", "v").where("u <> v")
+        edges = pair if edges is None else edges.unionAll(pair)
+    if edges is None:
+        return found[0]
+    comp = connected_components(edges.distinct())
+    out = found[0].join(comp, found[0].component_id == comp.node, "left")
+    return out.select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
