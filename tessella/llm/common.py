@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 NO_ID = np.int64(2**63 - 1)  # stands for a null id inside kernels; sorts after every real id
 _own_dir: dict[str, str] = {}
+_made: list[tuple[str, str]] = []
 
 PACKED = "chunk long, ids binary, id_null binary, lens binary, blob binary"
 MESSAGE = "bucket int, chunk long, kind int, p1 binary, p2 binary, p3 binary"
@@ -38,6 +39,7 @@ def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None
     """Write ``df`` once to the shared folder and return it as a table. With ``bucket`` joins on that column need no exchange of it."""
     spark, tag = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{tag}"
+    _made.append((tag if bucket else "", path))
     if bucket:
         df.write.format("parquet").bucketBy(*bucket).option("path", path).saveAsTable(tag)
         return spark.table(tag)
@@ -45,6 +47,19 @@ def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far; results that still read them have to be written before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_made)
+    while _made:
+        tag, path = _made.pop()
+        if tag:
+            spark.sql(f"DROP TABLE IF EXISTS {tag}")
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return n
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

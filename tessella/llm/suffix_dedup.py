@@ -289,10 +289,9 @@ def _merge(batches):
     for r in rows:
         by.setdefault(r["bucket"], []).append(r)
     for own in by.values():
-        key = [np.frombuffer(r["p1"], ">u8").astype(">u8").view("V16") for r in own]
-        ranked = [np.sort(k.view("S16")) for k in key]
-        for i, r in enumerate(own):
-            mine = key[i].view("S16")
+        keys = [np.frombuffer(r["p1"], "S16") for r in own]  # a digest is one fixed-width string
+        ranked = [np.sort(k) for k in keys]
+        for i, (r, mine) in enumerate(zip(own, keys, strict=True)):
             hit = np.zeros(len(mine), bool)
             for j, other in enumerate(ranked):
                 if j != i:

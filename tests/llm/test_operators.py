@@ -437,3 +437,11 @@ def test_language_odd_rows(docs, texts, empty):
         assert 0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (not any(c.isalpha() for c in t or ""))
     assert langid_ppm.train(empty) is None
     assert {r["lang_pred"] for r in rows(langid_ppm.predict(docs, None))} == {"und"} and rows(langid_ppm.predict(empty, model)) == []
+
+
+def test_release(spark, docs):
+    suffix_dedup.repeats(docs).count()
+    path = common._made[-1][1]
+    assert common.release(spark) > 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        spark.read.parquet(path)
