@@ -14,7 +14,12 @@ _made: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tessella-"))
+    if path:
+        return path.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tessella-")
+    return _local[app]
 
 
 def settled(df: DataFrame) -> DataFrame:
