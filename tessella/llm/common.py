@@ -32,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tessella-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own_dir:
+        _own_dir[app] = tempfile.mkdtemp(prefix="tessella-")
+    return _own_dir[app]
 
 
 def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None) -> DataFrame:
