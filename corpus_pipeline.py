@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 the last returns the packed pieces.
 
 * ``language_id``: documents whose text has no language (``und``) or whose posterior is under one half go.
-* ``near_dedup``: one row of each SimHash component stays, the one with the smallest doc_id. Documents link
+* ``near_dedup``: one row of each SimHash component stays, the one with the smallest doc_id; rows of different components
+  stay apart even if they share an id or have none. Documents link
   as in op2 or by 2-word shingles and 5 bits, since 3 bits of 3-word shingles hold few pairs of 0.8 Jaccard similarity;
   README has figures.
 * ``passage_dedup``: bytes under a repeated 200-byte string are cut out; a document of which nothing but white space
@@ -16,7 +17,7 @@ the last returns the packed pieces.
 Defined cases, in every stage: extra columns are dropped; an empty table gives an empty one of the same columns; very long
 texts are handled whole. Null or letterless texts are ``und`` and go in the first stage; a later stage that still meets a
 null text takes it as empty. Null lang or source: kept as they are (a null source is a source of its own). Null doc_id:
-an id of its own, behind all others; a component of such rows keeps one. Repeated rows: one stays from the second stage on.
+behind all others; each component of such rows keeps one. Repeated rows: one stays from the second stage on.
 """
 
 from __future__ import annotations
@@ -43,12 +44,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("k")
-    docs = _rows(docs)
-    kept = simhash.near_duplicates_of_any(docs, LAWS).select(F.col("component_id").alias("doc_id")).distinct().select(key)
-    own = docs.select(key, *COLUMNS).join(kept, "k", "left_semi")
-    least = F.struct("text", "lang", "source", "n_chars")  # of rows that share an id one stays
-    return own.groupBy("k").agg(*[F.min_by(c, least).alias(c) for c in COLUMNS]).select(*COLUMNS)
+    docs = shared_table(_rows(docs).withColumn("row", F.monotonically_increasing_id()), "rows")  # written once, so a row keeps its number
+    found = simhash.near_duplicates_of_any(docs, LAWS, id_col="row").withColumnRenamed("doc_id", "row")
+    content = F.xxhash64(F.struct("text", "lang", "source", "n_chars"))  # of rows that share an id the same one is chosen in every run
+    ranked = docs.select("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", content.alias("content"), "row").alias("rank"))
+    kept = ranked.join(found, "row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

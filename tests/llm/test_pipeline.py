@@ -107,3 +107,16 @@ def test_stages_on_odd_rows(spark, docs, empty):
                 assert (out.count() == 0) == (table.count() == 0)
     kept = pipeline.near_dedup(spark, docs, SF).collect()
     assert Counter(r.doc_id for r in kept)[6] == 1 and all(v == 1 for k, v in Counter(r.doc_id for r in kept).items())
+
+
+def odd_ids(spark):
+    """Unrelated texts of 60 words, most of them without an id or with a shared one, and one copy."""
+    texts = [" ".join(f"w{n}x{i * i % 83}" for i in range(60)) for n in range(9)]
+    ids = [None, None, None, None, 7, 7, 7, 8, 9]
+    rows = [(i, t, ["en", "fr", "de"][n % 3], f"s{n % 2}", len(t)) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return rows, spark.createDataFrame([*rows, (None, *rows[7][1:])], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_dedup_keeps_a_row_of_each_component_whatever_the_ids(spark):
+    rows, docs = odd_ids(spark)
+    assert tuples(pipeline.near_dedup(spark, docs, SF)) == Counter(rows)
