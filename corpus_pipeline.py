@@ -44,7 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = shared_table(_rows(docs).withColumn("row", F.monotonically_increasing_id()), "rows")  # written once, so a row keeps its number
+    docs = shared_table(_rows(docs).withColumn("row", F.monotonically_increasing_id()), "rows", compression="zstd")  # written once, so a row keeps its number
     found = simhash.near_duplicates_of_any(docs, LAWS, id_col="row").withColumnRenamed("doc_id", "row")
     content = F.xxhash64(F.struct("text", "lang", "source", "n_chars"))  # of rows that share an id the same one is chosen in every run
     ranked = docs.select("row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", content.alias("content"), "row").alias("rank"))
@@ -53,9 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _rows(docs)
-    cut = suffix_dedup.repeats(docs, with_text=True).select("doc_id", "kept_text").withColumnRenamed("doc_id", "id")
-    rest = docs.drop("text", "n_chars").join(cut, F.col("doc_id").eqNullSafe(F.col("id")))
+    rest = suffix_dedup.repeats(_rows(docs), with_text=True, keep=("lang", "source"))
     return rest.where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

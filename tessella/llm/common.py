@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None) -> DataFrame:
+def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a table. With ``bucket`` joins on that column need no exchange of it."""
     spark, tag = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{tag}"
@@ -46,7 +46,7 @@ def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None
     if bucket:
         df.write.format("parquet").bucketBy(*bucket).option("path", path).saveAsTable(tag)
         return spark.table(tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,9 +73,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (long) and the text (string), so that other columns, whatever their names, can't clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Only the id (long), the text (string) and ``keep``, so that other columns, whatever their names, can't clash."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
 
 
 def text_arrays(batch: pa.RecordBatch, at: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,20 +104,32 @@ def ids_out(ids: np.ndarray, null: np.ndarray) -> pa.Array:
 
 
 def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """docs(doc_id, text) as packed chunks. A chunk holds whole documents; a longer document is a chunk of its own."""
+    """docs(doc_id, text) as packed chunks. A chunk holds whole documents; a longer document is a chunk of its own.
+
+    Further columns of ``docs`` go along, row by row, as an Arrow stream in the column ``rest``.
+    """
+    more = docs.columns[2:]
 
     def run(batches):
         from pyspark import TaskContext
 
         base, seq = np.int64(TaskContext.get().partitionId()) << 32, 0
-        held, size = [], 0
+        held, size, rest = [], 0, []
 
         def flush():
-            nonlocal seq, held, size
+            nonlocal seq, held, size, rest
             ids, null, lens, data = (np.concatenate(x) for x in zip(*held, strict=True))
             row = [[int(base + seq)], [ids.tobytes()], [null.astype(np.uint8).tobytes()], [lens.astype(np.int64).tobytes()], [zstandard.ZstdCompressor(level=3).compress(data.tobytes())]]
-            seq, held, size = seq + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["chunk", "ids", "id_null", "lens", "blob"])
+            names = ["chunk", "ids", "id_null", "lens", "blob"]
+            if more:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                    for x in rest:
+                        out.write_batch(x)
+                row.append([sink.getvalue().to_pybytes()])
+                names.append("rest")
+            seq, held, size, rest = seq + 1, [], 0, []
+            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=names)
 
         for b in batches:
             if not b.num_rows:
@@ -128,6 +140,8 @@ def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(offs, offs[at] + chunk_bytes - size, side="right")) - 1)
                 held.append((ids[at:to], null[at:to], np.diff(offs[at : to + 1]), data[offs[at] : offs[to]]))
+                if more:
+                    rest.append(b.select(more).slice(at, to - at))
                 size += int(offs[to] - offs[at])
                 at = to
                 if size >= chunk_bytes or at < b.num_rows:
@@ -136,7 +150,7 @@ def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield flush()
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(run, PACKED + ", rest binary" * bool(more))
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

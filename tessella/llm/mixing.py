@@ -53,23 +53,27 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), tilts=(-0.5, 0.0, 0.5),
     return per.select("skey", "source_size", "target", F.round("target").cast("long").alias("quota"), "tilt")
 
 
-def draws(docs: DataFrame, weights=(5, 2, 1), tilts=(-0.5, 0.0, 0.5), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, quota, tilt, at, taken) of every row; at: words of the source before it."""
+def draws(docs: DataFrame, weights=(5, 2, 1), tilts=(-0.5, 0.0, 0.5), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, quota, tilt, at, taken[, row]) of every row; at: words of the source before it.
+
+    row_col: a number of each row, which goes along; rows alike in id and size then stand in the order of their texts' hashes.
+    """
     n = partitions(docs.sparkSession)
-    doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    sizes = doc.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("key"))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), *row)
+    sizes = doc.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("key"), *([F.xxhash64("text").alias("tie"), "row"] if row else []))
     sizes = shared_table(sizes.withColumn("part", F.substring("key", 1, 3)), "words")
     per = shared_table(source_targets(sizes, weights, tilts, most), "targets")
     part = sizes.groupBy("skey", "part").agg(F.sum("size").alias("words"))
     base = part.select("skey", "part", F.coalesce(F.sum("words").over(W.partitionBy("skey").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     base = base.join(per, "skey")
     dealt = sizes.repartition(n, "skey", "part").join(base.repartition(n, "skey", "part").hint("merge"), ["skey", "part"])
-    inside = W.partitionBy("skey", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("skey", "part").orderBy("key", "doc_id", "size", *(["tie", "row"] if row else [])).rowsBetween(W.unboundedPreceding, 0)
     at = F.col("base") + F.sum("size").over(inside) - F.col("size")
     drawn = dealt.withColumn("at", at).withColumn("laps", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)))
     extra = F.col("quota") - F.col("laps") * F.col("source_size")
     taken = F.col("laps") * F.col("size") + F.greatest(F.lit(0), F.least("size", extra - F.col("at")))
-    return drawn.select("doc_id", "size", "source_size", "target", "quota", "tilt", "at", taken.alias("taken"))
+    return drawn.select("doc_id", "size", "source_size", "target", "quota", "tilt", "at", taken.alias("taken"), *(["row"] if row else []))
 
 
 def position(words_before: Column) -> Column:
@@ -85,17 +89,17 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 
 def drawn_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: ``docs`` (doc_id unique) with a row per draw and its ``position``, sorted by it.
+    """The mix itself: ``docs`` (doc_id unique, repeated or null) with a row per draw and its ``position``, sorted by it.
 
     A draw in part keeps a document's first words, joined by one space, and n_chars follows if there is such a column.
-    A column ``position`` of ``docs`` is replaced.
+    A column ``position`` of ``docs`` is replaced. Rows are numbered in a table written once, and joined by that number.
     """
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    left = F.col("taken") - F.col("lap") * F.col("size")
-    drawn = draws(docs, **options).where("taken > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
-    drawn = drawn.select(key.alias("_mix_key"), F.struct(F.least("size", left).cast("int").alias("words"), (F.col("size") > left).alias("cut"), position(F.col("at") + F.col("lap") * F.col("source_size")).alias("position")).alias("_mix"))
     own = [c for c in docs.columns if c != "position"]
-    out = docs.select(*own, key.alias("_mix_key")).join(drawn, "_mix_key")
+    docs = shared_table(docs.select(*own, F.monotonically_increasing_id().alias("_mix_row")), "rows", compression="zstd")
+    left = F.col("taken") - F.col("lap") * F.col("size")
+    drawn = draws(docs, row_col="_mix_row", **options).where("taken > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
+    drawn = drawn.select(F.col("row").alias("_mix_row"), F.struct(F.least("size", left).cast("int").alias("words"), (F.col("size") > left).alias("cut"), position(F.col("at") + F.col("lap") * F.col("source_size")).alias("position")).alias("_mix"))
+    out = docs.join(drawn, "_mix_row")
     start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix.words")), " ")
     out = out.withColumn("text", F.when(F.col("_mix.cut"), start).otherwise(F.col("text")))
     if "n_chars" in own:

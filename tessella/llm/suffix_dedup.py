@@ -303,22 +303,22 @@ def _merge(batches):
                 yield to_batch(out, MESSAGE_ARROW)
 
 
-def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048, chunk_bytes: int = 1 << 21, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept_text]) of every row.
+def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048, chunk_bytes: int = 1 << 21, with_text: bool = False, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept_text], *keep) of every row.
 
     kept_text: what remains as text; bytes of a character that was cut through are left out of it.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     shards = 4 * n  # a task searches its shards one after another, so the arrays of one are small
-    packed = shared_table(pack(plain(docs, id_col, text_col), chunk_bytes), "packed", (n, "chunk"))
+    packed = shared_table(pack(plain(docs, id_col, text_col, keep), chunk_bytes), "packed", (n, "chunk"))
     columns = ["chunk", "ids", "id_null", "lens", "blob"]
 
     def say(batches):
         for row in chunk_rows(batches, columns):
             yield to_batch(list(_Chunk(row, window, gram).messages(row["chunk"], n)), MESSAGE_ARROW)
 
-    replies = answered(packed.mapInArrow(say, MESSAGE), {0: _about_names(hot), 1: _about_texts}, n)
+    replies = answered(packed.select(*columns).mapInArrow(say, MESSAGE), {0: _about_names(hot), 1: _about_texts}, n)
 
     def sort_out(batches):
         for row in chunk_rows(batches, [*columns, "replies"]):
@@ -346,8 +346,10 @@ def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048,
     found = sorted_out.where(F.col("kind") == COVER).unionAll(searched.where(F.col("kind") == FOUND)).unionAll(merged)
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("p1", "p2")).alias("found"))
 
+    rest = ["rest"] if keep else []
+
     def finish(batches):
-        for row in chunk_rows(batches, [*columns, "found"]):
+        for row in chunk_rows(batches, [*columns, *rest, "found"]):
             ids, null, offs, data = unpack(row)
             edge = np.zeros(len(data) + 1, np.int64)
             for x in row["found"] or ():
@@ -366,7 +368,9 @@ def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048,
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
             take = 6 if with_text else 5
-            yield pa.RecordBatch.from_arrays([ids_out(ids, null), *(pa.array(c, k) for c, k in zip(cols[:take], kinds[:take], strict=True))], names=["doc_id", *names[:take]])
+            own = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks().to_batches()[0].columns if keep else []
+            yield pa.RecordBatch.from_arrays([ids_out(ids, null), *(pa.array(c, k) for c, k in zip(cols[:take], kinds[:take], strict=True)), *own], names=["doc_id", *names[:take], *keep])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>" + ", kept_text string" * with_text
-    return packed.hint("merge").join(found, "chunk", "left").select(*columns, "found").mapInArrow(finish, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return packed.hint("merge").join(found, "chunk", "left").select(*columns, *rest, "found").mapInArrow(finish, schema)

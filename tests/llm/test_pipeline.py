@@ -120,3 +120,18 @@ def odd_ids(spark):
 def test_near_dedup_keeps_a_row_of_each_component_whatever_the_ids(spark):
     rows, docs = odd_ids(spark)
     assert tuples(pipeline.near_dedup(spark, docs, SF)) == Counter(rows)
+
+
+def test_passage_dedup_and_mixture_keep_rows_that_share_an_id_apart(spark):
+    rows, docs = odd_ids(spark)
+    docs = docs.limit(0).unionAll(spark.createDataFrame(rows, docs.schema))
+    assert tuples(pipeline.passage_dedup(spark, docs, SF)) == Counter(rows)
+    words = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in ("s0", "s1")}
+    taken = mixing.mixture(docs).collect()
+    drawn = pipeline.mixture(spark, docs, SF).collect()
+    assert len(drawn) == sum(-(-r.taken // r.size) for r in taken if r.taken)
+    assert sum(len(r.text.split()) for r in drawn) == sum(r.taken for r in taken) and set(words) == {r.source for r in drawn}
+    whole = {r[1]: r for r in rows}
+    for r in drawn:  # with the text's own lang and source
+        text = next(t for t in whole if t == r.text or t.startswith(r.text + " "))
+        assert (r.doc_id, r.lang, r.source) == (whole[text][0], *whole[text][2:4])
