@@ -223,7 +223,7 @@ def bait_frontier(spark, sf):
 
 @query
 def gap_distances(spark, sf):
-    return structure.gap_table(_cells(spark, sf), BUDGET).drop("raster_id")
+    return structure.gap_table(_cells(spark, sf)).drop("raster_id")
 
 
 @query

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.catalogue import QUERIES
 from tessella.model import COST_SCENARIOS
 from tessella.operators import learning, planning, texts
 from tessella.sources import geotiff, office
@@ -96,3 +97,8 @@ def test_release_deletes_intermediate_tables(spark):
     spark.catalog.clearCache()
     with pytest.raises(Exception, match="exist|found"):
         spark.read.parquet(df.inputFiles()[0])
+
+
+def test_gap_distances_beyond_the_budget(spark):
+    steps = [r.steps for r in QUERIES["gap_distances"](spark, "/root/testdata/sf0.01").collect()]
+    assert (len(steps), sum(d <= 20 for d in steps), max(steps)) == (178, 123, 49)
