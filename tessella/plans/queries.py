@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import parse_shape, passes, run_slug, without_nodata
-from ..model import BUDGETS, COST_SCENARIOS, LAND_SCENARIOS, RESTORABLE
+from ..model import BUDGETS, COST_SCENARIOS, EVALUATIONS, LAND_SCENARIOS, RESTORABLE
 from ..operators import graph, planning, raster, reports, steps, structure, texts
 from ..sources.derived import cells as derived_cells
 from ..sources.results import evolve, upsert
@@ -390,19 +390,14 @@ def bridge_first_action(spark, sf):
     return _grids(spark, sf, lambda g: pd.DataFrame({"cell_id": [planning.policy_bridge(g)]}), "cell_id long")
 
 
-def _configs(spark, methods, seeds=(0, 1, 2), budget=8.0):
-    rows = [("1:2", m, s, budget, 2.0, list(RESTORABLE), {k: float(v) for k, v in COSTS.items()}) for m in methods for s in (seeds if m == "random" else (0,))]
+def _configs(spark, methods, seeds=(0, 1, 2), budget=8.0, dispersal=2.0):
+    rows = [("1:2", m, s, budget, dispersal, list(RESTORABLE), {k: float(v) for k, v in COSTS.items()}) for m in methods for s in (seeds if m == "random" else (0,))]
     return spark.createDataFrame(rows, "config string, method string, seed int, budget double, dispersal double, restorable array<int>, costs map<int,double>")
 
 
-def _small(spark, sf):
-    c, h, w = derived_cells(spark, sf)
-    return raster.resample(c, (h, w), (min(h, 20), min(w, 25)))
-
-
 @query
 def episode_rollout(spark, sf):
-    return planning.episodes(_small(spark, sf), _configs(spark, ["random", "naive", "cost", "bridge"]))
+    return planning.episodes(_cells(spark, sf), _configs(spark, ["random", "naive", "cost", "bridge"], range(EVALUATIONS), float(BUDGET), R))
 
 
 @query
@@ -431,7 +426,7 @@ def bridge_routes_frames(spark, sf):
 
 @query
 def scenario_results(spark, sf):
-    return planning.run_scenarios(_small(spark, sf), ["random", "naive", "cost", "bridge"], COST_SCENARIOS, [4, 8], 2.0, evaluations=3)
+    return planning.run_scenarios(_cells(spark, sf), ["random", "naive", "cost", "bridge"], COST_SCENARIOS, list(BUDGETS), R)
 
 
 @query

@@ -102,3 +102,10 @@ def test_release_deletes_intermediate_tables(spark):
 def test_gap_distances_beyond_the_budget(spark):
     steps = [r.steps for r in QUERIES["gap_distances"](spark, "/root/testdata/sf0.01").collect()]
     assert (len(steps), sum(d <= 20 for d in steps), max(steps)) == (178, 123, 49)
+
+
+def test_episodes_plan_the_whole_raster(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["episode_rollout"](spark, sf).collect()
+    assert {round(r.iic_initial, 10) for r in rows} == {QUERIES["raster_audit"](spark, sf).first().iic}
+    assert sum(r.method == "random" for r in rows) == 20 and max(r.cost for r in rows) == 20
