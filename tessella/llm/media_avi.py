@@ -7,7 +7,8 @@ the end-of-block code one more; whole batches of frames are coded and decoded as
 (any one-component baseline JPEG) are decoded by a general, slower routine.
 
 Shots: the histogram difference between neighbouring frames is a cut where it exceeds the mean of the last ``window``
-differences by ``k`` standard deviations and a floor.
+differences by ``k`` standard deviations and a floor. A cut needs two earlier differences of the same document, so frames
+1 and 2 never begin a shot, and a payload of up to 3 frames (1,728 bytes) is always one shot.
 
 Defined cases: null or empty text: one frame of padding; very long texts: batches are cut by payload bytes; repeated
 rows: each gets its row; null doc_id: kept; empty table: no rows; other columns are ignored.
