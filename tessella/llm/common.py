@@ -1,7 +1,7 @@
 """Helpers shared by the corpus operators.
 
 * shared tables: intermediate results go to the folder named by ``spark.checkpoint.dir`` so that they outlive a lost
-  executor; a temporary folder is used only where that setting is absent (tests on one machine);
+  executor; a local master may do without that setting (tests on one machine), any other may not;
 * packed chunks: a few MB of whole texts as one compressed row, so that later passes move few, large rows;
 * bucket messages: what a chunk says about its names, one row per (chunk, bucket), and the replies to it;
 * connected components on an edge table.
@@ -9,8 +9,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ REPLY = "chunk long, kind int, bucket int, reply binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local temporary one only if that is unset."""
+    """The folder in ``spark.checkpoint.dir``; only a local master may leave it unset, and gets a temporary one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="tessella-")
@@ -50,16 +54,33 @@ def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables made so far; results that still read them have to be written before."""
+@contextmanager
+def own_tables():
+    """A list that holds, at the end, the tables made meanwhile; :func:`release` of all others leaves them alone."""
+    at, own = len(_made), []
+    try:
+        yield own
+    finally:
+        own += _made[at:]
+        del _made[at:]
+
+
+def release(spark: SparkSession, tables: list[tuple[str, str]] | None = None) -> int:
+    """Delete intermediate tables, by default all made so far; results that still read them have to be written before.
+
+    Shuffle files of queries that are no longer referred to go too, by a collection on the driver.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_made)
-    while _made:
-        tag, path = _made.pop()
+    tables = _made if tables is None else tables
+    n = len(tables)
+    while tables:
+        tag, path = tables.pop()
         if tag:
             spark.sql(f"DROP TABLE IF EXISTS {tag}")
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
     return n
 
 
@@ -169,6 +190,19 @@ def chunk_rows(batches, columns: list[str]):
             yield {n: c[i].as_py() for n, c in zip(columns, cols, strict=True)}
 
 
+def joined(batches, rows: int):
+    """Arrow batches put together to at least ``rows`` rows, but for the last."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held, size = [*held, b], size + b.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -219,6 +253,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_draw = np.random.default_rng(21)
+_BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64)
+_BYTE[32] = 0  # the space behind a word adds nothing to its hash
+_PLACE = _draw.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
+
+
+class Words:
+    """The words of texts: ``bytes`` holds every word followed by one space, word i at at[i] with length[i] bytes."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        raw, edge = data.tobytes(), offs.tolist()
+        split = [raw[i:j].split() for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        n = np.array([len(w) for w in split], np.int64)
+        self.bytes = np.frombuffer(b"".join([x for w in split if w for x in (b" ".join(w), b" ")]), np.uint8)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        end = np.flatnonzero(self.bytes == 32)
+        self.at = np.concatenate((np.zeros(1, np.int64), end[:-1] + 1)) if len(end) else end
+        self.length = end - self.at
+        if not len(end):
+            self.hash = np.zeros(0, np.uint64)
+            return
+        place = np.arange(len(self.bytes), dtype=np.int32) - np.repeat(self.at.astype(np.int32), self.length + 1)
+        place &= 4095
+        self.hash = mix(np.add.reduceat(_BYTE[self.bytes] * _PLACE[place], self.at) + self.length.astype(np.uint64))
+
+
 def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node of each one's component) of the edges (u, v), by min-label hooking and pointer jumping."""
     nodes, flat = np.unique(np.concatenate((u, v)), return_inverse=True)

@@ -89,7 +89,7 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 
 def drawn_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: ``docs`` (doc_id unique, repeated or null) with a row per draw and its ``position``, sorted by it.
+    """The mix itself: ``docs`` (doc_id unique, repeated or null) with a row per draw and its ``position``, sorted by it from partition to partition.
 
     A draw in part keeps a document's first words, joined by one space, and n_chars follows if there is such a column.
     A column ``position`` of ``docs`` is replaced. Rows are numbered in a table written once, and joined by that number.
@@ -99,12 +99,14 @@ def drawn_documents(docs: DataFrame, **options) -> DataFrame:
     left = F.col("taken") - F.col("lap") * F.col("size")
     drawn = draws(docs, row_col="_mix_row", **options).where("taken > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
     drawn = drawn.select(F.col("row").alias("_mix_row"), F.struct(F.least("size", left).cast("int").alias("words"), (F.col("size") > left).alias("cut"), position(F.col("at") + F.col("lap") * F.col("source_size")).alias("position")).alias("_mix"))
-    out = docs.join(drawn, "_mix_row")
+    n = partitions(docs.sparkSession)
+    drawn = shared_table(drawn.repartitionByRange(n, "_mix.position", "_mix_row").withColumn("_mix_task", F.spark_partition_id()), "draws")  # ranges are cut without the texts
+    out = docs.join(drawn, "_mix_row").repartitionById(n, F.col("_mix_task")).sortWithinPartitions("_mix.position", "_mix_row")
     start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix.words")), " ")
     out = out.withColumn("text", F.when(F.col("_mix.cut"), start).otherwise(F.col("text")))
     if "n_chars" in own:
         out = out.withColumn("n_chars", F.when(F.col("_mix.cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*own, F.col("_mix.position").alias("position")).orderBy("position", "doc_id")
+    return out.select(*own, F.col("_mix.position").alias("position"))
 
 
 ORACLE = r"""

@@ -30,33 +30,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import MESSAGE, MESSAGE_ARROW, answered, chunk_rows, ids_out, mix, pack, partitions, plain, reply_map, shared_table, split_by_bucket, to_batch, unpack, with_replies
-
-_draw = np.random.default_rng(21)
-_BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64)
-_PLACE = _draw.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
-_RUN, _PAIR, _ONE, _NEXT = (np.uint64(x) for x in _draw.integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
-_BYTE[32] = 0  # the space behind a word adds nothing to its hash
-
-
-class Words:
-    """The words of texts: ``bytes`` holds every word followed by one space, word i at at[i] with length[i] bytes."""
-
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
-        raw, edge = data.tobytes(), offs.tolist()
-        split = [raw[i:j].split() for i, j in zip(edge[:-1], edge[1:], strict=True)]
-        n = np.array([len(w) for w in split], np.int64)
-        self.bytes = np.frombuffer(b"".join([x for w in split if w for x in (b" ".join(w), b" ")]), np.uint8)
-        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        end = np.flatnonzero(self.bytes == 32)
-        self.at = np.concatenate((np.zeros(1, np.int64), end[:-1] + 1)) if len(end) else end
-        self.length = end - self.at
-        if not len(end):
-            self.hash = np.zeros(0, np.uint64)
-            return
-        place = np.arange(len(self.bytes), dtype=np.int32) - np.repeat(self.at.astype(np.int32), self.length + 1)
-        place &= 4095
-        self.hash = mix(np.add.reduceat(_BYTE[self.bytes] * _PLACE[place], self.at) + self.length.astype(np.uint64))
+from .common import Words, MESSAGE, MESSAGE_ARROW, answered, chunk_rows, ids_out, mix, pack, partitions, plain, reply_map, shared_table, split_by_bucket, to_batch, unpack, with_replies
+
+_RUN, _PAIR, _ONE, _NEXT = (np.uint64(x) for x in np.random.default_rng(23).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
 
 
 class Symbols:

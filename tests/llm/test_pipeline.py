@@ -8,12 +8,20 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from tessella.llm import langid_ppm, mixing, simhash
+from tessella.llm import common, langid_ppm, mixing, simhash
 
 SF = "/root/testdata/sf0.001"
 ROW = pipeline.COLUMNS
 
 
+def wide_bits(text):
+    """(word bits, shingle bits) of one text, by its own words."""
+    low = np.frombuffer("".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode(), np.uint8)
+    hashes = common.Words(low, np.array([0, len(low)])).hash
+    got = np.frombuffer(simhash.wide_bits(hashes), np.uint8)
+    return got[:60], got[60:]
+
+
 def tuples(df):
     return Counter(tuple(r[c] for c in ROW) for r in df.select(*ROW).collect())
 
@@ -36,10 +44,11 @@ def test_language_id(stages):
 
 def test_near_dedup(stages):
     docs = [tuple(r) for r in stages["language_id"].select(*ROW).collect()]
-    label, near = np.arange(len(docs)), False
-    for law in pipeline.LAWS:
-        fps = np.array([simhash.fingerprint((d[1] or "").encode(), law["shingle"]) for d in docs], np.uint64)
-        near |= np.bitwise_count(fps[:, None] ^ fps[None, :]) <= law["distance"]
+    label = np.arange(len(docs))
+    bits = [wide_bits(d[1] or "") for d in docs]
+    word, shingle = (np.array([b[k] for b in bits]) for k in (0, 1))
+    share = (word.reshape(-1, 1, 20, 3) == word.reshape(1, -1, 20, 3)).all(axis=3).any(axis=2)
+    near = share & (np.bitwise_count(shingle[:, None] ^ shingle[None, :]).sum(axis=2) <= 86)
     while True:
         new = np.where(near, label[None, :], len(docs)).min(axis=1)
         if (new == label).all():
