@@ -9,10 +9,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +90,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts can be long, so Arrow batches hold fewer rows than by default."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound Arrow batches by bytes, as texts can be long; a session that bounds them already is left alone."""
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def tidy(kernel):
+    """The kernel of an Arrow map whose worker hands unused memory back to the system when the task ends."""
+
+    @wraps(kernel)
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return run
 
 
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -171,7 +190,7 @@ def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield flush()
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, PACKED + ", rest binary" * bool(more))
+    return docs.mapInArrow(tidy(run), PACKED + ", rest binary" * bool(more))
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +250,7 @@ def answered(messages: DataFrame, reducers: dict, n: int) -> DataFrame:
                 out = [(r["chunk"], kind, r["bucket"], reply) for r, reply in zip(own, reducer(own), strict=True)]
                 yield to_batch(out, REPLY_ARROW)
 
-    return messages.repartitionById(n, F.col("bucket")).mapInArrow(run, REPLY)
+    return messages.repartitionById(n, F.col("bucket")).mapInArrow(tidy(run), REPLY)
 
 
 def with_replies(packed: DataFrame, replies: DataFrame) -> DataFrame:
@@ -244,6 +263,37 @@ def reply_map(row: dict) -> dict[tuple[int, int], bytes]:
     return {(x["kind"], x["bucket"]): x["reply"] for x in row["replies"] or ()}
 
 
+def name_messages(names: np.ndarray, several: np.ndarray, chunk: int, kind: int, n: int):
+    """Messages of a chunk's distinct 47-bit names, with a bit for those that it has in several places itself."""
+    said = (names << np.uint64(1) | several).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    for k, i in split_by_bucket((names % np.uint64(n)).astype(np.int64), n):
+        yield k, chunk, kind, said[i].tobytes(), b"", b""
+
+
+def bits_of(got: dict, kind: int, names: np.ndarray, n: int) -> np.ndarray:
+    """The bits that were replied about ``names``."""
+    out = np.zeros(len(names), bool)
+    for k, i in split_by_bucket((names % np.uint64(n)).astype(np.int64), n):
+        out[i] = np.unpackbits(np.frombuffer(got[kind, k], np.uint8), count=len(i)).astype(bool)
+    return out
+
+
+def shared_names(rows: list[dict]) -> list[bytes]:
+    """Replies to :func:`name_messages`: a bit for each name that occurs in several places."""
+    sizes = [len(r["p1"]) // 6 for r in rows]
+    said = np.zeros((sum(sizes), 8), np.uint8)
+    said[:, :6] = np.frombuffer(b"".join(r["p1"] for r in rows), np.uint8).reshape(-1, 6)
+    said = said.view("<u8")[:, 0]
+    name, several = said >> np.uint64(1), (said & np.uint64(1)).astype(bool)
+    order = np.argsort(name, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], np.diff(name[order]) != 0)))
+    size = np.diff(np.append(start, len(name)))
+    both = (size > 1) | np.logical_or.reduceat(several[order], start)
+    out = np.empty(len(name), bool)
+    out[order] = np.repeat(both, size)
+    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(32))
@@ -311,7 +361,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             keep = nodes != root
             yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], names=["u", "v"])
 
-    e = shared_table(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(forest, "u long, v long").distinct(), "edges")
+    e = shared_table(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(tidy(forest), "u long, v long").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_components, partitions, shared_table
+from .common import connected_components, local_components, partitions, shared_table, tidy
 
 
 def matrix(col: pa.Array, n: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.95, rows_per_pivot: in
                 yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), got.column(2), got.column(3), pa.array(cell, pa.int32()), pa.array(home[i] == cell)], names=["uid", "e", "dim", "mult", "cell", "own"])
 
     kind = dict(classes.dtypes)["e"]
-    placed = shared_table(classes.select("uid", "e", "dim", "mult").mapInArrow(place, f"uid long, e {kind}, dim int, mult long, cell int, own boolean"), "cells")
+    placed = shared_table(classes.select("uid", "e", "dim", "mult").mapInArrow(tidy(place), f"uid long, e {kind}, dim int, mult long, cell int, own boolean"), "cells")
     sizes = placed.groupBy("dim", "cell").agg(F.sum(F.col("own").cast("int")).alias("homes"), F.count("*").alias("everyone"))  # at most most_pivots rows for a length
     cut = sizes.select("dim", "cell", F.ceil(F.col("homes") / block_rows).cast("int").alias("ni"), F.ceil(F.col("everyone") / block_rows).cast("int").alias("nj")).where("ni > 0")
     placed = placed.join(F.broadcast(cut), ["dim", "cell"])
@@ -150,7 +150,7 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.95, rows_per_pivot: in
             yield from joined()
 
     dealt = left.unionAll(right).repartition(partitions(spark), "dim", "cell", "bi", "bj").sortWithinPartitions("dim", "cell", "bi", "bj")
-    found = shared_table(dealt.mapInArrow(run, "u long, v long, n long"), "links")
+    found = shared_table(dealt.mapInArrow(tidy(run), "u long, v long, n long"), "links")
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
     comp = connected_components(found.where("v is not null").select("u", "v"))
     known = classes.join(counts, classes.uid == counts.u, "left").join(comp, classes.uid == comp.node, "left").select("uid", "e", "least", "mult", "n", F.coalesce("component", "uid").alias("root"))

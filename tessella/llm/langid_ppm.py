@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_arrays, ids_out, small_batches, text_arrays
+from .common import id_arrays, ids_out, small_batches, text_arrays, tidy
 
 LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, train_docs: int = 6000, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(n.astype(np.int64))], names=["b", "n"])
 
     usage = np.zeros(256, np.int64)
-    for r in sample.mapInArrow(bytes_of, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # 256 rows
+    for r in sample.mapInArrow(tidy(bytes_of), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # 256 rows
         usage[r["b"]] = r["n"]
     alphabet = np.full(256, 63, np.uint8)
     alphabet[np.argsort(-usage, kind="stable")[:62]] = np.arange(1, 63)
@@ -148,7 +148,7 @@ def train(docs: DataFrame, train_docs: int = 6000, id_col: str = "doc_id", text_
             n = np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
 
-    table = sample.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    table = sample.mapInArrow(tidy(count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     if not langs:
         return None
@@ -199,5 +199,5 @@ def predict(docs: DataFrame, model: Model | None, block_bytes: int = 1 << 19, id
     keep = keep or []
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
-    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + "".join(f", k{i} {kinds[c]}" for i, c in enumerate(keep)))
+    out = rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double" + "".join(f", k{i} {kinds[c]}" for i, c in enumerate(keep)))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))

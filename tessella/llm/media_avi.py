@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_arrays, ids_out, plain, small_batches, text_arrays
+from .common import id_arrays, ids_out, plain, small_batches, text_arrays, tidy
 
 FRAME = 576  # payload bytes in a frame: 24 x 24 blocks
 SIDE = 24
@@ -281,7 +281,7 @@ def media_rows(docs: DataFrame, with_file: bool = False, batch_bytes: int = 1 <<
                 at = to
 
     small_batches(docs.sparkSession)
-    return plain(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", file binary" * with_file)
+    return plain(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA + ", file binary" * with_file)
 
 
 def clip_rows(media: DataFrame) -> DataFrame:

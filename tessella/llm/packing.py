@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_arrays, ids_out, plain, shared_table, small_batches, text_arrays
+from .common import id_arrays, ids_out, plain, shared_table, small_batches, text_arrays, tidy
 
 _encoders: dict = {}
 
@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
             yield pa.RecordBatch.from_arrays(out + [pa.array(tokens, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
     small_batches(docs.sparkSession)
-    return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return plain(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def _round(items: DataFrame, tasks: int, level: int, capacity: int, most_up: int
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(bins + base), pa.array(at), pa.array(fill[bins]), pa.array(up[bins])], names=["item", "bin", "at", "fill", "up"])
 
     dealt = items.repartitionById(tasks, F.pmod(F.xxhash64("item", F.lit(level)), F.lit(tasks)).cast("int"))
-    return shared_table(dealt.mapInArrow(run, "item long, bin long, at long, fill long, up boolean"), "bins")
+    return shared_table(dealt.mapInArrow(tidy(run), "item long, bin long, at long, fill long, up boolean"), "bins")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, rows_per_task: int = 50_000, fan_in: int = 8) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_arrays, ids_out, mix, plain, small_batches, text_arrays
+from .common import id_arrays, ids_out, mix, plain, small_batches, text_arrays, tidy
 
 FEATURES = ["bytes", "words", "word_length", "upper", "digits", "symbols", "punctuation", "non_ascii", "lines", "distinct_words", "distinct_pairs", "distinct_lines", "top_word", "sentence_words", "short_words", "long_words", "vowels", "echoes"]
 _KIND = np.full(256, 8)  # 0 lower, 1 upper, 2 digit, 3 symbol, 4 punctuation, 5 sentence end, 6 white, 7 newline, 8 others
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, block_by
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     # at most train_rows ids are broadcast, and as many rows of features collected
-    got = plain(docs, id_col, text_col).join(F.broadcast(own), "doc_id").select("y", "text").mapInArrow(run, "y int, x array<double>").toArrow()
+    got = plain(docs, id_col, text_col).join(F.broadcast(own), "doc_id").select("y", "text").mapInArrow(tidy(run), "y int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.asarray(got.column("y"), float)
     order = np.lexsort((*x.T, y)) if len(y) else np.zeros(0, int)  # any order of rows gives the same sums
@@ -214,4 +214,4 @@ def score(docs: DataFrame, model: Gam, block_bytes: int = 1 << 20, id_col: str =
             parts = [model.score(x) for x in _blocks(b, block_bytes)]
             yield pa.RecordBatch.from_arrays([ids_out(*id_arrays(b.column(0))), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return plain(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, score double")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunk_rows, connected_components, id_arrays, ids_out, joined, local_components, mix, partitions, plain, shared_table, small_batches, split_by_bucket, text_arrays, to_batch
+from .common import Words, chunk_rows, connected_components, id_arrays, ids_out, joined, local_components, mix, partitions, plain, shared_table, small_batches, split_by_bucket, text_arrays, tidy, to_batch
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _COLUMN = (np.arange(8) * 256)[None, :]
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([ids_out(*id_arrays(b.column(0))), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return plain(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def majority(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([ids_out(*id_arrays(b.column(0))), pa.array(out, pa.binary())], names=["doc_id", "bits"])
 
     small_batches(docs.sparkSession)
-    return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, bits binary")
+    return plain(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, bits binary")
 
 
 def key_masks(blocks: int, distance: int) -> list[int]:
@@ -224,11 +224,11 @@ def _forest(nodes: DataFrame, entries_of, words: int, distance: int, group_rows:
             yield edge_batch(*link(held, side))
 
     found_schema = "kind int, u long, v long, entries binary"
-    dealt = nodes.repartition(n, nodes.columns[0]).mapInArrow(deal, "bucket long, kind int, n long, entries binary")
+    dealt = nodes.repartition(n, nodes.columns[0]).mapInArrow(tidy(deal), "bucket long, kind int, n long, entries binary")
     dealt = dealt.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket", "kind")
-    found = shared_table(dealt.mapInArrow(meet, found_schema), "links")
+    found = shared_table(dealt.mapInArrow(tidy(meet), found_schema), "links")
     crowded = found.where(F.col("kind") != EDGE).repartition(n, "u", "v").sortWithinPartitions("u", "v")
-    return found.where(F.col("kind") == EDGE).select("u", "v").unionAll(crowded.mapInArrow(meet_parts, found_schema).select("u", "v"))
+    return found.where(F.col("kind") == EDGE).select("u", "v").unionAll(crowded.mapInArrow(tidy(meet_parts), found_schema).select("u", "v"))
 
 
 def link_forest(fps: DataFrame, distance: int = 3, blocks: int = 5, group_rows: int = 1 << 17) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import Words, MESSAGE, MESSAGE_ARROW, answered, chunk_rows, ids_out, mix, pack, partitions, plain, reply_map, shared_table, split_by_bucket, to_batch, unpack, with_replies
+from .common import MESSAGE, MESSAGE_ARROW, Words, answered, bits_of, chunk_rows, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_names, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
 
 _RUN, _PAIR, _ONE, _NEXT = (np.uint64(x) for x in np.random.default_rng(23).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
 
@@ -105,15 +105,11 @@ class _Chunk:
         self.used, self.several = used, top > low
 
     def anchors(self, chunk: int, n: int):
-        said = (self.names << np.uint64(1) | self.several).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        for k, i in split_by_bucket((self.names % np.uint64(n)).astype(np.int64), n):
-            yield k, chunk, 0, said[i].tobytes(), b"", b""
+        yield from name_messages(self.names, self.several, chunk, 0, n)
 
     def verify(self, got: dict, n: int) -> None:
         """Candidates, their digests, and the smallest id that this chunk knows for each."""
-        shared = np.zeros(len(self.names), bool)
-        for k, i in split_by_bucket((self.names % np.uint64(n)).astype(np.int64), n):
-            shared[i] = np.unpackbits(np.frombuffer(got[0, k], np.uint8), count=len(i)).astype(bool)
+        shared = bits_of(got, 0, self.names, n)
         of_symbol = np.ones(len(self.s.high) + 1, bool)  # the last: no anchor, so a candidate
         of_symbol[self.used] = shared[self.name_of]
         self.at = self.s.window[of_symbol[self.s.anchor]]
@@ -147,21 +143,6 @@ class _Chunk:
         return np.cumsum(edge)[:-1] > 0
 
 
-def _shared_names(rows: list[dict]) -> list[bytes]:
-    sizes = [len(r["p1"]) // 6 for r in rows]
-    said = np.zeros((sum(sizes), 8), np.uint8)
-    said[:, :6] = np.frombuffer(b"".join(r["p1"] for r in rows), np.uint8).reshape(-1, 6)
-    said = said.view("<u8")[:, 0]
-    name, several = said >> np.uint64(1), (said & np.uint64(1)).astype(bool)
-    order = np.argsort(name, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], np.diff(name[order]) != 0)))
-    size = np.diff(np.append(start, len(name)))
-    both = (size > 1) | np.logical_or.reduceat(several[order], start)
-    out = np.empty(len(name), bool)
-    out[order] = np.repeat(both, size)
-    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
-
-
 def _smaller_ids(rows: list[dict]) -> list[bytes]:
     sizes = [len(r["p1"]) // 8 for r in rows]
     lo, hi = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("p1", np.uint64), ("p2", np.uint32)))
@@ -191,7 +172,7 @@ def earlier_passages(docs: DataFrame, window: int = 13, phrase: int = 5, chunk_b
         for row in chunk_rows(batches, columns):
             yield to_batch(list(_Chunk(row, window, phrase).anchors(row["chunk"], n)), MESSAGE_ARROW)
 
-    names = shared_table(answered(packed.mapInArrow(reveal, MESSAGE), {0: _shared_names}, n), "names")
+    names = shared_table(answered(packed.mapInArrow(tidy(reveal), MESSAGE), {0: shared_names}, n), "names")
 
     def verify(batches):
         for row in chunk_rows(batches, [*columns, "replies"]):
@@ -199,7 +180,7 @@ def earlier_passages(docs: DataFrame, window: int = 13, phrase: int = 5, chunk_b
             c.verify(reply_map(row), n)
             yield to_batch(list(c.digests(row["chunk"], n)), MESSAGE_ARROW)
 
-    ids = answered(with_replies(packed, names).select(*columns, "replies").mapInArrow(verify, MESSAGE), {1: _smaller_ids}, n)
+    ids = answered(with_replies(packed, names).select(*columns, "replies").mapInArrow(tidy(verify), MESSAGE), {1: _smaller_ids}, n)
 
     def finish(batches):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
@@ -224,4 +205,4 @@ def earlier_passages(docs: DataFrame, window: int = 13, phrase: int = 5, chunk_b
             yield pa.RecordBatch.from_arrays([ids_out(c.ids, c.id_null), *(pa.array(x, k) for x, k in zip(cols[:take], kinds[:take], strict=True))], names=["doc_id", *names_[:take]])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,length:long>>" + ", kept_text string" * with_text
-    return with_replies(packed, names.unionAll(ids)).select(*columns, "replies").mapInArrow(finish, schema)
+    return with_replies(packed, names.unionAll(ids)).select(*columns, "replies").mapInArrow(tidy(finish), schema)

@@ -1,24 +1,29 @@
 """Exact repeated byte strings by suffix arrays built per shard and merged across shards.
 
-Every ``window``-byte string that starts in two places is found, and the bytes under it are marked.
-
-1. Candidate search, lossless. The least of the hashes of the ``gram``-byte strings inside a window is the window's
-   anchor; equal windows have equal anchors at equal offsets. Neighbouring windows of one anchor form a segment (about
-   85 windows). Names of anchors and 128-bit digests of segments are compared over the whole corpus: a segment whose
-   anchor occurs once holds no repeat, and one whose whole content occurs twice is repeated throughout.
-2. Suffix arrays. What is left, one copy of each segment whose anchor occurs with differing surroundings, is sharded by
-   anchor. A shard's suffixes are sorted by Larsson-Sadakane refinement in numpy (ranks by 8 bytes, doubled until the
-   order is settled to the window's length), and Kasai's recurrence, run in lockstep over all segments, gives the
-   common prefixes of neighbours; windows with a neighbour sharing ``window`` bytes are repeated.
-3. Hot anchors, with more than ``hot`` different segments, are spread over several shards. Each hands on its distinct
-   windows under such anchors as sorted 128-bit digests, which are merged across shards by binary search.
-
-Names and digests go out once per chunk of documents, so copies, however many, are summed before the exchange. Chunk
-size and the number of buckets (spark.sql.shuffle.partitions) set the number of messages.
+Every ``window``-byte string that starts in two places is found, and the bytes under it are marked. A shard is a chunk of
+whole texts.
+
+1. Copies. Texts that occur more than once, by their 128-bit digests, are repeated throughout; one of each goes on.
+2. Candidates, lossless. The least of the hashes of the ``gram``-byte strings inside a window is the window's anchor;
+   equal windows have equal anchors at equal offsets. An exchange of the anchors' names tells which occur in two places
+   of the corpus; only windows over those go on.
+3. Suffix arrays. The candidates of a shard are sorted by Larsson-Sadakane refinement in numpy (ranks by 8 bytes, doubled
+   until the order is settled to the window's length), and Kasai's recurrence, run in lockstep over blocks of windows,
+   gives the common prefixes of neighbours. That finds the repeats inside the shard, and one place of each different
+   window.
+4. Merge. Each shard deals its different windows, as sorted 96-bit digests, to ranges of digests; in a range the shards'
+   lists are merged two by two by binary search, and each shard learns which of its windows others hold as well.
+
+``law`` "all" marks every such string; "first" leaves its first occurrence (least doc_id, then least place in the input,
+then least place in the text) and marks those that start behind it and don't overlap it.
+
+Messages go out once per shard, so copies, however many, are summed before an exchange. Chunk size and the number of
+buckets (spark.sql.shuffle.partitions) set the number of messages.
 
 Defined cases: null or empty text: 0 bytes, nothing removed, the digest of no bytes; texts under ``window`` bytes:
-nothing removed; repeated rows: documents of their own, which repeat each other; null doc_id: kept; empty table: no
-rows; other columns are ignored.
+nothing removed; a text longer than ``chunk_bytes``: a shard of its own, in one task, some 100 bytes of memory for each
+of its candidate bytes; repeated rows: documents of their own, which repeat each other; ties of doc_id: ordered by
+place; null doc_id: kept, behind all others; empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,24 +37,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MESSAGE, MESSAGE_ARROW, answered, chunk_rows, ids_out, mix, pack, partitions, plain, reply_map, shared_table, split_by_bucket, to_batch, unpack, with_replies
+from .common import MESSAGE, MESSAGE_ARROW, answered, bits_of, chunk_rows, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_names, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
 
-_TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_STEP = np.random.default_rng(12).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+_TABLES = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_STEPS = np.random.default_rng(12).integers(1, 2**63, (2, 64), dtype=np.uint64) | np.uint64(1)
 _PLACE = 26  # low bits of a key that hold the place; the same at every size, so ties break alike everywhere
-COVER, SEGMENTS, HOT, FOUND, MERGE = 10, 11, 12, 20, 13
+NAMES, TEXTS, WINDOWS, RUNS, COUNTS, CLASSES, LOCAL, WHOLE = range(8)  # kinds of messages and of what a shard keeps
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int, family: int = 0) -> np.ndarray:
     """A hash of the ``gram`` bytes (a power of two) at each place, by doubling."""
-    h, m, level = _TABLE[data], 1, 0
+    h, m, level = _TABLES[family][data], 1, 0
     while m < gram:
-        h = h[:-m] * _STEP[level] + h[m:]
+        h = h[:-m] * _STEPS[family][level] + h[m:]
         h ^= h >> np.uint64(31)
         m, level = 2 * m, level + 1
     return mix(h)
 
 
+def window_digests(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of the ``window`` bytes at each place: two hashes of its first and last 2^k bytes."""
+    gram = 1 << (window.bit_length() - 1)
+    out = []
+    for family in range(2):
+        h = gram_hashes(text, gram, family)
+        out.append(mix(h[at] * _STEPS[family][60] + h[at + (window - gram)]))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
 def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int, block: int = 1 << 20):
     """(first window, last window, name of the anchor) of every segment."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
@@ -77,87 +92,8 @@ def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int, block:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def digests(raw: bytes, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    f = xxhash.xxh3_128_digest
-    d = np.frombuffer(b"".join([f(raw[a:b]) for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
-    return d[:, 0].copy(), d[:, 1].copy()
-
-
-class _Chunk:
-    """Segments of a packed chunk, in the order (name, digest), and what is said about them."""
-
-    def __init__(self, row: dict, window: int, gram: int):
-        self.ids, self.id_null, self.offs, self.data = unpack(row)
-        first, last, name = segments(self.data, self.offs, window, gram)
-        self.raw = self.data.tobytes()
-        lo, hi = digests(self.raw, first, last, window)
-        order = np.lexsort((hi, lo, name))
-        self.first, self.last, self.name, self.lo, self.hi = (x[order] for x in (first, last, name, lo, hi))
-        new_name = np.concatenate(([True], self.name[1:] != self.name[:-1])) if len(name) else np.zeros(0, bool)
-        new_text = new_name | np.concatenate(([True], (self.lo[1:] != self.lo[:-1]) | (self.hi[1:] != self.hi[:-1]))) if len(name) else new_name
-        self.name_of, self.text_of = np.cumsum(new_name) - 1, np.cumsum(new_text) - 1
-        self.names, self.texts = np.flatnonzero(new_name), np.flatnonzero(new_text)
-
-    def messages(self, chunk: int, n: int):
-        kinds = np.bincount(self.name_of[self.texts], minlength=len(self.names))
-        more = np.bincount(self.name_of, minlength=len(self.names)) > 1
-        name, lo, said = self.name[self.names], self.lo[self.names], (kinds << 1 | more).astype(np.uint32)
-        for k, i in split_by_bucket((name % np.uint64(n)).astype(np.int64), n):
-            yield k, chunk, 0, name[i].tobytes(), lo[i].tobytes(), said[i].tobytes()
-        lo, hi, twice = self.lo[self.texts], self.hi[self.texts], (np.bincount(self.text_of, minlength=len(self.texts)) > 1).astype(np.uint8)
-        for k, i in split_by_bucket((lo % np.uint64(n)).astype(np.int64), n):
-            yield k, chunk, 1, lo[i].tobytes(), hi[i].tobytes(), twice[i].tobytes()
-
-    def replies(self, got: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Replies about each segment's name and text."""
-        out = []
-        for kind, key, at in ((0, self.name[self.names], self.name_of), (1, self.lo[self.texts], self.text_of)):
-            said = np.zeros(len(key), np.uint8)
-            for k, i in split_by_bucket((key % np.uint64(n)).astype(np.int64), n):
-                said[i] = np.frombuffer(got[kind, k], np.uint8)
-            out.append(said[at])
-        return out[0], out[1]
-
-
-def _about_names(hot: int):
-    """0: the anchor occurs once; 1: always in the same segment; 2 + s: in different ones, spread over 2^s shards."""
-
-    def reducer(rows: list[dict]) -> list[bytes]:
-        name, lo, said = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("p1", np.uint64), ("p2", np.uint64), ("p3", np.uint32)))
-        order = np.argsort(name, kind="stable")
-        start = np.flatnonzero(np.concatenate(([True], np.diff(name[order]) != 0)))
-        size = np.diff(np.append(start, len(name)))
-        kinds = np.add.reduceat((said[order] >> 1).astype(np.int64), start)
-        alike = (np.minimum.reduceat(lo[order], start) == np.maximum.reduceat(lo[order], start)) & (np.maximum.reduceat(said[order] >> 1, start) == 1)
-        more = (size > 1) | (np.bitwise_or.reduceat(said[order] & 1, start) > 0)
-        spread = np.ceil(np.log2(np.maximum(kinds / hot, 1))).astype(np.uint8)
-        status = np.where(~more, 0, np.where(alike, 1, 2 + spread)).astype(np.uint8)
-        out = np.empty(len(name), np.uint8)
-        out[order] = np.repeat(status, size)
-        cuts = np.cumsum([len(r["p1"]) // 8 for r in rows])
-        return [x.tobytes() for x in np.split(out, cuts[:-1])]
-
-    return reducer
-
-
-def _about_texts(rows: list[dict]) -> list[bytes]:
-    """0: the segment's text occurs once; 1: more often; 2: more often, and this chunk shows it to the shards."""
-    lo, hi, twice = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("p1", np.uint64), ("p2", np.uint64), ("p3", np.uint8)))
-    order = np.lexsort((hi, lo))
-    start = np.flatnonzero(np.concatenate(([True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))))
-    size = np.diff(np.append(start, len(lo)))
-    more = (size > 1) | (np.bitwise_or.reduceat(twice[order], start) > 0)
-    said = np.repeat(more, size).astype(np.uint8)
-    said[start[more]] = 2
-    out = np.empty(len(lo), np.uint8)
-    out[order] = said
-    cuts = np.cumsum([len(r["p1"]) // 8 for r in rows])
-    return [x.tobytes() for x in np.split(out, cuts[:-1])]
-
-
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes sorted by their first ``depth`` bytes at least, the 8-byte word at each place): Larsson-Sadakane.
-    """
+    """(suffixes sorted by their first ``depth`` bytes at least, the 8-byte word at each place): Larsson-Sadakane."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(16, np.uint8)))
     word = np.zeros(n, np.uint64)
@@ -187,7 +123,7 @@ def common_prefixes(words: np.ndarray, before: np.ndarray, nth: np.ndarray, firs
     """Kasai's recurrence in lockstep: common prefix (up to ``most``) of each valid place and the one sorted before it.
 
     ``words``: the 8 bytes at each place, the first highest; nth: each place's number in the sorted order, -1 if it
-    isn't valid; first, count: the valid places of each segment. The length found at a place, less one, holds for the
+    isn't valid; first, count: the valid places of each block. The length found at a place, less one, holds for the
     next place only if the neighbour's next place is sorted before it, which ties beyond the sorted depth can prevent.
     """
     lcp = np.zeros(len(words), np.int64)
@@ -233,7 +169,11 @@ def shared_windows(text: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.
     nth = np.full(len(text), -1)
     nth[order] = np.arange(len(order))
     words = np.concatenate((word, np.zeros(window + 8, np.uint64)))
-    lcp = common_prefixes(words, before, nth, begin, lens - window + 1, window)
+    starts = lens - window + 1  # of a run; blocks of them go in lockstep
+    blocks = -(-starts // 256)
+    nth_block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first = np.repeat(begin, blocks) + 256 * nth_block
+    lcp = common_prefixes(words, before, nth, first, np.minimum(256, np.repeat(starts, blocks) - 256 * nth_block), window)
     same = lcp[order] >= window
     repeated = np.zeros(len(text), bool)
     repeated[order] = same | np.append(same[1:], False)
@@ -247,130 +187,241 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
-def _search_shard(window: int, n: int):
-    def run(batches):
-        rows = sorted(chunk_rows(batches, ["bucket", "chunk", "kind", "p1", "p2", "p3"]), key=lambda r: (r["bucket"], r["kind"], r["chunk"]))
-        by: dict[int, list[dict]] = {}
-        for r in rows:
-            by.setdefault(r["bucket"], []).append(r)
-        for own in by.values():  # a shard at a time
-            place, lens = (np.concatenate([np.frombuffer(r[c], np.int64) for r in own]) for c in ("p1", "p2"))
-            raw = b"".join(zstandard.ZstdDecompressor().decompress(r["p3"], max_output_size=1 << 31) for r in own)
-            text = np.frombuffer(raw, np.uint8)
-            counts = [len(r["p1"]) // 8 for r in own]
-            chunk = np.repeat([r["chunk"] for r in own], counts)
-            hot = np.repeat([r["kind"] == HOT for r in own], counts)
-            begin = np.cumsum(lens) - lens
-            repeated, number = shared_windows(text, lens, window)
-            a, b = _runs(repeated)
-            seg = np.searchsorted(begin, a, side="right") - 1
-            cut = [(c, place[seg[i]] + a[i] - begin[seg[i]], place[seg[i]] + b[i] - begin[seg[i]]) for c in np.unique(chunk[seg]) for i in [np.flatnonzero(chunk[seg] == c)]]
-            out = [(-1, int(c), FOUND, x.tobytes(), y.tobytes(), b"") for c, x, y in cut]
-            if hot.any():
-                at = np.flatnonzero(np.repeat(hot, lens) & (number >= 0))
-                _, pick = np.unique(number[at], return_index=True)  # one place of each class
-                at = at[pick]
-                seg = np.searchsorted(begin, at, side="right") - 1
-                f = xxhash.xxh3_128_digest
-                d = np.frombuffer(b"".join([f(raw[i : i + window]) for i in at.tolist()]), np.uint64).reshape(-1, 2)
-                order = np.lexsort((d[:, 1], d[:, 0]))
-                d, c, pos = d[order], chunk[seg][order], (place[seg] + at - begin[seg])[order]
-                for k, i in split_by_bucket((d[:, 0] % np.uint64(n)).astype(np.int64), n):
-                    out.append((k, own[0]["bucket"], MERGE, d[i].tobytes(), c[i].tobytes(), pos[i].tobytes()))
-            yield to_batch(out, MESSAGE_ARROW)
-
-    return run
-
-
-def _merge(batches):
-    """Windows of hot anchors that two shards hold, found by binary search of each shard's sorted digests in the others'."""
-    rows = list(chunk_rows(batches, ["bucket", "chunk", "kind", "p1", "p2", "p3"]))
-    by: dict[int, list[dict]] = {}
-    for r in rows:
-        by.setdefault(r["bucket"], []).append(r)
-    for own in by.values():
-        keys = [np.frombuffer(r["p1"], "S16") for r in own]  # a digest is one fixed-width string
-        ranked = [np.sort(k) for k in keys]
-        for i, (r, mine) in enumerate(zip(own, keys, strict=True)):
-            hit = np.zeros(len(mine), bool)
-            for j, other in enumerate(ranked):
-                if j != i:
-                    at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-                    hit |= other[at] == mine
-            chunk, pos = np.frombuffer(r["p2"], np.int64)[hit], np.frombuffer(r["p3"], np.int64)[hit]
-            out = [(-1, int(c), FOUND, pos[chunk == c].tobytes(), pos[chunk == c].tobytes(), b"") for c in np.unique(chunk)]
-            if out:
-                yield to_batch(out, MESSAGE_ARROW)
-
-
-def repeats(docs: DataFrame, window: int = 200, gram: int = 32, hot: int = 2048, chunk_bytes: int = 1 << 21, with_text: bool = False, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept_text], *keep) of every row.
-
-    kept_text: what remains as text; bytes of a character that was cut through are left out of it.
+class Shard:
+    """A packed chunk: its texts that go on, and their segments."""
+
+    def __init__(self, row: dict, window: int, gram: int):
+        self.ids, self.id_null, self.offs, self.data = unpack(row)
+        self.window, self.gram = window, gram
+
+    def texts(self):
+        """The different long texts: (first document of each, digests, whether there are more inside the shard)."""
+        lens = np.diff(self.offs)
+        long = np.flatnonzero(lens >= self.window)
+        raw, f = self.data.tobytes(), xxhash.xxh3_128_digest
+        d = np.frombuffer(b"".join([f(raw[a:b]) for a, b in zip(self.offs[long].tolist(), self.offs[long + 1].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+        order = np.lexsort((long, self.ids[long], d[:, 1], d[:, 0]))
+        new = np.concatenate(([True], (d[order][1:] != d[order][:-1]).any(axis=1))) if len(long) else np.zeros(0, bool)
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        first = order[new]
+        text_of = np.empty(len(long), np.int64)
+        text_of[order] = np.cumsum(new) - 1
+        return long, text_of, long[first], d[first, 0], d[first, 1], size > 1
+
+    def text_messages(self, chunk: int, n: int):
+        _, _, first, lo, hi, more = self.texts()
+        for k, i in split_by_bucket((lo % np.uint64(n)).astype(np.int64), n):
+            yield k, chunk, TEXTS, lo[i].tobytes(), hi[i].tobytes() + more[i].tobytes(), self.ids[first[i]].tobytes()
+
+    def sort_texts(self, got: dict, n: int, law: str) -> None:
+        """Which texts go on, and which are repeated throughout."""
+        long, text_of, first, lo, _, more = self.texts()
+        said = np.zeros(len(first), np.uint8)
+        for k, i in split_by_bucket((lo % np.uint64(n)).astype(np.int64), n):
+            said[i] = np.frombuffer(got[TEXTS, k], np.uint8)
+        self.whole = np.zeros(len(self.ids), bool)
+        if law == "all":
+            self.whole[long] = (more | (said > 0))[text_of]
+        else:
+            self.whole[long] = True
+            self.whole[first[said < 2]] = False
+        self.own = np.sort(first[said < 2])
+        lens = np.diff(self.offs)[self.own]
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
+        self.text = self.data[np.repeat(self.offs[self.own] - self.at[:-1], lens) + np.arange(self.at[-1])]
+        self.first, self.last, name = segments(self.text, self.at, self.window, self.gram)
+        self.names, self.name_of = np.unique(name >> np.uint64(17), return_inverse=True)
+        self.more = np.bincount(self.name_of, minlength=len(self.names)) > 1
+
+    def search(self, shared: np.ndarray, chunk: int, n: int, law: str):
+        """Messages about the different candidate windows, and what the shard keeps."""
+        yield -1, chunk, WHOLE, np.packbits(self.whole).tobytes(), b"", b""
+        pick = shared[self.name_of]
+        first, last = self.first[pick], self.last[pick]
+        if not len(first):
+            return
+        new = np.concatenate(([True], first[1:] != last[:-1] + 1))  # windows side by side are of one text
+        a, b = first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
+        lens = b - a + self.window
+        begin = np.cumsum(lens) - lens
+        text = self.text[np.repeat(a - begin, lens) + np.arange(lens.sum())]
+        repeated, number = shared_windows(text, lens, self.window)
+        valid = np.flatnonzero(number >= 0)
+        number = number[valid] - number[valid].min()
+        doc = np.searchsorted(self.at, a, side="right") - 1
+        origin = self.offs[self.own[doc]] + a - self.at[doc]  # of each run, in the chunk
+        starts = b - a + 1
+        place = np.repeat(origin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
+        owner = self.ids[np.repeat(self.own[doc], starts)]
+        order = np.lexsort((place, owner, number))
+        pick = order[np.concatenate(([True], np.diff(number[order]) > 0))]  # the first occurrence of each window
+        if law == "all":
+            local = repeated[valid]
+        else:
+            least, at = np.repeat(self.own[doc], starts)[pick][number], place[pick][number]
+            local = (least != np.repeat(self.own[doc], starts)) | (place >= at + self.window)
+        lo, hi = window_digests(text, valid[pick], self.window)
+        bucket = (lo % np.uint64(n)).astype(np.int64)
+        rank = np.lexsort((hi, lo, bucket))
+        back = np.empty(len(rank), np.int32)
+        back[rank] = np.arange(len(rank))
+        z = zstandard.ZstdCompressor(level=1)
+        yield -1, chunk, RUNS, np.stack((origin, starts)).tobytes(), b"", b""
+        yield -1, chunk, COUNTS, np.bincount(bucket, minlength=n).tobytes(), b"", b""
+        yield -1, chunk, CLASSES, z.compress(back[number].tobytes()), b"", b""
+        yield -1, chunk, LOCAL, z.compress(np.packbits(local).tobytes()), b"", b""
+        lo, hi, ids = lo[rank], hi[rank], owner[pick][rank]
+        for k, i in split_by_bucket(bucket[rank], n):
+            yield k, chunk, WINDOWS, lo[i].tobytes(), hi[i].tobytes(), z.compress(ids[i].tobytes()) if law == "first" else b""
+
+
+def _about_texts(rows: list[dict]) -> list[bytes]:
+    """0: the text occurs in one shard; 1: in several, and this is the first; 2: the first is another."""
+    size = [len(r["p1"]) // 8 for r in rows]
+    lo, ids = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("p1", np.uint64), ("p3", np.int64)))
+    hi = np.concatenate([np.frombuffer(r["p2"], np.uint64, n) for r, n in zip(rows, size, strict=True)])
+    inside = np.concatenate([np.frombuffer(r["p2"], np.uint8, n, 8 * n) for r, n in zip(rows, size, strict=True)])
+    order = np.lexsort((np.repeat([r["chunk"] for r in rows], size), ids, hi, lo))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))))
+    several = np.diff(np.append(start, len(lo))) > 1
+    said = np.repeat(np.where(several, 2, 0).astype(np.uint8), np.diff(np.append(start, len(lo))))
+    said[start] = several | (inside[order[start]] > 0)
+    out = np.empty(len(lo), np.uint8)
+    out[order] = said
+    return [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+
+
+class Windows:
+    """Sorted keys of windows with the number of shards that hold each and the first of them."""
+
+    def __init__(self, key, tag, shards, ids, chunk):
+        self.columns = key, tag, shards, ids, chunk
+
+    def merge(self, other: Windows) -> Windows:
+        """Both, by binary search of the smaller one's keys in the larger one."""
+        big, small = (self, other) if len(self.columns[0]) >= len(other.columns[0]) else (other, self)
+        at = np.searchsorted(big.columns[0], small.columns[0])
+        hit = np.flatnonzero(big.columns[0][np.minimum(at, len(big.columns[0]) - 1)] == small.columns[0])
+        to = at[hit]
+        if (big.columns[1][to] != small.columns[1][hit]).any():
+            raise ValueError("equal keys of different windows")
+        _, _, shards, ids, chunk = big.columns
+        shards[to] += small.columns[2][hit]
+        before = (small.columns[3][hit] < ids[to]) | ((small.columns[3][hit] == ids[to]) & (small.columns[4][hit] < chunk[to]))
+        ids[to[before]], chunk[to[before]] = small.columns[3][hit[before]], small.columns[4][hit[before]]
+        new = np.setdiff1d(np.arange(len(at)), hit, assume_unique=True)
+        return Windows(*(np.insert(x, at[new], y[new]) for x, y in zip(big.columns, small.columns, strict=True)))
+
+
+def merge_lists(lists: list[Windows]) -> Windows:
+    while len(lists) > 1:
+        lists = sorted(lists, key=lambda w: len(w.columns[0]))
+        lists = [x.merge(y) for x, y in zip(lists[::2], lists[1::2], strict=False)] + lists[len(lists) // 2 * 2 :]
+    return lists[0]
+
+
+def _about_windows(law: str):
+    """A bit for each window of each shard: whether another shard holds it (law "first": and comes first)."""
+
+    def reducer(rows: list[dict]) -> list[bytes]:
+        z = zstandard.ZstdDecompressor()
+        keys, tags = ([np.frombuffer(r[c], t) for r in rows] for c, t in (("p1", np.uint64), ("p2", np.uint32)))
+        ids = [np.frombuffer(z.decompress(r["p3"]), np.int64) if law == "first" else np.zeros(len(k), np.int64) for r, k in zip(rows, keys, strict=True)]
+        lists = lambda: [Windows(k, t, np.ones(len(k), np.int32), i.copy(), np.full(len(k), r["chunk"])) for k, t, i, r in zip(keys, tags, ids, rows, strict=True)]
+        try:
+            all_ = merge_lists(lists())
+        except ValueError:  # two windows share 64 bits: number the 96-bit digests instead
+            both = np.concatenate([np.rec.fromarrays((k, t)) for k, t in zip(keys, tags, strict=True)])
+            keys = np.split(np.unique(both, return_inverse=True)[1].astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1])
+            all_ = merge_lists(lists())
+        key, _, shards, least, chunk = all_.columns
+        out = []
+        for k, i, r in zip(keys, ids, rows, strict=True):
+            at = np.searchsorted(key, k)
+            out.append(np.packbits(shards[at] > 1 if law == "all" else (least[at] != i) | (chunk[at] != r["chunk"])).tobytes())
+        return out
+
+    return reducer
+
+
+def repeats(docs: DataFrame, window: int = 200, gram: int = 32, law: str = "all", chunk_bytes: int = 1 << 21, with_text: bool = False, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, by_copy, by_shard, by_merge, spans[, kept_text], *keep) of every row.
+
+    by_copy, by_shard, by_merge: the removed bytes that copies show, of the others those that the shard's own suffix array
+    shows, and those that only the merge shows. kept_text: what remains as text; bytes of a character that was cut through
+    are left out of it.
     """
+    if law not in ("all", "first"):
+        raise ValueError("law is all or first")
     spark = docs.sparkSession
     n = partitions(spark)
-    shards = 4 * n  # a task searches its shards one after another, so the arrays of one are small
     packed = shared_table(pack(plain(docs, id_col, text_col, keep), chunk_bytes), "packed", (n, "chunk"))
     columns = ["chunk", "ids", "id_null", "lens", "blob"]
 
-    def say(batches):
+    def tell_texts(batches):
         for row in chunk_rows(batches, columns):
-            yield to_batch(list(_Chunk(row, window, gram).messages(row["chunk"], n)), MESSAGE_ARROW)
+            yield to_batch(list(Shard(row, window, gram).text_messages(row["chunk"], n)), MESSAGE_ARROW)
 
-    replies = answered(packed.select(*columns).mapInArrow(say, MESSAGE), {0: _about_names(hot), 1: _about_texts}, n)
+    texts = shared_table(answered(packed.select(*columns).mapInArrow(tidy(tell_texts), MESSAGE), {TEXTS: _about_texts}, n), "texts")
 
-    def sort_out(batches):
+    def tell_names(batches):
         for row in chunk_rows(batches, [*columns, "replies"]):
-            c = _Chunk(row, window, gram)
-            names, texts = c.replies(reply_map(row), n)
-            sure = (names == 1) | (texts > 0)
-            out = [(-1, row["chunk"], COVER, c.first[sure].tobytes(), c.last[sure].tobytes(), b"")] if sure.any() else []
-            show = np.flatnonzero((names >= 2) & (texts != 1))
-            show = show[np.unique(c.text_of[show], return_index=True)[1]]
-            spread = names[show] - 2
-            salt = c.lo[show] & ((np.uint64(1) << spread.astype(np.uint64)) - np.uint64(1))
-            shard = ((c.name[show] + mix(salt) * (salt > 0)) % np.uint64(shards)).astype(np.int64)
-            for kind, pick in ((SEGMENTS, spread == 0), (HOT, spread > 0)):
-                own = show[pick]
-                for k, i in split_by_bucket(shard[pick], shards):
-                    a, b = c.first[own[i]], c.last[own[i]] + window
-                    text = b"".join([c.raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-                    out.append((k, row["chunk"], kind, a.tobytes(), (b - a).tobytes(), zstandard.ZstdCompressor(level=3).compress(text)))
-            yield to_batch(out, MESSAGE_ARROW)
-
-    sorted_out = shared_table(with_replies(packed, replies).select(*columns, "replies").mapInArrow(sort_out, MESSAGE), "segments")
-    dealt = sorted_out.where(F.col("kind").isin(SEGMENTS, HOT)).repartitionById(n, F.col("bucket") % n)
-    searched = shared_table(dealt.mapInArrow(_search_shard(window, n), MESSAGE), "searched")
-    merged = searched.where(F.col("kind") == MERGE).repartitionById(n, F.col("bucket")).mapInArrow(_merge, MESSAGE)
-    found = sorted_out.where(F.col("kind") == COVER).unionAll(searched.where(F.col("kind") == FOUND)).unionAll(merged)
-    found = found.groupBy("chunk").agg(F.collect_list(F.struct("p1", "p2")).alias("found"))
+            s = Shard(row, window, gram)
+            s.sort_texts(reply_map(row), n, law)
+            yield to_batch(list(name_messages(s.names, s.more, row["chunk"], NAMES, n)), MESSAGE_ARROW)
+
+    names = answered(with_replies(packed, texts).select(*columns, "replies").mapInArrow(tidy(tell_names), MESSAGE), {NAMES: shared_names}, n)
+
+    def search(batches):
+        for row in chunk_rows(batches, [*columns, "replies"]):
+            s, got = Shard(row, window, gram), reply_map(row)
+            s.sort_texts(got, n, law)
+            yield to_batch(list(s.search(bits_of(got, NAMES, s.names, n), row["chunk"], n, law)), MESSAGE_ARROW)
+
+    searched = shared_table(with_replies(packed, texts.unionAll(names)).select(*columns, "replies").mapInArrow(tidy(search), MESSAGE), "searched")
+    merged = answered(searched.where(F.col("kind") == WINDOWS), {WINDOWS: _about_windows(law)}, n)
+    known = searched.where(F.col("kind") != WINDOWS).select("chunk", "kind", "bucket", F.col("p1").alias("reply")).unionAll(merged)
 
     rest = ["rest"] if keep else []
 
     def finish(batches):
-        for row in chunk_rows(batches, [*columns, *rest, "found"]):
+        z = zstandard.ZstdDecompressor()
+        for row in chunk_rows(batches, [*columns, *rest, "replies"]):
             ids, null, offs, data = unpack(row)
-            edge = np.zeros(len(data) + 1, np.int64)
-            for x in row["found"] or ():
-                np.add.at(edge, np.frombuffer(x["p1"], np.int64), 1)
-                np.add.at(edge, np.frombuffer(x["p2"], np.int64) + window, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            cols: list[list] = [[] for _ in range(6)]
+            got = reply_map(row)
+            masks = np.zeros((3, len(data)), bool)
+            if (WHOLE, -1) in got:
+                whole = np.unpackbits(np.frombuffer(got[WHOLE, -1], np.uint8), count=len(ids)).astype(bool)
+                masks[0] = np.repeat(whole, np.diff(offs))
+            if (RUNS, -1) in got:
+                origin, starts = np.frombuffer(got[RUNS, -1], np.int64).reshape(2, -1)
+                number = np.frombuffer(z.decompress(got[CLASSES, -1]), np.int32)
+                counts = np.frombuffer(got[COUNTS, -1], np.int64).tolist()
+                bits = np.concatenate([np.unpackbits(np.frombuffer(got[WINDOWS, k], np.uint8), count=c) for k, c in enumerate(counts) if c])
+                local = np.unpackbits(np.frombuffer(z.decompress(got[LOCAL, -1]), np.uint8), count=len(number)).astype(bool)
+                place = np.repeat(origin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
+                for mask, at in ((masks[1], place[local]), (masks[2], place[bits[number].astype(bool)])):
+                    edge = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + window, minlength=len(data) + 1)
+                    mask |= np.cumsum(edge[:-1]) > 0
+            masks[1] &= ~masks[0]
+            masks[2] &= ~(masks[0] | masks[1])
+            gone = masks.any(axis=0)
+            cols: list[list] = [[] for _ in range(9)]
             for i in range(len(ids)):
                 own, cut = data[offs[i] : offs[i + 1]], gone[offs[i] : offs[i + 1]]
                 a, b = _runs(cut)
                 kept = own[~cut].tobytes() if len(a) else own.tobytes()
                 text = b"".join(own[x:y].tobytes().decode(errors="ignore").encode() for x, y in zip(np.append(0, b + 1), np.append(a, len(own)), strict=True)).decode() if with_text else None
                 spans = [{"start": x, "length": y - x + 1} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                for c, v in zip(cols, (len(own), int(cut.sum()), len(a), hashlib.sha256(kept).hexdigest(), spans, text), strict=True):
+                by = masks[:, offs[i] : offs[i + 1]].sum(axis=1).tolist()
+                for c, v in zip(cols, (len(own), int(cut.sum()), len(a), hashlib.sha256(kept).hexdigest(), *by, spans, text), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"]
-            take = 6 if with_text else 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "by_copy", "by_shard", "by_merge", "spans", "kept_text"]
+            take = 9 if with_text else 8
             own = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks().to_batches()[0].columns if keep else []
             yield pa.RecordBatch.from_arrays([ids_out(ids, null), *(pa.array(c, k) for c, k in zip(cols[:take], kinds[:take], strict=True)), *own], names=["doc_id", *names[:take], *keep])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>" + ", kept_text string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, by_copy long, by_shard long, by_merge long, spans array<struct<start:long,length:long>>" + ", kept_text string" * with_text
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return packed.hint("merge").join(found, "chunk", "left").select(*columns, *rest, "found").mapInArrow(finish, schema)
+    return with_replies(packed, known).select(*columns, *rest, "replies").mapInArrow(tidy(finish), schema)

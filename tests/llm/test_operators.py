@@ -348,7 +348,7 @@ def test_shards(spark, docs, texts, empty):
 # --- op9
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 3000, "hot": 1}])
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 3000}])
 def test_repeats(docs, texts, empty, options):
     raw = [(t or "").encode() for _, t in texts]
     seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
@@ -364,9 +364,53 @@ def test_repeats(docs, texts, empty, options):
         want.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     got = rows(suffix_dedup.repeats(docs, with_text=True, **options))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == Counter(want)
+    assert sum(r["by_shard"] for r in got) and (not options or sum(r["by_merge"] for r in got))
+    assert all(r["by_copy"] + r["by_shard"] + r["by_merge"] == r["n_removed"] for r in got)
     assert rows(suffix_dedup.repeats(empty)) == []
 
 
+@pytest.mark.parametrize("chunk_bytes", [1 << 21, 3000])
+def test_repeats_but_the_first(spark, docs, texts, empty, chunk_bytes):
+    """A string stays where it occurs first: by doc_id, then by place."""
+    more = [(30, "zz " + texts[9][1][:700]), (29, texts[9][1][100:900] + " yy"), (31, "ab" * 400), (28, "q" * 650), (40, texts[9][1]), (2, texts[9][1]), (None, "ab" * 400)]
+    texts = [*texts, *more]
+    table = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string")).coalesce(1)
+    raw = [(t or "").encode() for _, t in texts]
+    order = sorted(range(len(raw)), key=lambda d: (texts[d][0] is None, texts[d][0] or 0, d))
+    seen, gone = {}, [np.zeros(len(b), bool) for b in raw]
+    for d in order:
+        for k in range(len(raw[d]) - 199):
+            first = seen.setdefault(raw[d][k : k + 200], (d, k))
+            if first[0] != d or first[1] <= k - 200:
+                gone[d][k : k + 200] = True
+    want = Counter((i, b.tobytes().decode()) for (i, _), b in ((t, np.frombuffer(r, np.uint8)[~g]) for t, r, g in zip(texts, raw, gone, strict=True)) if i not in (16,))
+    got = rows(suffix_dedup.repeats(table, law="first", with_text=True, chunk_bytes=chunk_bytes))
+    assert Counter((r["doc_id"], r["kept_text"]) for r in got if r["doc_id"] != 16) == want and sum(r["by_copy"] for r in got) > 1000
+    again = rows(suffix_dedup.repeats(table, chunk_bytes=chunk_bytes))
+    count = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    total = 0
+    for b in raw:
+        cut = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                cut[k : k + 200] = True
+        total += int(cut.sum())
+    assert sum(r["n_removed"] for r in again) == total
+    assert rows(suffix_dedup.repeats(empty, law="first")) == []
+
+
+def test_merge_of_sorted_lists():
+    rng = np.random.default_rng(4)
+    keys = [np.unique(rng.integers(0, 300, m).astype(np.uint64)) for m in (0, 1, 50, 90, 200, 7)]
+    lists = [suffix_dedup.Windows(k, (k % np.uint64(7)).astype(np.uint32), np.ones(len(k), np.int32), rng.integers(0, 5, len(k)), np.full(len(k), c)) for c, k in enumerate(keys)]
+    held = [[tuple(x) for x in zip(*(c.tolist() for c in w.columns), strict=True)] for w in lists]
+    got = suffix_dedup.merge_lists(lists).columns
+    by = {}
+    for e in (e for w in held for e in w):
+        by.setdefault(e[0], []).append(e[3:])
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == [(k, k % 7, len(v), *min(v)) for k, v in sorted(by.items())]
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(8)
     for _ in range(30):

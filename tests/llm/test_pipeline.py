@@ -63,14 +63,13 @@ def test_near_dedup(stages):
 def test_passage_dedup(stages):
     docs = [tuple(r) for r in stages["near_dedup"].select(*ROW).collect()]
     raw = [d[1].encode() for d in docs]
-    seen = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
-    want = Counter()
-    for d, b in zip(docs, raw, strict=True):
-        edge = np.zeros(len(b) + 1, int)
+    seen, want = {}, Counter()
+    for d, b in sorted(zip(docs, raw, strict=True)):
+        gone = np.zeros(len(b), bool)
         for k in range(len(b) - 199):
-            if seen[b[k : k + 200]] > 1:
-                edge[[k, k + 200]] += 1, -1
-        gone = np.cumsum(edge)[:-1] > 0
+            first = seen.setdefault(b[k : k + 200], (d[0], k))
+            if first[0] != d[0] or first[1] <= k - 200:
+                gone[k : k + 200] = True
         turn = np.flatnonzero(np.diff(np.concatenate(([1], gone.astype(int), [1]))))
         text = "".join(b[x:y].decode(errors="ignore") for x, y in zip(turn[::2], turn[1::2], strict=True))
         if text.encode().split():
@@ -78,6 +77,14 @@ def test_passage_dedup(stages):
     assert tuples(stages["passage_dedup"]) == want
 
 
+def test_a_passage_stays_once(spark):
+    passage = " ".join(f"p{i * i % 97}q{i}" for i in range(80))
+    rows = [(5, f"aa {passage} bb", "en", "s", 0), (3, f"cc dd {passage}", "en", "s", 0), (None, f"{passage} ee", "en", "s", 0), (9, "nothing of it", "en", "s", 0)]
+    got = {r.doc_id: r.text for r in pipeline.passage_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    assert got[3] == rows[1][1] and got[9] == rows[3][1]
+    assert passage not in got[5] and passage not in got[None] and got[5].startswith("aa") and got[5].endswith("bb") and got[None].endswith("ee")
+
+
 def test_mixture(stages):
     taken = {r.doc_id: r for r in mixing.mixture(stages["passage_dedup"]).collect()}
     words = Counter()
