@@ -8,8 +8,9 @@ intermediate tables of the one before.
 * ``near_dedup``: one row of each SimHash component stays, the one with the smallest doc_id; rows of different components
   stay apart even if they share an id or have none. Documents link by five words and a similarity of about 0.8
   (``simhash.near_texts``; README has figures).
-* ``passage_dedup``: bytes under a repeated 200-byte string are cut out; a document of which nothing but white space
-  remains goes. n_chars is that of the new text.
+* ``passage_dedup``: bytes under a 200-byte string that occurred before (in a document of smaller doc_id, or in the same
+  one without overlap) are cut out, so that each passage stays once; a document of which nothing but white space remains
+  goes. n_chars is that of the new text.
 * ``mixture``: a document is returned as often as its source's target takes it; the one document on a source's border
   is cut to the words taken, joined by one space.
 * ``packing``: pieces of at most 2,048 tokens with their place in a sequence.
@@ -72,7 +73,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = suffix_dedup.repeats(_rows(docs), with_text=True, keep=("lang", "source"))
+    rest = suffix_dedup.repeats(_rows(docs), law="first", with_text=True, keep=("lang", "source"))
     return rest.where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
