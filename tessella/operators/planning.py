@@ -6,8 +6,6 @@ task, which holds one grid.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,11 +92,13 @@ class Grid:
     def reset(self) -> None:
         self.habitat, self.planted = self.start.copy(), np.zeros(self.shape, bool)
         self._known = self._first
-        self.frontier = self._beside(self.start) & self.restorable
-        self.remaining, self.used, self.order = self.budget, 0.0, []
-        self.iic = self.first_iic
-        self.invalid = self.steps = self.repeats = 0
-        self.last_invalid = None
+        self.frontier = self._open()
+        self.remaining, self.used, self.order, self.refused = self.budget, 0.0, [], []
+        self.iic, self.invalid, self.steps = self.first_iic, 0, 0
+
+    def _open(self) -> np.ndarray:
+        """Restorable cells beside habitat that are not planted."""
+        return self._beside(self.habitat) & self.restorable & ~self.planted
 
     @staticmethod
     def _beside(mask: np.ndarray) -> np.ndarray:
@@ -111,28 +111,38 @@ class Grid:
 
     def valid(self) -> np.ndarray:
         """Ids of the cells that can be planted now."""
-        return np.flatnonzero(self.restorable & ~self.planted & self.frontier & (self.cost <= self.remaining))
+        return np.flatnonzero(self.frontier & (self.cost <= self.remaining))
+
+    def _ring(self, cells: np.ndarray) -> np.ndarray:
+        """Cells beside ``cells``, in their order, each once."""
+        h, w = self.shape
+        y, x = (np.add.outer(at, step).ravel() for at, step in zip(np.divmod(cells, w), np.array(NEIGHBOURS).T, strict=True))
+        inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+        return np.array(list(dict.fromkeys((y * w + x)[inside].tolist())), np.int64)
+
+    def _affordable(self, cells: np.ndarray, money: float, most: int) -> np.ndarray:
+        """The cells that are bought in order: one that the rest of the money doesn't cover is passed over."""
+        price = self.cost.ravel()
+        while not (fits := np.cumsum(price[cells]) <= money).all():
+            cells = np.delete(cells, fits.argmin())
+        return cells[:most]
 
     def grow(self, cell: int) -> list[int]:
-        """The block planted from an anchor: breadth-first over open restorable cells, within size and budget."""
-        w, ok = self.shape[1], self.restorable & ~self.planted
-        y, x = divmod(cell, w)
-        if not (ok[y, x] and self.frontier[y, x] and self.cost[y, x] <= self.remaining):
+        """The block planted from a valid cell: rings of open cells around what is bought, nearest ring first, until the
+
+        block is full, the money is spent or nothing is left to reach. [] from any other cell.
+        """
+        if cell not in self.valid():
             return []
-        left, out, seen, queue = self.remaining, [], {cell}, deque([cell])
-        while queue and len(out) < self.block:
-            y, x = divmod(queue.popleft(), w)
-            if self.cost[y, x] > left:
-                continue
-            out.append(y * w + x)
-            left -= self.cost[y, x]
-            for dy, dx in NEIGHBOURS:
-                v, u = y + dy, x + dx
-                if 0 <= v < self.shape[0] and 0 <= u < w and v * w + u not in seen:
-                    seen.add(v * w + u)
-                    if ok[v, u] and self.cost[v, u] <= left:
-                        queue.append(v * w + u)
-        return out
+        shut = (~self.restorable | self.planted).ravel()
+        block, ring = np.zeros(0, np.int64), np.array([cell])
+        while len(ring) and len(block) < self.block:
+            shut[ring] = True
+            bought = self._affordable(ring, self.remaining - self.cost.ravel()[block].sum(), self.block - len(block))
+            block = np.append(block, bought)
+            ring = self._ring(bought)
+            ring = ring[~shut[ring]]
+        return block.tolist()
 
     def gain(self, cell: int) -> tuple[float, float]:
         """(gain of planting from the cell, rounded so that ties are ties; its cost)."""
@@ -178,36 +188,33 @@ class Grid:
         self._known = sizes, np.stack(np.divmod(key, len(sizes)), axis=1), image
         self.habitat.ravel()[cell] = True
 
+    def _settle(self, block: list[int]) -> tuple[float, float]:
+        """Plant a block; (what IIC gains, cost)."""
+        cost, before = float(self.cost.ravel()[block].sum()), self.iic
+        for cell in block:
+            self._plant(cell)
+        self.planted.ravel()[block] = True
+        self.frontier = self._open()
+        self.order += block
+        self.used, self.remaining = self.used + cost, self.remaining - cost
+        sizes, edges, _ = self._known
+        self.iic = fold(hop_sums(edges[:, 0], edges[:, 1], sizes), self.area)
+        return self.iic - before, cost
+
     def step(self, cell: int, reward_per_cost: bool = False, penalties: bool = False) -> float:
-        block, reward = self.grow(cell), 0.0
-        if block:
-            cost = float(self.cost.ravel()[block].sum())
-            for b in block:
-                y, x = divmod(b, self.shape[1])
-                self.planted[y, x] = True
-                self._plant(b)
-                for dy, dx in NEIGHBOURS:
-                    v, u = y + dy, x + dx
-                    if 0 <= v < self.shape[0] and 0 <= u < self.shape[1] and self.restorable[v, u] and not self.planted[v, u]:
-                        self.frontier[v, u] = True
-                self.frontier[y, x] = False
-            self.order += block
-            self.remaining -= cost
-            self.used += cost
-            now = fold(hop_sums(self._known[1][:, 0], self._known[1][:, 1], self._known[0]), self.area)
-            reward, self.iic = (now - self.iic) / (max(cost, 1e-9) if reward_per_cost else 1), now
-            self.repeats, self.last_invalid = 0, None
-        else:
-            self.invalid += 1
-            reward = -INVALID_PENALTY if penalties else 0.0
-            self.repeats = self.repeats + 1 if cell == self.last_invalid else 1
-            self.last_invalid = cell
+        """Plant from a cell, or note a refusal; the reward."""
         self.steps += 1
-        return reward
+        if block := self.grow(cell):
+            self.refused = []
+            gain, cost = self._settle(block)
+            return gain / max(cost, 1e-9) if reward_per_cost else gain
+        self.invalid += 1
+        self.refused = [c for c in self.refused if c == cell] + [cell]  # the run of one cell
+        return -INVALID_PENALTY if penalties else 0.0
 
     def over(self) -> bool:
-        done = self.remaining <= 0 or not len(self.valid())
-        return done or self.repeats >= REPEAT_LIMIT or self.steps >= limit_of_steps(self.budget)
+        """Nothing more can be bought, one cell was refused too often, or the steps are used up."""
+        return self.remaining <= 0 or not len(self.valid()) or len(self.refused) >= REPEAT_LIMIT or self.steps >= limit_of_steps(self.budget)
 
 
 def _best(scores: list[float], cells) -> int:

@@ -116,6 +116,44 @@ cgain AS (SELECT g.c AS cell_id, f.cost, round(g.s / power((SELECT count(*) FROM
 """
 
 
+# Windows of two fifths of the raster, at half the resolution, with patches, gaps and scores.
+_WINDOWS = """,
+size AS (SELECT h, w, h * 2 // 5 AS nh, w * 2 // 5 AS nw, greatest(1, h * 2 // 5 // 2) AS th, greatest(1, w * 2 // 5 // 2) AS tw FROM dim),
+place AS (SELECT a * th AS y0, b * tw AS x0, nh, nw, th, tw FROM size, (SELECT unnest(range(1000)) AS a), (SELECT unnest(range(1000)) AS b)
+          WHERE a * th + nh <= h AND b * tw + nw <= w),
+wcount AS (SELECT y0, x0, ((y - y0 + 1) * th - 1) // nh AS y, ((x - x0 + 1) * tw - 1) // nw AS x, any_value(tw) AS tw, class_code, count(*) AS n
+           FROM place JOIN cells ON y >= y0 AND y < y0 + nh AND x >= x0 AND x < x0 + nw GROUP BY 1, 2, 3, 4, class_code),
+w AS (SELECT y0 || ',' || x0 AS win, y0, x0, y, x, y * tw + x AS cell, class_code IN (5, 76) AS habitat, class_code IN (13, 21) AS restorable,
+             class_code IN (31, 40, 33, 0) AS locked
+      FROM (SELECT *, row_number() OVER (PARTITION BY y0, x0, y, x ORDER BY n DESC, class_code) AS k FROM wcount) WHERE k = 1),
+beside AS (SELECT a.win, a.cell AS a, b.cell AS b, a.habitat AND b.habitat AS inside FROM w a JOIN w b ON a.win = b.win AND abs(a.y - b.y) + abs(a.x - b.x) = 1
+           WHERE (a.habitat OR a.restorable) AND (b.habitat OR b.restorable)),
+wreach AS (SELECT win, cell, cell AS seed FROM w WHERE habitat UNION SELECT r.win, b.b, r.seed FROM wreach r JOIN beside b ON b.win = r.win AND b.a = r.cell AND b.inside),
+wlabel AS (SELECT win, cell, min(seed) AS patch FROM wreach GROUP BY 1, 2),
+warea AS (SELECT win, patch, count(*) AS area FROM wlabel GROUP BY 1, 2),
+land AS (SELECT win, any_value(y0)::INT AS y0, any_value(x0)::INT AS x0, avg(habitat::INT)::DOUBLE AS fh, avg(restorable::INT)::DOUBLE AS fr, avg(locked::INT)::DOUBLE AS fl FROM w GROUP BY 1),
+per AS (SELECT land.*, coalesce(n, 0) AS n, most FROM land LEFT JOIN (SELECT win, count(*) AS n, max(area) AS most FROM warea GROUP BY 1) USING (win)),
+wlarge AS (SELECT win, patch, area FROM warea JOIN per USING (win) WHERE n >= 2 AND fh >= 0.02 AND fr >= 0.05 AND area >= greatest(2, 0.08 * most)),
+wstep(win, src, cell, d) USING KEY (win, src, cell) AS (SELECT win, patch, cell, 0 FROM wlabel JOIN wlarge USING (win, patch)
+      UNION SELECT DISTINCT s.win, s.src, b.b, s.d + 1 FROM wstep s JOIN beside b ON b.win = s.win AND b.a = s.cell
+            LEFT JOIN recurring.wstep k ON k.win = s.win AND k.src = s.src AND k.cell = b.b WHERE k.cell IS NULL),
+wgap AS (SELECT s.win, s.src AS lo, l.patch AS hi, min(s.d) AS steps FROM wstep s JOIN wlabel l ON l.win = s.win AND l.cell = s.cell AND s.src < l.patch GROUP BY 1, 2, 3),
+wpair AS (SELECT g.*, (a.area * b.area)::DOUBLE AS prize, steps BETWEEN 2 AND 20 AS valid FROM wgap g JOIN wlarge a ON a.win = g.win AND a.patch = lo JOIN wlarge b ON b.win = g.win AND b.patch = hi),
+wbest AS (SELECT win, steps, prize FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY prize DESC, lo, hi) AS k FROM wpair WHERE valid) WHERE k = 1),
+wtop AS (SELECT win, patch FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY area DESC, patch) AS k FROM warea) WHERE k = 1),
+wbait AS (SELECT b.win, count(DISTINCT b.b) AS bait FROM beside b JOIN wlabel l ON l.win = b.win AND l.cell = b.a JOIN wtop t ON t.win = l.win AND t.patch = l.patch
+          JOIN w ON w.win = b.win AND w.cell = b.b AND w.restorable GROUP BY 1),
+structure AS (
+  SELECT 'part@' || win AS raster_id, n::INT AS n_patches, (SELECT count(*) FROM wlarge WHERE wlarge.win = per.win)::INT AS n_significant, round(fh, 9) AS frac_habitat,
+         round(fr, 9) AS frac_restorable, round(fl, 9) AS frac_locked, coalesce(wbest.steps, (SELECT min(steps) FROM wpair WHERE wpair.win = per.win), -1)::INT AS gap,
+         coalesce(prize, 0)::DOUBLE AS prize, (SELECT count(*) FROM wpair WHERE wpair.win = per.win AND valid)::INT AS n_valid_pairs,
+         (CASE WHEN prize IS NULL THEN 0 ELSE coalesce(bait, 0) END)::INT AS bait,
+         round(CASE WHEN prize IS NULL THEN -1 ELSE 0.4::DOUBLE * greatest(1 - abs(wbest.steps - 10.0::DOUBLE) / 20, 0)
+               + 0.4::DOUBLE * least(prize / (most * most + 1e-9::DOUBLE), 1) + 0.2::DOUBLE * least(coalesce(bait, 0) / 20.0::DOUBLE, 1) END, 9)::DOUBLE AS score, y0, x0
+  FROM per LEFT JOIN wbest USING (win) LEFT JOIN wbait USING (win))
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "class_histogram": _with(_GRID) + "SELECT class_code, class_name, n_cells, percent FROM (" + _HIST.format(res="''", src="SELECT class_code FROM cells") + ")",
     "band_stats": _with(_GRID) + "SELECT min(v) AS minimum, max(v) AS maximum, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std_dev, round(100.0 * count(v) / count(*), 6)::DOUBLE AS valid_percent FROM (SELECT nullif(class_code, 0) AS v FROM cells)",
@@ -157,13 +195,16 @@ ORACLE_SQL: dict[str, str] = {
         _GRID,
         _PATCH,
         """,
+large AS (SELECT patch_id, area FROM areas WHERE area >= greatest(2, 0.08 * (SELECT max(area) FROM areas))),
 near AS (SELECT a.cell_id AS a, b.cell_id AS b FROM m a JOIN m b ON abs(a.y - b.y) + abs(a.x - b.x) = 1
          WHERE (a.habitat OR a.restorable) AND (b.habitat OR b.restorable)),
-step AS (SELECT patch_id AS src, cell_id AS cell, 0 AS d FROM label
-         UNION SELECT s.src, near.b, s.d + 1 FROM step s JOIN near ON near.a = s.cell WHERE s.d < 20)
+step(src, cell, d) USING KEY (src, cell) AS (SELECT patch_id, cell_id, 0 FROM label JOIN large USING (patch_id)
+         UNION SELECT DISTINCT s.src, near.b, s.d + 1 FROM step s JOIN near ON near.a = s.cell
+               LEFT JOIN recurring.step k ON k.src = s.src AND k.cell = near.b WHERE k.cell IS NULL),
+hit AS (SELECT src, patch_id AS dst, min(d) AS steps FROM step JOIN label ON label.cell_id = step.cell GROUP BY 1, 2)
 """,
     )
-    + "SELECT src AS lo, patch_id AS hi, min(d)::INT AS steps FROM step JOIN label ON label.cell_id = step.cell WHERE src < patch_id GROUP BY 1, 2",
+    + "SELECT a.patch_id AS lo, b.patch_id AS hi, coalesce(steps, -1)::INT AS steps FROM large a JOIN large b ON a.patch_id < b.patch_id LEFT JOIN hit ON src = a.patch_id AND dst = b.patch_id",
     "raster_audit": _with(_GRID, _PATCH, _edges(5), _HOP, _COMPONENT)
     + f"""SELECT 'part' AS raster_id, max(y) + 1 AS height, max(x) + 1 AS width, count(*) AS total_cells, count(*) FILTER (habitat) AS habitat_cells,
   100.0::DOUBLE * count(*) FILTER (habitat) / count(*) AS habitat_percent, count(*) FILTER (restorable) AS restorable_cells,
@@ -182,6 +223,8 @@ win AS (SELECT a * sy AS y0, b * sx AS x0, nh, nw FROM size, (SELECT unnest(rang
 """,
     )
     + "SELECT y0::INT AS y0, x0::INT AS x0, count(*) AS n_cells, count(*) FILTER (habitat) AS habitat_cells, count(*) FILTER (restorable) AS restorable_cells, count(*) FILTER (class_code IN (31, 40, 33, 0)) AS locked_cells FROM win JOIN m ON y >= y0 AND y < y0 + nh AND x >= x0 AND x < x0 + nw GROUP BY 1, 2",
+    "window_structure": _with(_GRID, _WINDOWS) + "SELECT * EXCLUDE (y0, x0) FROM structure",
+    "window_topk": _with(_GRID, _WINDOWS) + "SELECT *, row_number() OVER (ORDER BY score DESC, y0, x0)::INT AS rank FROM structure WHERE score >= 0 ORDER BY score DESC, y0, x0 LIMIT 5",
     "scenario_grid": "SELECT * FROM (VALUES ('1:1'), ('1:2'), ('1:3')) AS c(cost_scenario) CROSS JOIN (VALUES (10), (20), (30)) AS b(budget)",
     "scenario_cost_merge": f"SELECT cost_scenario, land_scenario, class_code, cost FROM {_SCENARIO_COSTS} CROSS JOIN {_LANDS} UNION ALL SELECT DISTINCT cost_scenario, 's2', c, 3 FROM {_SCENARIO_COSTS} CROSS JOIN (VALUES (31), (40)) AS x(c)",
     "run_slugs": f"SELECT cost_scenario, budget, land_scenario, rl_preset, 'maskableppo' || CASE land_scenario WHEN 'main' THEN '' ELSE '_land_' || land_scenario END || CASE rl_preset WHEN 'default' THEN '' ELSE '_preset_' || rl_preset END || '_cost_' || replace(cost_scenario, ':', '-') || '_budget' || budget || '_steps50000_seed0' AS run_name FROM (VALUES ('1:1'), ('1:2'), ('1:3')) AS c(cost_scenario) CROSS JOIN (VALUES (10), (20), (30)) AS b(budget) CROSS JOIN {_LANDS} CROSS JOIN (VALUES ('default'), ('s2-tuned')) AS p(rl_preset)",

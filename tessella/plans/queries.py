@@ -16,6 +16,7 @@ from ..sources.results import evolve, upsert
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 R = 5.0
 BUDGET = 20
+SHARE = 0.08
 COSTS = COST_SCENARIOS["1:2"]
 
 
@@ -223,7 +224,8 @@ def bait_frontier(spark, sf):
 
 @query
 def gap_distances(spark, sf):
-    return structure.gap_table(_cells(spark, sf)).drop("raster_id")
+    """Every two patches of 8 % of the largest at least; -1 where no open cells lead from one to the other."""
+    return structure.gap_table(_cells(spark, sf), SHARE).drop("raster_id")
 
 
 @query
@@ -250,17 +252,21 @@ def window_scan(spark, sf):
 def _structures(spark, sf):
     win, size = _windows(spark, sf)
     half = raster.resample(win.drop("y0", "x0"), size, (max(1, size[0] // 2), max(1, size[1] // 2)))
-    return structure.window_structure(half, BUDGET)
+    return structure.window_structure(half, BUDGET, SHARE)
+
+
+def _rounded_structure(df):
+    return df.withColumns({c: F.round(c, 9).alias(c) for c in ("frac_habitat", "frac_restorable", "frac_locked", "score")})
 
 
 @query
 def window_structure(spark, sf):
-    return _structures(spark, sf)
+    return _rounded_structure(_structures(spark, sf))
 
 
 @query
 def window_topk(spark, sf):
-    return structure.top_windows(_structures(spark, sf), 5)
+    return _rounded_structure(structure.top_windows(_structures(spark, sf), 5))
 
 
 # --- scenarios -----------------------------------------------------------------------------------------------------
