@@ -239,11 +239,19 @@ def split_by_bucket(bucket: np.ndarray, n: int):
         yield int(k), order[ends[k] : ends[k + 1]]
 
 
-def answered(messages: DataFrame, reducers: dict, n: int) -> DataFrame:
-    """Deal bucket messages out and let ``reducers[kind](rows)`` give the reply (bytes) to each row of a task."""
+def answered(messages: DataFrame, reducers: dict, n: int, keep: tuple[int, ...] = ()) -> DataFrame:
+    """Deal bucket messages out and let ``reducers[kind](rows)`` give the reply (bytes) to each row of a task.
+
+    Messages of the kinds in ``keep`` go through as they are, as replies of bucket -1.
+    """
 
     def run(batches):
-        rows = list(chunk_rows(batches, ["bucket", "chunk", "kind", "p1", "p2", "p3"]))
+        rows = []
+        for r in chunk_rows(batches, ["bucket", "chunk", "kind", "p1", "p2", "p3"]):
+            if r["kind"] in keep:
+                yield to_batch([(r["chunk"], r["kind"], -1, r["p1"])], REPLY_ARROW)
+            else:
+                rows.append(r)
         for kind, reducer in reducers.items():
             own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: (r["chunk"], r["bucket"]))
             if own:

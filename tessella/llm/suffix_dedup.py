@@ -5,14 +5,16 @@ whole texts.
 
 1. Copies. Texts that occur more than once, by their 128-bit digests, are repeated throughout; one of each goes on.
 2. Candidates, lossless. The least of the hashes of the ``gram``-byte strings inside a window is the window's anchor;
-   equal windows have equal anchors at equal offsets. An exchange of the anchors' names tells which occur in two places
-   of the corpus; only windows over those go on.
+   equal windows have equal anchors at equal offsets. Neighbouring windows of one anchor are a segment (about 85
+   windows). An exchange of the anchors' names tells which occur in two places of the corpus; only windows over those go
+   on. Segments that several shards hold whole are known to be repeated, and only the first of these shards goes on with
+   them.
 3. Suffix arrays. The candidates of a shard are sorted by Larsson-Sadakane refinement in numpy (ranks by 8 bytes, doubled
    until the order is settled to the window's length), and Kasai's recurrence, run in lockstep over blocks of windows,
-   gives the common prefixes of neighbours. That finds the repeats inside the shard, and one place of each different
-   window.
-4. Merge. Each shard deals its different windows, as sorted 96-bit digests, to ranges of digests; in a range the shards'
-   lists are merged two by two by binary search, and each shard learns which of its windows others hold as well.
+   gives the common prefixes of neighbours. That finds the repeats inside the shard.
+4. Merge. Each shard deals its different windows, as sorted 96-bit digests, to buckets of digests; there the shards'
+   lists are merged two by two by binary search, and each shard learns which of its windows others hold as well. (The
+   lists of whole segments under 2 are merged likewise, by sorting.)
 
 ``law`` "all" marks every such string; "first" leaves its first occurrence (least doc_id, then least place in the input,
 then least place in the text) and marks those that start behind it and don't overlap it.
@@ -42,7 +44,7 @@ from .common import MESSAGE, MESSAGE_ARROW, answered, bits_of, chunk_rows, ids_o
 _TABLES = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _STEPS = np.random.default_rng(12).integers(1, 2**63, (2, 64), dtype=np.uint64) | np.uint64(1)
 _PLACE = 26  # low bits of a key that hold the place; the same at every size, so ties break alike everywhere
-NAMES, TEXTS, WINDOWS, RUNS, COUNTS, CLASSES, LOCAL, WHOLE = range(8)  # kinds of messages and of what a shard keeps
+NAMES, TEXTS, SEGMENTS, WINDOWS, RUNS, LOCAL, KNOWN, WHOLE = range(8)  # kinds of messages and of what a shard keeps
 
 
 def gram_hashes(data: np.ndarray, gram: int, family: int = 0) -> np.ndarray:
@@ -65,6 +67,28 @@ def window_digests(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.nd
     return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
+def distinct(lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one of each different digest, by bucket and digest; the number of each digest in that order)."""
+    order = np.argsort(lo)
+    a, b = lo[order], hi[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # 64 bits don't tell two windows apart
+        order = np.lexsort((hi, lo))
+        a, b = lo[order], hi[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    pick = order[new]
+    rank = np.argsort(lo[pick] % np.uint64(n), kind="stable")
+    back = np.empty(len(rank), np.int64)
+    back[rank] = np.arange(len(rank))
+    number = np.empty(len(lo), np.int64)
+    number[order] = back[np.cumsum(new) - 1]
+    return pick[rank], number
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first`` and are ``count`` long."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def segments(data: np.ndarray, offs: np.ndarray, window: int, gram: int, block: int = 1 << 20):
     """(first window, last window, name of the anchor) of every segment."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
@@ -210,15 +234,12 @@ class Shard:
 
     def text_messages(self, chunk: int, n: int):
         _, _, first, lo, hi, more = self.texts()
-        for k, i in split_by_bucket((lo % np.uint64(n)).astype(np.int64), n):
-            yield k, chunk, TEXTS, lo[i].tobytes(), hi[i].tobytes() + more[i].tobytes(), self.ids[first[i]].tobytes()
+        yield from digest_messages(lo, hi, more, self.ids[first], chunk, TEXTS, n)
 
-    def sort_texts(self, got: dict, n: int, law: str) -> None:
-        """Which texts go on, and which are repeated throughout."""
+    def cut(self, got: dict, n: int, law: str) -> None:
+        """Sort out which texts go on and which are repeated throughout, and cut the former into segments."""
         long, text_of, first, lo, _, more = self.texts()
-        said = np.zeros(len(first), np.uint8)
-        for k, i in split_by_bucket((lo % np.uint64(n)).astype(np.int64), n):
-            said[i] = np.frombuffer(got[TEXTS, k], np.uint8)
+        said = replies_of(got, TEXTS, lo, n)
         self.whole = np.zeros(len(self.ids), bool)
         if law == "all":
             self.whole[long] = (more | (said > 0))[text_of]
@@ -228,67 +249,96 @@ class Shard:
         self.own = np.sort(first[said < 2])
         lens = np.diff(self.offs)[self.own]
         self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
-        self.text = self.data[np.repeat(self.offs[self.own] - self.at[:-1], lens) + np.arange(self.at[-1])]
+        self.text = self.data[spread(self.offs[self.own], lens)]
         self.first, self.last, name = segments(self.text, self.at, self.window, self.gram)
         self.names, self.name_of = np.unique(name >> np.uint64(17), return_inverse=True)
         self.more = np.bincount(self.name_of, minlength=len(self.names)) > 1
-
-    def search(self, shared: np.ndarray, chunk: int, n: int, law: str):
-        """Messages about the different candidate windows, and what the shard keeps."""
-        yield -1, chunk, WHOLE, np.packbits(self.whole).tobytes(), b"", b""
-        pick = shared[self.name_of]
+        raw, f = self.text.tobytes(), xxhash.xxh3_128_digest
+        d = np.frombuffer(b"".join([f(raw[a:b]) for a, b in zip(self.first.tolist(), (self.last + self.window).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+        self.owner = self.ids[self.own[np.searchsorted(self.at, self.first, side="right") - 1]]
+        order = np.lexsort((self.owner, d[:, 1], d[:, 0]))
+        new = np.concatenate(([True], (d[order][1:] != d[order][:-1]).any(axis=1))) if len(d) else np.zeros(0, bool)
+        self.kinds = order[new]  # of each different segment the one with the least id
+        self.lo, self.hi = d[self.kinds, 0], d[self.kinds, 1]
+        self.kind_of = np.empty(len(order), np.int64)
+        self.kind_of[order] = np.cumsum(new) - 1
+
+    def segment_messages(self, chunk: int, n: int, law: str):
+        yield from name_messages(self.names, self.more, chunk, NAMES, n)
+        yield from digest_messages(self.lo, self.hi >> np.uint64(32), None, self.owner[self.kinds] if law == "first" else None, chunk, SEGMENTS, n)
+
+    def search(self, got: dict, chunk: int, n: int, law: str):
+        """Messages about the different candidate windows, and what the shard keeps (for bucket chunk % n)."""
+        keep = lambda kind, *parts: (chunk % n, chunk, kind, b"".join(x.tobytes() for x in parts), b"", b"")
+        yield keep(WHOLE, np.packbits(self.whole))
+        said = replies_of(got, SEGMENTS, self.lo, n)[self.kind_of]
+        origin = self.first + (self.offs[self.own] - self.at[:-1])[np.searchsorted(self.at, self.first, side="right") - 1] if len(self.first) else self.first
+        known = said > 0 if law == "all" else said == 2
+        yield keep(KNOWN, origin[known], (self.last - self.first + 1)[known])
+        pick = bits_of(got, NAMES, self.names, n)[self.name_of] & (said < 2)
         first, last = self.first[pick], self.last[pick]
         if not len(first):
             return
         new = np.concatenate(([True], first[1:] != last[:-1] + 1))  # windows side by side are of one text
         a, b = first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
-        lens = b - a + self.window
-        begin = np.cumsum(lens) - lens
-        text = self.text[np.repeat(a - begin, lens) + np.arange(lens.sum())]
+        starts, lens = b - a + 1, b - a + self.window
+        text = self.text[spread(a, lens)]
         repeated, number = shared_windows(text, lens, self.window)
         valid = np.flatnonzero(number >= 0)
         number = number[valid] - number[valid].min()
         doc = np.searchsorted(self.at, a, side="right") - 1
-        origin = self.offs[self.own[doc]] + a - self.at[doc]  # of each run, in the chunk
-        starts = b - a + 1
-        place = np.repeat(origin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
-        owner = self.ids[np.repeat(self.own[doc], starts)]
-        order = np.lexsort((place, owner, number))
-        pick = order[np.concatenate(([True], np.diff(number[order]) > 0))]  # the first occurrence of each window
+        lo, hi = window_digests(text, valid, self.window)
+        one, _ = distinct(lo, hi, n)
+        ids = None
         if law == "all":
             local = repeated[valid]
         else:
-            least, at = np.repeat(self.own[doc], starts)[pick][number], place[pick][number]
-            local = (least != np.repeat(self.own[doc], starts)) | (place >= at + self.window)
-        lo, hi = window_digests(text, valid[pick], self.window)
-        bucket = (lo % np.uint64(n)).astype(np.int64)
-        rank = np.lexsort((hi, lo, bucket))
-        back = np.empty(len(rank), np.int32)
-        back[rank] = np.arange(len(rank))
+            place, own = spread(a, starts), np.repeat(self.own[doc], starts)
+            order = np.lexsort((place, self.ids[own], number))
+            least = order[np.concatenate(([True], np.diff(number[order]) > 0))][number]  # the first occurrence of each window
+            local = (own[least] != own) | (place >= place[least] + self.window)
+            ids = self.ids[own[least[one]]]
+        yield keep(RUNS, origin[pick][new], starts)
+        yield keep(LOCAL, np.packbits(local))
         z = zstandard.ZstdCompressor(level=1)
-        yield -1, chunk, RUNS, np.stack((origin, starts)).tobytes(), b"", b""
-        yield -1, chunk, COUNTS, np.bincount(bucket, minlength=n).tobytes(), b"", b""
-        yield -1, chunk, CLASSES, z.compress(back[number].tobytes()), b"", b""
-        yield -1, chunk, LOCAL, z.compress(np.packbits(local).tobytes()), b"", b""
-        lo, hi, ids = lo[rank], hi[rank], owner[pick][rank]
-        for k, i in split_by_bucket(bucket[rank], n):
-            yield k, chunk, WINDOWS, lo[i].tobytes(), hi[i].tobytes(), z.compress(ids[i].tobytes()) if law == "first" else b""
-
-
-def _about_texts(rows: list[dict]) -> list[bytes]:
-    """0: the text occurs in one shard; 1: in several, and this is the first; 2: the first is another."""
-    size = [len(r["p1"]) // 8 for r in rows]
-    lo, ids = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("p1", np.uint64), ("p3", np.int64)))
-    hi = np.concatenate([np.frombuffer(r["p2"], np.uint64, n) for r, n in zip(rows, size, strict=True)])
-    inside = np.concatenate([np.frombuffer(r["p2"], np.uint8, n, 8 * n) for r, n in zip(rows, size, strict=True)])
-    order = np.lexsort((np.repeat([r["chunk"] for r in rows], size), ids, hi, lo))
-    start = np.flatnonzero(np.concatenate(([True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))))
-    several = np.diff(np.append(start, len(lo))) > 1
-    said = np.repeat(np.where(several, 2, 0).astype(np.uint8), np.diff(np.append(start, len(lo))))
-    said[start] = several | (inside[order[start]] > 0)
-    out = np.empty(len(lo), np.uint8)
-    out[order] = said
-    return [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+        for k, i in split_by_bucket((lo[one] % np.uint64(n)).astype(np.int64), n):
+            yield k, chunk, WINDOWS, lo[one[i]].tobytes(), hi[one[i]].tobytes(), b"" if ids is None else z.compress(ids[i].tobytes())
+
+
+def digest_messages(lo, hi, inside, ids, chunk: int, kind: int, n: int):
+    """Messages about different digests: p2 holds a flag each behind the second halves, p3 the least id, if that counts."""
+    hi = hi.astype(np.uint32) if kind == SEGMENTS else hi
+    inside = np.zeros(len(lo), bool) if inside is None else inside
+    for k, i in split_by_bucket((lo % np.uint64(n)).astype(np.int64), n):
+        yield k, chunk, kind, lo[i].tobytes(), hi[i].tobytes() + inside[i].tobytes(), b"" if ids is None else ids[i].tobytes()
+
+
+def replies_of(got: dict, kind: int, lo: np.ndarray, n: int) -> np.ndarray:
+    said = np.zeros(len(lo), np.uint8)
+    for k, i in split_by_bucket((lo % np.uint64(n)).astype(np.int64), n):
+        said[i] = np.frombuffer(got[kind, k], np.uint8)
+    return said
+
+
+def _about_digests(half):
+    """0: one shard has it; 1: several (or one, more than once), and this is the first; 2: the first is another."""
+
+    def reducer(rows: list[dict]) -> list[bytes]:
+        size, wide = [len(r["p1"]) // 8 for r in rows], np.dtype(half).itemsize
+        lo = np.concatenate([np.frombuffer(r["p1"], np.uint64) for r in rows])
+        hi = np.concatenate([np.frombuffer(r["p2"], half, n) for r, n in zip(rows, size, strict=True)])
+        inside = np.concatenate([np.frombuffer(r["p2"], np.uint8, n, wide * n) for r, n in zip(rows, size, strict=True)])
+        ids = np.concatenate([np.frombuffer(r["p3"], np.int64) if r["p3"] else np.zeros(n, np.int64) for r, n in zip(rows, size, strict=True)])
+        order = np.lexsort((np.repeat([r["chunk"] for r in rows], size), ids, hi, lo))
+        start = np.flatnonzero(np.concatenate(([True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))))
+        several = np.diff(np.append(start, len(lo))) > 1
+        said = np.repeat(np.where(several, 2, 0).astype(np.uint8), np.diff(np.append(start, len(lo))))
+        said[start] = several | (inside[order[start]] > 0)
+        out = np.empty(len(lo), np.uint8)
+        out[order] = said
+        return [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+
+    return reducer
 
 
 class Windows:
@@ -362,47 +412,53 @@ def repeats(docs: DataFrame, window: int = 200, gram: int = 32, law: str = "all"
         for row in chunk_rows(batches, columns):
             yield to_batch(list(Shard(row, window, gram).text_messages(row["chunk"], n)), MESSAGE_ARROW)
 
-    texts = shared_table(answered(packed.select(*columns).mapInArrow(tidy(tell_texts), MESSAGE), {TEXTS: _about_texts}, n), "texts")
+    texts = shared_table(answered(packed.select(*columns).mapInArrow(tidy(tell_texts), MESSAGE), {TEXTS: _about_digests(np.uint64)}, n), "texts")
 
-    def tell_names(batches):
+    def tell_segments(batches):
         for row in chunk_rows(batches, [*columns, "replies"]):
             s = Shard(row, window, gram)
-            s.sort_texts(reply_map(row), n, law)
-            yield to_batch(list(name_messages(s.names, s.more, row["chunk"], NAMES, n)), MESSAGE_ARROW)
+            s.cut(reply_map(row), n, law)
+            yield to_batch(list(s.segment_messages(row["chunk"], n, law)), MESSAGE_ARROW)
 
-    names = answered(with_replies(packed, texts).select(*columns, "replies").mapInArrow(tidy(tell_names), MESSAGE), {NAMES: shared_names}, n)
+    told = answered(with_replies(packed, texts).select(*columns, "replies").mapInArrow(tidy(tell_segments), MESSAGE), {NAMES: shared_names, SEGMENTS: _about_digests(np.uint32)}, n)
 
     def search(batches):
         for row in chunk_rows(batches, [*columns, "replies"]):
             s, got = Shard(row, window, gram), reply_map(row)
-            s.sort_texts(got, n, law)
-            yield to_batch(list(s.search(bits_of(got, NAMES, s.names, n), row["chunk"], n, law)), MESSAGE_ARROW)
+            s.cut(got, n, law)
+            yield to_batch(list(s.search(got, row["chunk"], n, law)), MESSAGE_ARROW)
 
-    searched = shared_table(with_replies(packed, texts.unionAll(names)).select(*columns, "replies").mapInArrow(tidy(search), MESSAGE), "searched")
-    merged = answered(searched.where(F.col("kind") == WINDOWS), {WINDOWS: _about_windows(law)}, n)
-    known = searched.where(F.col("kind") != WINDOWS).select("chunk", "kind", "bucket", F.col("p1").alias("reply")).unionAll(merged)
+    found = with_replies(packed, texts.unionAll(told)).select(*columns, "replies").mapInArrow(tidy(search), MESSAGE)
+    known = answered(found, {WINDOWS: _about_windows(law)}, n, keep=(RUNS, LOCAL, KNOWN, WHOLE))
 
     rest = ["rest"] if keep else []
 
     def finish(batches):
-        z = zstandard.ZstdDecompressor()
         for row in chunk_rows(batches, [*columns, *rest, "replies"]):
             ids, null, offs, data = unpack(row)
             got = reply_map(row)
             masks = np.zeros((3, len(data)), bool)
-            if (WHOLE, -1) in got:
-                whole = np.unpackbits(np.frombuffer(got[WHOLE, -1], np.uint8), count=len(ids)).astype(bool)
-                masks[0] = np.repeat(whole, np.diff(offs))
+
+            def cover(mask, at):
+                edge = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + window, minlength=len(data) + 1)
+                mask |= np.cumsum(edge[:-1]) > 0
+
+            whole = np.unpackbits(np.frombuffer(got[WHOLE, -1], np.uint8), count=len(ids)).astype(bool)
+            masks[0] = np.repeat(whole, np.diff(offs))
+            first, count = np.frombuffer(got[KNOWN, -1], np.int64).reshape(2, -1)
+            cover(masks[2], spread(first, count))
             if (RUNS, -1) in got:
-                origin, starts = np.frombuffer(got[RUNS, -1], np.int64).reshape(2, -1)
-                number = np.frombuffer(z.decompress(got[CLASSES, -1]), np.int32)
-                counts = np.frombuffer(got[COUNTS, -1], np.int64).tolist()
-                bits = np.concatenate([np.unpackbits(np.frombuffer(got[WINDOWS, k], np.uint8), count=c) for k, c in enumerate(counts) if c])
-                local = np.unpackbits(np.frombuffer(z.decompress(got[LOCAL, -1]), np.uint8), count=len(number)).astype(bool)
-                place = np.repeat(origin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
-                for mask, at in ((masks[1], place[local]), (masks[2], place[bits[number].astype(bool)])):
-                    edge = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + window, minlength=len(data) + 1)
-                    mask |= np.cumsum(edge[:-1]) > 0
+                first, count = np.frombuffer(got[RUNS, -1], np.int64).reshape(2, -1)
+                local = np.unpackbits(np.frombuffer(got[LOCAL, -1], np.uint8), count=count.sum()).astype(bool)
+                place = spread(first, count)
+                cover(masks[1], place[local])
+                lens = count + (window - 1)
+                lo, hi = window_digests(data[spread(first, lens)], spread(np.cumsum(lens) - lens, count), window)
+                one, number = distinct(lo, hi, n)
+                bits = np.zeros(len(one), bool)
+                for k, i in split_by_bucket((lo[one] % np.uint64(n)).astype(np.int64), n):
+                    bits[i] = np.unpackbits(np.frombuffer(got[WINDOWS, k], np.uint8), count=len(i)).astype(bool)
+                cover(masks[2], place[bits[number]])
             masks[1] &= ~masks[0]
             masks[2] &= ~(masks[0] | masks[1])
             gone = masks.any(axis=0)
