@@ -188,26 +188,31 @@ def hop_rows(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray):
     return spread(n, a, b, start)
 
 
-def hop_sums(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[int]:
-    """Sum of size products of all ordered node pairs at each hop, from 0 on. Repeated edges don't matter."""
+def hop_areas(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each hop, from 0 on, the size that each node has at that hop. Repeated edges don't matter."""
     n = len(sizes)
     weight = sizes.astype(np.float64)  # sums stay below 2^53, so they are exact
     u, v = np.concatenate((a, b)), np.concatenate((b, a))
     order = np.argsort(v, kind="stable")
     u, v = u[order], v[order]
     heads = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-    reach, out = np.packbits(np.eye(n, dtype=bool), axis=1), [int(weight @ weight)]
+    reach, out = np.packbits(np.eye(n, dtype=bool), axis=1), [weight]
     while len(v):
         grown = reach.copy()
         grown[v[heads]] |= np.bitwise_or.reduceat(reach[u], heads, axis=0)
         new = grown ^ reach
         if not new.any():
             break
-        out.append(int(weight @ (np.unpackbits(new, axis=1, count=n) @ weight)))
+        out.append(np.unpackbits(new, axis=1, count=n) @ weight)
         reach = grown
     return out
 
 
+def hop_sums(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """Sum of size products of all ordered node pairs at each hop, from 0 on."""
+    return [int(sizes @ x) for x in hop_areas(a, b, sizes)]
+
+
 def hop_distances(areas: DataFrame, edges: DataFrame, most_edges: int = 200_000, block: int = 256) -> DataFrame:
     """(raster_id, src, dst, hop) of reachable pairs.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EVALUATIONS, HABITAT, INVALID_PENALTY, LAND_SCENARIOS, LEARNED, METHODS, REPEAT_LIMIT, RESTORABLE, RESULTS, limit_of_steps
-from .graph import grid_links, half_stencil, hop_sums, merge_labels
+from .graph import grid_links, half_stencil, hop_areas, hop_sums, merge_labels
 from .raster import NEIGHBOURS
 
 
@@ -91,7 +91,7 @@ class Grid:
 
     def reset(self) -> None:
         self.habitat, self.planted = self.start.copy(), np.zeros(self.shape, bool)
-        self._known = self._first
+        self._known, self._around = self._first, None
         self.frontier = self._open()
         self.remaining, self.used, self.order, self.refused = self.budget, 0.0, [], []
         self.iic, self.invalid, self.steps = self.first_iic, 0, 0
@@ -149,24 +149,51 @@ class Grid:
         block = self.grow(cell)
         cost = max(float(self.cost.ravel()[block].sum()), 1e-9)
         if len(block) == 1:
-            return round(self._with_cell(block[0]) - self.iic, 12), cost
+            return round(self._iic_with(block[0]) - self.iic, 12), cost
         trial = self.habitat.copy()
         trial.ravel()[block] = True
         return round(iic_of(trial, self.area, self.r) - self.iic, 12), cost
 
-    def _graph_with(self, cell: int):
-        """(sizes, edges, new number of each patch) with one more cell: its neighbour patches and itself become patch 0,
+    def _iic_with(self, cell: int) -> float:
+        """IIC with one more cell. What it joins and reaches decides, so cells alike in that are computed once.
 
-        linked to what they were linked to and to what the cell reaches.
+        A cell that widens one patch and reaches none that isn't linked already leaves the graph as it is: the sums per
+        hop grow by twice the areas at that hop from the patch, and by the cell's own square.
         """
-        sizes, edges, image = self._known
-        h, w = self.shape
+        if self._around is None:
+            sizes, edges, _ = self._known
+            n = len(sizes)
+            linked = np.eye(n, dtype=bool)
+            linked[edges[:, 0], edges[:, 1]] = linked[edges[:, 1], edges[:, 0]] = True
+            self._around = linked, np.array(hop_areas(edges[:, 0], edges[:, 1], sizes)), {}
+        linked, areas, seen = self._around
+        beside, near = self._touched(cell)
+        if len(beside) == 1 and linked[beside[0], near].all():
+            sums = areas @ self._known[0] + 2 * areas[:, beside[0]]
+            sums[0] += 1
+            return fold(sums.tolist(), self.area)
+        key = beside.tobytes() + b"|" + near.tobytes()
+        if key not in seen:
+            seen[key] = self._with_cell(cell)
+        return seen[key]
+
+    def _touched(self, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """(patches beside a cell, patches within reach of it)."""
+        image, (h, w) = self._known[2], self.shape
         y, x = divmod(cell, w)
         v, u = y + self._reach[0], x + self._reach[1]
         ok = (v >= 0) & (v < h) & (u >= 0) & (u < w)
         near = image[v[ok] * w + u[ok]]
         beside = near[(np.abs(v[ok] - y) + np.abs(u[ok] - x) == 1) & (near >= 0)]
-        near = np.unique(near[near >= 0])
+        return np.unique(beside), np.unique(near[near >= 0])
+
+    def _graph_with(self, cell: int):
+        """(sizes, edges, new number of each patch) with one more cell: its neighbour patches and itself become patch 0,
+
+        linked to what they were linked to and to what the cell reaches.
+        """
+        sizes, edges, _ = self._known
+        beside, near = self._touched(cell)
         stays = np.ones(len(sizes), np.int64)
         stays[beside] = 0
         number = np.cumsum(stays) * stays
@@ -185,7 +212,7 @@ class Grid:
         image = np.where(self._known[2] >= 0, number[self._known[2]], -1) if len(number) else self._known[2].copy()
         image[cell] = 0
         key = np.unique(np.sort(edges, axis=1) @ np.array([len(sizes), 1]))
-        self._known = sizes, np.stack(np.divmod(key, len(sizes)), axis=1), image
+        self._known, self._around = (sizes, np.stack(np.divmod(key, len(sizes)), axis=1), image), None
         self.habitat.ravel()[cell] = True
 
     def _settle(self, block: list[int]) -> tuple[float, float]:

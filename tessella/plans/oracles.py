@@ -116,6 +116,60 @@ cgain AS (SELECT g.c AS cell_id, f.cost, round(g.s / power((SELECT count(*) FROM
 """
 
 
+# Cheapest way between two components: least distances from all habitat, each cell behind its cheapest neighbour.
+_BRIDGE = """,
+beside AS (SELECT a.cell_id AS a, b.cell_id AS b, b.cost FROM m a JOIN m b ON abs(a.y - b.y) + abs(a.x - b.x) = 1),
+dist(cell, d) USING KEY (cell) AS (SELECT cell_id, 0.0::DOUBLE FROM label
+      UNION SELECT b, min(dist.d + beside.cost) FROM dist JOIN beside ON a = cell JOIN m ON m.cell_id = b AND m.restorable
+            LEFT JOIN recurring.dist k ON k.cell = b WHERE k.d IS NULL OR dist.d + beside.cost < k.d GROUP BY b),
+behind AS (SELECT cell, pred FROM (SELECT v.cell, u.cell AS pred, row_number() OVER (PARTITION BY v.cell ORDER BY u.d, u.cell) AS k
+           FROM dist v JOIN beside ON a = v.cell JOIN dist u ON u.cell = b WHERE v.d > 0) WHERE k = 1),
+owner AS (SELECT cell_id AS cell, component_id AS own FROM label JOIN comp USING (patch_id) UNION ALL SELECT p.cell, o.own FROM owner o JOIN behind p ON p.pred = o.cell),
+bridge AS (SELECT u.d + v.d AS cost, u.cell AS a, v.cell AS b FROM dist u JOIN beside ON a = u.cell JOIN dist v ON v.cell = b AND u.cell < v.cell
+           JOIN owner x ON x.cell = u.cell JOIN owner y ON y.cell = v.cell AND x.own <> y.own ORDER BY 1, 2, 3 LIMIT 1),
+back AS (SELECT a AS cell FROM bridge WHERE cost <= 20 UNION ALL SELECT b FROM bridge WHERE cost <= 20 UNION ALL SELECT pred FROM back JOIN behind USING (cell)),
+route AS (SELECT DISTINCT cell AS cell_id FROM back JOIN front ON front.cell_id = cell WHERE front.cost <= 20)
+"""
+
+
+def _random_episodes(configs: str, seeds: int) -> str:
+    """Episodes of the random policy: final(config, seed, planted, spent, steps, n_patches, largest, iic)."""
+    return _with(
+        _GRID,
+        _PATCH,
+        _edges(5),
+        _HOP,
+        f""",
+config AS ({configs}),
+side AS (SELECT a.cell_id AS c, list(b.cell_id) AS around, bool_or(b.habitat) AS first FROM m a JOIN m b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE a.restorable GROUP BY 1),
+price AS (SELECT config, side.c, around, first, CASE class_code WHEN c1 THEN p1 ELSE p2 END AS cost FROM config, side JOIN m ON m.cell_id = side.c),
+ep AS (SELECT config, seed, budget, 0 AS steps, []::BIGINT[] AS planted, 0.0::DOUBLE AS spent, false AS done FROM config, (SELECT unnest(range({seeds})) AS seed)
+       UNION ALL
+       SELECT config, seed, budget, steps + 1, list_append(planted, pick.c), spent + pick.cost, false FROM (
+         SELECT ep.config, seed, budget, steps, planted, spent,
+                arg_min(struct_pack(c := p.c, cost := p.cost), struct_pack(d := (p.c * 7919 + steps * 104729 + seed * 15485863 + 12345) % 1000003, c := p.c)) AS pick
+         FROM ep JOIN price AS p ON p.config = ep.config AND p.cost <= budget - spent AND NOT list_contains(planted, p.c) AND (first OR list_has_any(around, planted))
+         WHERE steps < 300 GROUP BY ep.config, seed, budget, steps, planted, spent)),
+last AS (SELECT * FROM ep QUALIFY row_number() OVER (PARTITION BY config, seed ORDER BY steps DESC) = 1),
+hab AS (SELECT config, seed, cell_id, y, x FROM last, m WHERE habitat OR list_contains(planted, cell_id)),
+hadj AS (SELECT a.config, a.seed, a.cell_id AS a, b.cell_id AS b FROM hab a JOIN hab b ON a.config = b.config AND a.seed = b.seed AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+hreach AS (SELECT config, seed, cell_id AS cell, cell_id AS start FROM hab UNION SELECT r.config, r.seed, b, r.start FROM hreach r JOIN hadj j ON j.config = r.config AND j.seed = r.seed AND j.a = r.cell),
+hlab AS (SELECT config, seed, cell, min(start) AS patch FROM hreach GROUP BY ALL),
+hcell AS (SELECT hlab.*, m.y, m.x FROM hlab JOIN m ON m.cell_id = cell),
+harea AS (SELECT config, seed, patch, count(*) AS area FROM hlab GROUP BY ALL),
+hedge AS (SELECT DISTINCT a.config, a.seed, a.patch AS a, b.patch AS b FROM hcell a JOIN hcell b ON a.config = b.config AND a.seed = b.seed AND a.patch <> b.patch
+          AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 25),
+hwalk AS (SELECT config, seed, patch AS src, patch AS dst, 0 AS hop FROM harea
+          UNION SELECT w.config, w.seed, w.src, e.b, w.hop + 1 FROM hwalk w JOIN hedge e ON e.config = w.config AND e.seed = w.seed AND e.a = w.dst WHERE w.hop < 24),
+hhop AS (SELECT config, seed, src, dst, min(hop) AS hop FROM hwalk GROUP BY ALL),
+hsum AS (SELECT h.config, h.seed, h.hop, sum(p.area * q.area)::DOUBLE / (1 + h.hop) AS t FROM hhop h JOIN harea p ON p.config = h.config AND p.seed = h.seed AND p.patch = h.src
+         JOIN harea q ON q.config = h.config AND q.seed = h.seed AND q.patch = h.dst GROUP BY h.config, h.seed, h.hop),
+hiic AS (SELECT config, seed, sum(t ORDER BY hop) / power((SELECT count(*) FROM m WHERE habitat OR restorable), 2)::DOUBLE AS iic FROM hsum GROUP BY config, seed),
+final AS (SELECT last.*, iic, n_patches, largest FROM last JOIN hiic USING (config, seed) JOIN (SELECT config, seed, count(*) AS n_patches, max(area) AS largest FROM harea GROUP BY ALL) USING (config, seed))
+""",
+    )
+
+
 # Windows of two fifths of the raster, at half the resolution, with patches, gaps and scores.
 _WINDOWS = """,
 size AS (SELECT h, w, h * 2 // 5 AS nh, w * 2 // 5 AS nw, greatest(1, h * 2 // 5 // 2) AS th, greatest(1, w * 2 // 5 // 2) AS tw FROM dim),
@@ -266,24 +320,14 @@ r AS (SELECT *, sum(CASE WHEN invalid AND coalesce(i, false) AND action = a THEN
     "step_totals": _with(_STEPS) + "SELECT episode, count(*) AS n_steps, count(*) FILTER (NOT invalid) AS n_planted, count(*) FILTER (invalid) AS n_invalid, coalesce(sum(cost) FILTER (NOT invalid), 0)::DOUBLE AS cost_used FROM e GROUP BY 1",
     "mask_sets": _with(_GRID) + "SELECT 'landscape' AS part, cell_id FROM m WHERE habitat OR restorable UNION ALL SELECT 'frontier', cell_id FROM front UNION ALL SELECT 'interior', cell_id FROM m WHERE restorable AND cell_id NOT IN (SELECT cell_id FROM front) UNION ALL SELECT 'locked', cell_id FROM m WHERE NOT habitat AND NOT restorable",
     "result_attributes": _with(_FACTS) + "SELECT CASE WHEN method = 'bridge' THEN 'MaskablePPO' ELSE method END AS method, sum(cents)::BIGINT AS gain, '48x96' AS resolution, 's2' AS land_scenario, '1:2' AS cost_scenario, 45 AS budget, CASE WHEN method = 'bridge' THEN 's2-tuned' ELSE '' END AS rl_preset, CASE WHEN method = 'bridge' THEN 50000 ELSE 0 END AS timesteps, CASE WHEN method = 'bridge' THEN '0-1-2' ELSE '' END AS seeds FROM f GROUP BY method",
-    "bridge_routes_frames": _with(
-        _GRID,
-        _PATCH,
-        _edges(5),
-        _HOP,
-        _COMPONENT,
-        """,
-link AS (SELECT a.cell_id AS a, b.cell_id AS b, CASE WHEN b.habitat THEN NULL ELSE b.cost END AS cost FROM m a JOIN m b
-         ON abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE b.restorable AND NOT b.habitat),
-go AS (SELECT cell_id AS cell, component_id AS owner, 0.0::DOUBLE AS dist FROM label JOIN comp USING (patch_id)
-       UNION SELECT link.b, go.owner, go.dist + link.cost FROM go JOIN link ON link.a = go.cell WHERE go.dist < 8),
-best AS (SELECT cell, min(dist) AS dist FROM go GROUP BY 1),
-near AS (SELECT DISTINCT g.cell, g.owner, g.dist FROM go g JOIN best USING (cell, dist)),
-pairs AS (SELECT p.dist + q.dist AS cost FROM near p JOIN near q ON p.owner <> q.owner
-          JOIN m a ON a.cell_id = p.cell JOIN m b ON b.cell_id = q.cell AND abs(a.y - b.y) + abs(a.x - b.x) = 1)
-""",
-    )
-    + "SELECT min(cost) AS cost FROM pairs HAVING min(cost) IS NOT NULL",
+    "bridge_routes_frames": _with(_GRID, _PATCH, _edges(2), _HOP, _COMPONENT, _BRIDGE) + "SELECT cost, a, b FROM bridge",
+    "bridge_route": _with(_GRID, _PATCH, _edges(2), _HOP, _COMPONENT, _BRIDGE) + "SELECT cell_id FROM route",
+    "bridge_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _COMPONENT, _BRIDGE, _GAIN)
+    + "SELECT cell_id FROM cgain WHERE cell_id IN (SELECT cell_id FROM route) OR NOT EXISTS (SELECT * FROM route) ORDER BY round(gain / cost, 12) DESC, cell_id LIMIT 1",
+    "random_rollout": _random_episodes("SELECT '1:2' AS config, 13 AS c1, 21 AS c2, 1.0::DOUBLE AS p1, 2.0::DOUBLE AS p2, 20.0::DOUBLE AS budget", 20)
+    + "SELECT seed, spent AS cost, len(planted)::INT AS n_planted, greatest(steps, 1)::INT AS steps, 0::INT AS invalid, n_patches::INT AS n_patches, largest::INT AS largest_patch, round(iic, 10) AS iic_final, array_to_string(planted, ' ') AS plant_order FROM final",
+    "scenario_random": _random_episodes("SELECT s || '|' || b AS config, 13 AS c1, 21 AS c2, 1.0::DOUBLE AS p1, p2::DOUBLE AS p2, b::DOUBLE AS budget FROM (VALUES ('1:1', 1), ('1:2', 2), ('1:3', 3)) AS t(s, p2), (VALUES (10), (20), (30)) AS u(b)", 20)
+    + f"SELECT split_part(config, '|', 1) AS cost_scenario, split_part(config, '|', 2)::INT AS budget, 'Random Valid Action' AS method, round({_IIC}, 10) AS iic_initial, round(avg(iic), 10) AS iic_final, round(avg(iic - {_IIC}), 10) AS iic_gain, round(stddev_samp(iic - {_IIC}), 10) AS std_iic_gain, round(avg(spent), 6) AS cost_used, round(avg(len(planted)), 6)::DOUBLE AS cells_planted, round(avg(n_patches), 6)::DOUBLE AS n_patches, round(avg(largest), 6)::DOUBLE AS largest_patch, 0.0::DOUBLE AS invalid_action_rate FROM final GROUP BY config",
     "candidate_gains": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(gain, 10) AS gain, cost FROM cgain",
     "greedy_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(gain, 10) AS gain FROM cgain ORDER BY cgain.gain DESC, cell_id LIMIT 1",
     "greedy_cost_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(round(gain / cost, 12), 10) AS ratio FROM cgain ORDER BY round(gain / cost, 12) DESC, cell_id LIMIT 1",

@@ -406,6 +406,21 @@ def episode_rollout(spark, sf):
     return planning.episodes(_cells(spark, sf), _configs(spark, ["random", "naive", "cost", "bridge"], range(EVALUATIONS), float(BUDGET), R))
 
 
+@query
+def random_rollout(spark, sf):
+    """The random policy's episodes step by step; plant_order: cell ids in the order of planting."""
+    e = planning.episodes(_cells(spark, sf), _configs(spark, ["random"], range(EVALUATIONS), float(BUDGET), R))
+    return e.select("seed", "cost", "n_planted", "steps", "invalid", "n_patches", "largest_patch", F.round("iic_final", 10).alias("iic_final"), F.array_join(F.col("plant_order").cast("array<string>"), " ").alias("plant_order"))
+
+
+@query
+def scenario_random(spark, sf):
+    """Rows of the results table for the random policy, in every cost scenario and budget."""
+    s = planning.run_scenarios(_cells(spark, sf), ["random"], COST_SCENARIOS, list(BUDGETS), R)
+    fine = [F.round(c, 10).alias(c) for c in ("iic_initial", "iic_final", "iic_gain", "std_iic_gain")] + [F.round(c, 6).alias(c) for c in ("cost_used", "cells_planted", "n_patches", "largest_patch")]
+    return s.select("cost_scenario", "budget", "method", *fine, "invalid_action_rate")
+
+
 @query
 def policy_comparison(spark, sf):
     return planning.summarise(episode_rollout(spark, sf), ["config", "method"])
@@ -424,10 +439,11 @@ def candidate_check(spark, sf):
 
 @query
 def bridge_routes_frames(spark, sf):
+    """The cheapest bridge by frames, on the graph of dispersal 2 (at 5 the derived rasters have no way between components)."""
     masked, lab = _patches(spark, sf)
-    comp = graph.patch_components(graph.patch_areas(lab), graph.patch_edges(lab, R))
+    comp = graph.patch_components(graph.patch_areas(lab), graph.patch_edges(lab, 2.0))
     state = graph.cheapest_routes(masked, lab.join(comp, ["raster_id", "patch_id"]).select("raster_id", "cell_id", "component_id"))
-    return graph.cheapest_bridge(state).select("cost")
+    return graph.cheapest_bridge(state).select("cost", "a", "b")
 
 
 @query
