@@ -208,6 +208,17 @@ def hop_areas(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[np.ndarra
     return out
 
 
+FAR = 16383  # more than any hop
+
+
+def hop_matrix(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hops between all n nodes, FAR where there is no way."""
+    out = np.full((n, n), FAR, np.int16)
+    for src, node, hop in hop_rows(n, a, b, np.arange(n)):
+        out[src, node] = hop
+    return out
+
+
 def hop_sums(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[int]:
     """Sum of size products of all ordered node pairs at each hop, from 0 on."""
     return [int(sizes @ x) for x in hop_areas(a, b, sizes)]

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EVALUATIONS, HABITAT, INVALID_PENALTY, LAND_SCENARIOS, LEARNED, METHODS, REPEAT_LIMIT, RESTORABLE, RESULTS, limit_of_steps
-from .graph import grid_links, half_stencil, hop_areas, hop_sums, merge_labels
+from .graph import FAR, grid_links, half_stencil, hop_areas, hop_matrix, hop_sums, merge_labels
 from .raster import NEIGHBOURS
 
 
+MOST_MATRIX = 8192  # patches up to which hops between all of them are held in a matrix; the results are the same beyond
+
+
 def patches_of(habitat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(patch number of each habitat cell in scan order, cell ids)."""
     y, x = np.nonzero(habitat)
@@ -155,27 +158,40 @@ class Grid:
         return round(iic_of(trial, self.area, self.r) - self.iic, 12), cost
 
     def _iic_with(self, cell: int) -> float:
-        """IIC with one more cell. What it joins and reaches decides, so cells alike in that are computed once.
-
-        A cell that widens one patch and reaches none that isn't linked already leaves the graph as it is: the sums per
-        hop grow by twice the areas at that hop from the patch, and by the cell's own square.
-        """
+        """IIC with one more cell. What it joins and reaches decides, so cells alike in that are computed once."""
+        sizes, edges, _ = self._known
+        if len(sizes) > MOST_MATRIX:
+            return self._with_cell(cell)
         if self._around is None:
-            sizes, edges, _ = self._known
-            n = len(sizes)
-            linked = np.eye(n, dtype=bool)
-            linked[edges[:, 0], edges[:, 1]] = linked[edges[:, 1], edges[:, 0]] = True
-            self._around = linked, np.array(hop_areas(edges[:, 0], edges[:, 1], sizes)), {}
-        linked, areas, seen = self._around
+            self._around = hop_matrix(len(sizes), edges[:, 0], edges[:, 1]), np.array(hop_areas(edges[:, 0], edges[:, 1], sizes)), {}
         beside, near = self._touched(cell)
-        if len(beside) == 1 and linked[beside[0], near].all():
-            sums = areas @ self._known[0] + 2 * areas[:, beside[0]]
-            sums[0] += 1
-            return fold(sums.tolist(), self.area)
         key = beside.tobytes() + b"|" + near.tobytes()
-        if key not in seen:
-            seen[key] = self._with_cell(cell)
-        return seen[key]
+        if key not in self._around[2]:
+            self._around[2][key] = fold(self._sums_with(beside, near).tolist(), self.area)
+        return self._around[2][key]
+
+    def _sums_with(self, beside: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Area products per hop once a cell has made one patch of those beside it, linked to those near it.
+
+        New ways lead through that patch, so two others are as far apart as before or as their ways to it together.
+        """
+        dist, areas, _ = self._around
+        sizes = self._known[0].astype(np.float64)  # sums stay below 2^53, so they are exact
+        to = np.minimum(dist[near].min(axis=0) + 1, dist[beside].min(axis=0))
+        other = np.setdiff1d(np.flatnonzero(to < FAR), beside, assume_unique=True)
+        sums = np.zeros(max(len(areas), 2 * int(to[other].max(initial=0)) + 1))
+        sums[: len(areas)] = areas @ sizes - 2 * areas[:, beside] @ sizes[beside]
+        inside = dist[np.ix_(beside, beside)]
+        sums += np.bincount(inside[inside < FAR], np.outer(sizes[beside], sizes[beside])[inside < FAR], len(sums))
+        was, now = dist[np.ix_(other, other)], to[other][:, None] + to[other]
+        i, j = np.nonzero(now < was)
+        product, was, now = sizes[other[i]] * sizes[other[j]], was[i, j], now[i, j]
+        sums += np.bincount(now, product, len(sums))
+        sums -= np.bincount(was[was < FAR], product[was < FAR], len(sums))[: len(sums)]
+        whole = 1 + sizes[beside].sum()
+        sums += 2 * whole * np.bincount(to[other], sizes[other], len(sums))
+        sums[0] += whole * whole
+        return sums
 
     def _touched(self, cell: int) -> tuple[np.ndarray, np.ndarray]:
         """(patches beside a cell, patches within reach of it)."""
