@@ -45,12 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_table(df: DataFrame, name: str, bucket: tuple[int, str] | None = None, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as a table. With ``bucket`` joins on that column need no exchange of it."""
+    """Write ``df`` once to the shared folder and return it as a table.
+
+    With ``bucket`` (n, column) it is dealt out once, to a file for each of n buckets, and joins on that column need no
+    further exchange of it.
+    """
     spark, tag = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{tag}"
     _made.append((tag if bucket else "", path))
     if bucket:
-        df.write.format("parquet").bucketBy(*bucket).option("path", path).saveAsTable(tag)
+        df.repartition(*bucket).write.format("parquet").bucketBy(*bucket).option("path", path).saveAsTable(tag)
         return spark.table(tag)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
