@@ -11,7 +11,7 @@ differences by ``k`` standard deviations and a floor. A cut needs two earlier di
 1 and 2 never begin a shot, and a payload of up to 3 frames (1,728 bytes) is always one shot.
 
 Defined cases: null or empty text: one frame of padding; very long texts: batches are cut by payload bytes; repeated
-rows: each gets its row; null doc_id: kept; empty table: no rows; other columns are ignored.
+rows and equal texts: each gets its row, with equal values; ties (a difference just at the bound): no cut; null doc_id: kept; empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,21 +217,26 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     return out
 
 
-def shot_cuts(frames: np.ndarray, clip_of: np.ndarray, window: int = 8, k: float = 3.0, floor: float = 0.1) -> np.ndarray:
-    """Mask of the frames that begin a shot; clip_of: the file of each frame (files are adjacent)."""
+def shot_cuts(frames: np.ndarray, clip_of: np.ndarray, window: int = 8, k: int = 3, floor: float = 0.1) -> np.ndarray:
+    """Mask of the frames that begin a shot; clip_of: the file of each frame (files are adjacent).
+
+    Everything is counted in whole numbers, so a file's shots don't depend on what lies beside it in a batch: with n
+    differences before d, of sum s and square sum q, d is more than k deviations above their mean if
+    n d - s > 0 and (n d - s)^2 > k^2 (n q - s^2).
+    """
     n = len(frames)
     hist = np.bincount((np.arange(n)[:, None] * 16 + (frames >> 4)).ravel(), minlength=16 * n).reshape(n, 16)
-    diff = np.zeros(n)
-    diff[1:] = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * FRAME)
+    diff = np.zeros(n, np.int64)
+    diff[1:] = np.abs(np.diff(hist, axis=0)).sum(axis=1)
     new = np.concatenate(([True], clip_of[1:] != clip_of[:-1]))
     diff[new] = 0
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    lo = np.maximum(first + 1, np.arange(n) - window)
-    one, two = np.concatenate(([0], np.cumsum(diff))), np.concatenate(([0], np.cumsum(diff * diff)))
-    count = np.maximum(np.arange(n) - lo, 0)
-    mean = (one[:n] - one[lo.clip(max=n)]) / np.maximum(count, 1)
-    spread = np.sqrt(np.maximum((two[:n] - two[lo.clip(max=n)]) / np.maximum(count, 1) - mean * mean, 0))
-    return new | ((count > 1) & (diff > mean + k * spread) & (diff > floor))
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    lo = np.minimum(np.maximum(first + 1, at - window), at)
+    one, two = (np.concatenate(([0], np.cumsum(x))) for x in (diff, diff * diff))
+    count, total, square = at - lo, one[at] - one[lo], two[at] - two[lo]
+    above = count * diff - total
+    return new | ((count > 1) & (above > 0) & (above * above > k * k * (count * square - total * total)) & (diff > floor * 2 * FRAME))
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<first_frame:int,n_frames:int,start_s:double,end_s:double>>"

@@ -23,7 +23,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_avi.media_rows(_documents(spark, sf_dir)).drop("clips")
+    return media_avi.media_rows(_documents(spark, sf_dir))
 
 
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -162,6 +163,36 @@ def test_shots():
     assert np.flatnonzero(media_avi.shot_cuts(frames, np.zeros(24, int))).tolist() == [0, 12]
 
 
+def brute_cuts(payload):
+    """Frames that begin a shot, by fractions."""
+    hist = [np.bincount(np.frombuffer(payload[a : a + 576], np.uint8) >> 4, minlength=16) for a in range(0, len(payload), 576)]
+    diff = [0] + [int(np.abs(a - b).sum()) for a, b in zip(hist[1:], hist[:-1], strict=True)]
+    out = []
+    for i in range(1, len(diff)):
+        last = [Fraction(d) for d in diff[max(1, i - 8) : i]]
+        if len(last) > 1:
+            mean = sum(last) / len(last)
+            spread = sum(x * x for x in last) / len(last) - mean * mean
+            if diff[i] > mean and (diff[i] - mean) ** 2 > 9 * spread and 10 * diff[i] > 2 * 576:
+                out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("batch_bytes", [600, 20_000, 1 << 21])
+def test_equal_texts_have_equal_shots(spark, batch_bytes):
+    """Repeated frames give constant differences, where the last bits of running sums used to decide."""
+    rng = np.random.default_rng(17)
+    frames = ["".join(rng.choice(list("abcXYZ019 ~"), 576)) for _ in range(24)]
+    same = [(frames[i] + frames[i + 1]) * 20 + frames[(i + 5) % 24] * 3 for i in range(0, 12, 3)]
+    texts = same * 6 + ["".join(rng.choice(list("pqrst~!"), rng.integers(0, 5000))) for _ in range(40)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    got = rows(media_avi.media_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), batch_bytes=batch_bytes))
+    for r in got:
+        cuts = brute_cuts(padded(texts[r["doc_id"]]))
+        assert r["feature"].endswith(f"shots={len(cuts) + 1};cuts=" + ",".join(map(str, cuts)))
+        assert [c["first_frame"] for c in r["clips"]] == [0, *cuts]
+
+
 # --- op4
 
 
