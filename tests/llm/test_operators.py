@@ -376,6 +376,77 @@ def test_shards(spark, docs, texts, empty):
     assert rows(sharding.byte_shards(empty)) == []
 
 
+def brute_shards(texts, shards=8, fine=128):
+    """(doc_id, size) of each shard: groups one after another, then document by document with a list for each shard."""
+    def half(t):
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    docs = sorted((half(t), zlib.crc32((t or "").encode()), len((t or "").encode()) + 1, i is not None, i or 0) for i, t in texts)
+    total, groups = sum(d[2] for d in docs), {}
+    for d in docs:
+        groups.setdefault(d[:3], []).append(d)
+    out, items = [[] for _ in range(shards)], []
+    for key in sorted(groups):
+        g = groups[key]
+        if len(g) * key[2] * shards * fine > total:
+            while g:
+                most = max(1, total // shards // key[2])
+                items.append(g[:most])
+                g = g[most:]
+    weight = lambda ds: sum(d[2] for d in ds)
+    for item in sorted(items, key=lambda x: -weight(x)):  # stable, so by key and place on ties
+        min(out, key=weight).extend(item)
+    rest = [d for d in docs if len(groups[d[:3]]) * d[2] * shards * fine <= total]
+    level = [weight(s) for s in out]
+    while True:  # pour the rest into the emptiest shards
+        least = min(level)
+        low = [k for k in range(shards) if level[k] == least]
+        step = min([x for x in level if x > least], default=float("inf")) - least
+        if step * len(low) + sum(level) >= total:
+            share = (total - sum(level)) / len(low)
+            level = [x + share if k in low else x for k, x in enumerate(level)]
+            break
+        level = [x + step if k in low else x for k, x in enumerate(level)]
+    ends, at = np.cumsum([x - weight(s) for x, s in zip(level, out, strict=True)]), 0
+    spans = []
+    for d in rest:
+        spans.append((at, at + d[2], d))
+        at += d[2]
+    edge = {}
+    for a, b, d in spans:
+        lo, hi = edge.get(d[:3], (a, b))
+        edge[d[:3]] = min(lo, a), max(hi, b)
+    cuts = []
+    for t in ends[:-1].astype(int).tolist():
+        a, b = next((e for e in edge.values() if e[0] <= t < e[1]), (t, t))
+        cuts.append(a if t - a <= b - t else b)
+    for a, _, d in spans:
+        out[sum(a >= c for c in cuts)].append(d)
+    return [Counter((d[4] if d[3] else None, d[2]) for d in s) for s in out]
+
+
+def test_shards_against_brute_force(spark, docs, texts):
+    rng = np.random.default_rng(6)
+    vary = [(int(i), "x" * int(rng.integers(0, 60)) + str(rng.integers(0, 400))) for i in rng.permutation(3000)]
+    hot = [(i if i % 5 else None, "one text of a third") if i % 3 == 0 else (i, f"t{i * i % 1000}" * (1 + i % 40)) for i in range(3000)]
+    for table in (texts, vary, hot, [(i, f"same {i % 4}" * 20) for i in range(40)], [(1, "y" * 5000), *[(i, "z") for i in range(2, 30)]]):
+        got = rows(sharding.byte_shards(spark.createDataFrame(table, "doc_id long, text string")))
+        want = brute_shards(table)
+        assert [Counter((r["doc_id"], r["size"]) for r in got if r["shard"] == k) for k in range(8)] == want
+        sizes = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+        if len(table) > 1000:
+            assert max(sizes) < 1.01 * min(sizes)
+        for k in range(8):
+            assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(want[k].values())))
+        if table is not hot:
+            same = {}
+            for r, t in by_text(got, table, ("text_crc32", lambda t: zlib.crc32((t or "").encode()))):
+                same.setdefault(t[1] or "", set()).add(r["shard"])
+            held = Counter(t or "" for _, t in table)
+            assert all(len(s) == 1 for t, s in same.items() if held[t] * (len(t.encode()) + 1) <= sum(sizes) // 8)
+
+
 # --- op9
 
 
