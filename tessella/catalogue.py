@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import roundtrips  # noqa: F401: registers its queries
 from .plans.oracles import ORACLE_SQL
 from .plans.queries import QUERIES
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .planning import Grid, on_every_raster, packed_grids, patch_graph
@@ -105,3 +105,26 @@ def train_policies(cells: DataFrame, configs: DataFrame, preset_name: str = "def
 def models(log: DataFrame) -> DataFrame:
     """The store: (raster_id, config, seed, weights, iic) of each run's last step."""
     return log.groupBy("raster_id", "config", "seed").agg(F.max_by("weights", "step").alias("weights"), F.max("best_iic").alias("best_iic"), F.max("step").alias("steps"))
+
+
+def save_models(store: DataFrame, path: str) -> None:
+    """Write the store of :func:`models`, one file for each configuration and seed's partition."""
+    store.write.mode("overwrite").partitionBy("config", "seed").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("raster_id", F.col("config").cast("string").alias("config"), F.col("seed").cast("int").alias("seed"), "weights", "best_iic", "steps")
+
+
+def evaluate_models(cells: DataFrame, store: DataFrame, budget: float, dispersal: float, costs: dict[int, float], restorable, masked: bool = True, evaluations: int = 20, first_seed: int = 1000) -> DataFrame:
+    """(raster_id, config, seed, evaluation seed, iic): greedy episodes of stored models. They don't depend on the seed, so one is run for all."""
+    runs = packed_grids(cells).join(store.select("raster_id", "config", "seed", "weights"), "raster_id")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                g = Grid(np.frombuffer(r.grid, np.int16).reshape(r.height, r.width), costs, budget, dispersal, tuple(restorable))
+                yield pd.DataFrame({"raster_id": [r.raster_id], "config": [r.config], "seed": [r.seed], "iic": [evaluate(g, np.asarray(r.weights), masked)]})
+
+    got = runs.mapInPandas(run, "raster_id string, config string, seed int, iic double")
+    return got.withColumn("evaluation", F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + evaluations - 1))))

@@ -418,6 +418,23 @@ def candidate_gains(cells: DataFrame, costs: dict[int, float], budget: float, r:
     return todo.repartition(per_task, "raster_id", "salt").mapInPandas(run, "raster_id string, cell_id long, gain double, cost double, ratio double")
 
 
+def blocks(cells: DataFrame, costs: dict[int, float], budget: float, block: int, restorable=RESTORABLE, per_task: int = 16) -> DataFrame:
+    """(raster_id, cell_id, nth, planted): the cells that each valid cell's block would plant, in order."""
+    from .raster import action_mask, with_masks
+
+    todo = action_mask(with_masks(cells, restorable, costs), budget).withColumn("salt", F.expr(f"cell_id % {per_task}"))
+    todo = todo.groupBy("raster_id", "salt").agg(F.collect_list("cell_id").alias("ids")).join(packed_grids(cells), "raster_id")
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                g = Grid(np.frombuffer(row.grid, np.int16).reshape(row.height, row.width), costs, budget, 1.0, restorable, block)
+                got = [(row.raster_id, c, k, p) for c in row.ids for k, p in enumerate(g.grow(int(c)))]
+                yield pd.DataFrame(got, columns=["raster_id", "cell_id", "nth", "planted"])
+
+    return todo.repartition(per_task, "raster_id", "salt").mapInPandas(run, "raster_id string, cell_id long, nth int, planted long")
+
+
 def first_action(gains: DataFrame, score: str) -> DataFrame:
     """Best cell by ``score``, the least id on ties."""
     best = F.max_by(F.struct("cell_id", score), F.struct(F.col(score), -F.col("cell_id")))

@@ -332,3 +332,41 @@ r AS (SELECT *, sum(CASE WHEN invalid AND coalesce(i, false) AND action = a THEN
     "greedy_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(gain, 10) AS gain FROM cgain ORDER BY cgain.gain DESC, cell_id LIMIT 1",
     "greedy_cost_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(round(gain / cost, 12), 10) AS ratio FROM cgain ORDER BY round(gain / cost, 12) DESC, cell_id LIMIT 1",
 }
+
+# Sources, sinks, streams and run settings: the same rows from the tables themselves.
+ORACLE_SQL |= {
+    "npy_roundtrip": _with(_GRID) + "SELECT cell_id, y, x, class_code FROM cells",
+    "npy_rows": _with(_GRID) + "SELECT y, string_agg(class_code::VARCHAR, ' ' ORDER BY x) AS classes FROM cells GROUP BY y",
+    "geotiff_roundtrip": _with(_GRID) + "SELECT cell_id, y, x, class_code FROM cells",
+    "geotiff_metadata": _with(_GRID) + "SELECT 'part' AS raster_id, h::INT AS height, w::INT AS width, -9999.0::DOUBLE AS nodata, 'EPSG:32748' AS crs, 100.0::DOUBLE AS \"left\", -5.0::DOUBLE AS bottom, (100 + w)::DOUBLE AS \"right\", (h - 5)::DOUBLE AS top FROM dim",
+    "results_csv_roundtrip": _with(_FACTS) + "SELECT resolution, method, seed::VARCHAR AS seeds, 's2' AS land_scenario, '' AS rl_preset, 20 AS budget, sum(cents)::DOUBLE AS iic_gain, sum(cost)::DOUBLE AS cost_used FROM f GROUP BY resolution, method, seed",
+    "output_names": "SELECT land_scenario, with_resolution, 'results_' || CASE land_scenario WHEN 'main' THEN '' ELSE land_scenario || '_' END || CASE WHEN with_resolution THEN 'multires' ELSE 'scenario' END || '.csv' AS file_name FROM (VALUES ('main'), ('s2')) AS l(land_scenario) CROSS JOIN (VALUES (false), (true)) AS r(with_resolution)",
+    "console_report": _with(
+        _GRID,
+        """,
+line AS (SELECT 0 AS line, 'class_code' AS a, 'n_cells' AS b, 'percent' AS c UNION ALL
+         SELECT row_number() OVER (ORDER BY class_code), class_code::VARCHAR, n::VARCHAR, round(100.0::DOUBLE * n / sum(n) OVER (), 2)::VARCHAR
+         FROM (SELECT class_code, count(*) AS n FROM cells GROUP BY 1)),
+wide AS (SELECT max(length(a))::INT AS wa, max(length(b))::INT AS wb FROM line)
+""",
+    )
+    + "SELECT line::INT AS line, rpad(a, wa, ' ') || '  ' || rpad(b, wb, ' ') || '  ' || c AS text FROM line, wide",
+    "docx_fonts": r"SELECT font, sum(n)::BIGINT AS weight FROM (SELECT CASE k % 3 WHEN 0 THEN 'Arial' WHEN 1 THEN '(style/default)' ELSE 'Courier' END AS font, length(regexp_replace(p, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS n FROM (SELECT unnest(ps) AS p, unnest(range(len(ps))) AS k FROM (SELECT string_split(coalesce(text, ''), chr(10)) AS ps FROM documents))) GROUP BY font",
+    "block_growth": _with(
+        _GRID,
+        """,
+anchor AS (SELECT cell_id, y, x, cost FROM front WHERE cost <= 3),
+next AS (SELECT a.cell_id, arg_min(b.cell_id, CASE WHEN b.y < a.y THEN 0 WHEN b.y > a.y THEN 1 WHEN b.x < a.x THEN 2 ELSE 3 END) AS planted
+         FROM anchor a JOIN m b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND b.restorable AND b.cost <= 3 - a.cost GROUP BY a.cell_id)
+""",
+    )
+    + "SELECT cell_id, 0 AS nth, cell_id AS planted FROM anchor UNION ALL SELECT cell_id, 1, planted FROM next",
+    "method_choices": """SELECT methods, learned, without_learned, land_scenario, rl_preset,
+  CASE WHEN without_learned AND learned <> '' OR rl_preset = 's2-tuned' AND land_scenario <> 's2' THEN 'error'
+       ELSE CASE WHEN methods <> '' THEN methods WHEN learned <> '' THEN '' ELSE 'random naive cost' END || '|' ||
+            CASE WHEN without_learned THEN '' WHEN learned = 'both' OR learned = '' AND methods = '' THEN 'ppo mask' ELSE learned END END AS runs
+  FROM (VALUES (''), ('random'), ('naive bridge')) AS a(methods) CROSS JOIN (VALUES (''), ('ppo'), ('mask'), ('both')) AS b(learned) CROSS JOIN (VALUES (false), (true)) AS c(without_learned)
+  CROSS JOIN (VALUES ('main', 'default'), ('main', 's2-tuned'), ('s2', 's2-tuned')) AS d(land_scenario, rl_preset)""",
+    "preset_values": "SELECT rl_preset, option, CASE WHEN rl_preset = 'default' THEN base ELSE coalesce(own, base) END AS value FROM (VALUES ('default'), ('s2-tuned')) AS p(rl_preset) CROSS JOIN (VALUES ('rate', '0.3', '0.1'), ('episodes', '60', NULL), ('entropy', '0.01', '0.003'), ('eval_every', '10', NULL), ('select_best', 'False', 'True'), ('reward_per_cost', 'False', 'True')) AS o(option, base, own)",
+    "stream_windows": "SELECT user_id AS episode, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n_steps, count(*) FILTER (event_type = 'error') AS n_invalid, sum(round(value, 4)::DECIMAL(18, 4))::DOUBLE AS reward FROM events GROUP BY user_id, date_trunc('hour', ts)",
+}

@@ -13,6 +13,7 @@ import ast
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -32,13 +33,6 @@ def header(raw: bytes) -> tuple[tuple[int, int], np.dtype, int]:
     return info["shape"], np.dtype(info["descr"]), start + size
 
 
-def _rows(raster_id: str, band: np.ndarray, y0: int, w: int):
-    for dy, row in enumerate(band):
-        y = y0 + dy
-        for x, v in enumerate(row.tolist()):
-            yield raster_id, y * w + x, y, x, int(v)
-
-
 class _Band(InputPartition):
     def __init__(self, y0: int, y1: int):
         self.y0, self.y1 = y0, y1
@@ -62,7 +56,11 @@ class _Reader(DataSourceReader):
             f.seek(start + partition.y0 * w * kind.itemsize)
             n = (partition.y1 - partition.y0) * w
             band = np.frombuffer(f.read(n * kind.itemsize), kind, n).reshape(-1, w) if n else np.zeros((0, max(w, 1)))
-        yield from _rows(self.raster_id, band, partition.y0, w)
+        for y in range(0, len(band), max(1, 65536 // max(w, 1))):  # Arrow batches of some 65,536 cells
+            own = band[y : y + max(1, 65536 // max(w, 1))]
+            cell = (partition.y0 + y) * w + np.arange(own.size)
+            columns = [pa.array([self.raster_id] * own.size, pa.string()), pa.array(cell, pa.int64()), pa.array((cell // max(w, 1)).astype(np.int32)), pa.array((cell % max(w, 1)).astype(np.int32)), pa.array(own.ravel().astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["raster_id", "cell_id", "y", "x", "class_code"])
 
 
 class _Message(WriterCommitMessage):

@@ -62,3 +62,21 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(parse(p, raw), columns=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def document(paragraphs: list[list[tuple[str, str | None]]]) -> bytes:
+    """A .docx file of paragraphs, each a list of runs (text, font or None). Characters that XML can't hold are left out."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    def clean(text: str) -> str:
+        return escape("".join(c for c in text if c in "\t\n\r" or " " <= c <= "\ud7ff" or "\ue000" <= c <= "\ufffd" or c > "\uffff"))
+
+    def run(text: str, font: str | None) -> str:
+        look = f"<w:rPr><w:rFonts w:ascii={quoteattr(font)}/></w:rPr>" if font else ""
+        return f'<w:r>{look}<w:t xml:space="preserve">{clean(text)}</w:t></w:r>'
+
+    body = "".join(f"<w:p>{''.join(run(*r) for r in p)}</w:p>" for p in paragraphs)
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return raw.getvalue()

@@ -40,9 +40,12 @@ def evolve(old: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str] = RESULT_KEY, order: str | None = None) -> DataFrame:
-    """Rows of both, the last one of each key: ``new`` beats ``old``, and inside either the greater ``order``."""
+    """Rows of both, the last one of each key: ``new`` beats ``old``, and inside either the greater ``order``.
+
+    Rows that are still tied are told apart by a hash of their values, so that every run keeps the same one.
+    """
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    rank = [F.col("_batch").desc()] + ([F.col(order).desc()] if order else [])
+    rank = [F.col("_batch").desc(), *([F.col(order).desc()] if order else []), F.xxhash64(*both.columns)]
     last = F.row_number().over(W.partitionBy(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).orderBy(*rank))
     return both.withColumn("_last", last).where("_last = 1").drop("_last", "_batch")
 
