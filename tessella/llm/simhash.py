@@ -160,10 +160,10 @@ COUNT, DATA = 0, 1  # of dealt rows
 BOTH, LEFT, RIGHT, EDGE = 0, 1, 2, 9  # of found rows: entries of a block by side, and links
 
 
-def _forest(nodes: DataFrame, entries_of, words: int, distance: int, group_rows: int) -> DataFrame:
-    """(u, v): links of nodes. entries_of(batch) gives (keys [m, k], node [m], bits [m, words]) of the batch's rows."""
+def _forest(nodes: DataFrame, entries_of, keys: int, words: int, distance: int, group_rows: int) -> DataFrame:
+    """(u, v): links of nodes. entries_of(batch) gives (keys [m, keys], node [m], bits [m, words]) of the batch's rows."""
     n = partitions(nodes.sparkSession)
-    buckets = 4 * n
+    buckets = max(1, -(-nodes.count() * keys // (group_rows // 2)))  # half full, but for hot keys; a task has several
     entry = np.dtype([("key", "<u8"), ("node", "<i8"), ("bits", "<u8", (words,))])
 
     def deal(batches):
@@ -240,7 +240,7 @@ def link_forest(fps: DataFrame, distance: int = 3, blocks: int = 5, group_rows:
         fp = np.asarray(b.column(0)).astype(np.int64)
         return mix((fp.view(np.uint64)[:, None] & masks) ^ salt), fp, fp.view(np.uint64)[:, None]
 
-    return _forest(fps, entries_of, 1, distance, group_rows)
+    return _forest(fps, entries_of, len(masks), 1, distance, group_rows)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +268,7 @@ def near_texts(docs: DataFrame, shingle: int = 5, distance: int = 86, group_rows
         own = (key * (np.uint64(256) ** np.arange(KEY_BITS // 8, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
         return mix(own ^ salt), np.asarray(b.column(0)).astype(np.int64), np.ascontiguousarray(raw[:, WORD_BITS // 8 :]).view(np.uint64)
 
-    edges = _forest(nodes.select("node", "bits"), entries_of, SHINGLE_BITS // 64, distance, group_rows)
+    edges = _forest(nodes.select("node", "bits"), entries_of, blocks, SHINGLE_BITS // 64, distance, group_rows)
     comp = connected_components(edges)
     named = nodes.join(comp, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "bits").select("doc_id", "component_id")
