@@ -81,6 +81,29 @@ def test_embedding_whole_query_against_numpy(spark):
     assert (got["n_links"].to_numpy() == near.sum(axis=1)).all()
 
 
+def test_clustered_vectors_are_compared_in_few_pairs():
+    """Far clusters fall to cells of their own and aren't compared; every close pair still meets, once."""
+    rng = np.random.default_rng(9)
+    centre = embedding_dedup.unit(rng.normal(size=(12, 24)))
+    x = embedding_dedup.unit(np.repeat(centre, 200, axis=0) + 0.03 * rng.normal(size=(2400, 24)))
+    pivots, r = embedding_dedup.choose_pivots(x[rng.permutation(2400)[:600]], 16), np.sqrt(2 - 2 * 0.95)
+    home, mask = embedding_dedup.cells_of(x, pivots, r)
+    sent = embedding_dedup.sent_to(home, mask)
+    met = (np.arange(16) == home[:, None]).astype(int) @ sent.T.astype(int)  # [u, v]: cells where u is at home and v is
+    met = met + met.T - (home[:, None] == home[None, :])
+    near = x @ x.T >= 0.95
+    assert near.sum() > 100_000 and (met[near] == 1).all()
+    pairs = sum((home == p).sum() * sent[:, p].sum() for p in range(16))
+    assert pairs < 0.25 * 2400 * 2400 and sent.sum() < 2 * 2400
+
+
+def test_blocks_by_distance_to_the_pivot():
+    rng = np.random.default_rng(2)
+    a, b = np.sort(rng.random(50) * 2), np.sort(rng.random(70) * 2)
+    kept = {(i, j) for p, q in embedding_dedup.block_pairs(a, b, 0.1, side=4) for i in range(p, min(p + 4, 50)) for j in range(q, min(q + 4, 70))}
+    assert all((i, j) in kept for i in range(50) for j in range(70) if abs(a[i] - b[j]) <= 0.1) and len(kept) < 1500
+
+
 # --- op2
 
 
