@@ -1,23 +1,23 @@
 """Repeated passages by recompression: windows of words that an earlier document holds too.
 
-Each document is a sequence of words. One round of recompression names its maximal runs (word, length) and then its
-pairs: names are split into left and right ones by a bit of their hash, and a left name followed by a right one
-becomes a pair symbol. A name is a function of what it stands for, so it is the same in every task, and whether two
-neighbours merge depends on the two alone; so inside two equal windows all symbols are equal but for those that touch
-the first or the last run. The shortest sequences of such interior symbols that cover ``phrase`` words are the
-high-level symbols, and a window's anchor is the one of least hash.
+Each document is a sequence of words, and maximal runs (word, length) of them are its first symbols. Then come rounds.
+In each, symbols are split into left and right ones by a bit of a hash, and a left symbol followed by a right one becomes
+a pair. A round of exchange through Spark names what is new, runs and pairs, for the whole corpus: a bucket sees every
+run or pair that falls to it, and numbers those that two documents hold; the others get no number, and no pair with such
+a symbol is named any more. Whether two neighbours merge depends on the two alone, so inside two equal windows all symbols are
+equal but for those that touch what touched the border before (``Symbols.inner``).
 
-1. Reveal. Chunks of documents hand out the names of their anchors, once each; a Spark exchange finds those that two
-   documents hold. A window whose anchor isn't shared can't repeat. Windows of so few runs that no symbol lies inside
-   are always candidates.
-2. Verify. Candidates are compared by 128-bit digests (96 bits are sent) of their words themselves; a second exchange
-   gives the smallest doc_id of each. A window goes if that is smaller than its own document's.
+1. Reveal. A window can repeat only if every symbol inside it, at every level, is one that two documents share. Level by
+   level symbols get longer, and fewer windows are left. Windows too short in runs to hold a symbol stay candidates.
+2. Verify. Candidates are compared by 128-bit digests (96 bits are sent) of their words themselves; an exchange gives
+   the smallest doc_id of each. A window goes if that is smaller than its own document's.
 
-Both exchanges carry what a chunk knows, with copies inside it summed up. Names may collide: that only adds candidates.
+All exchanges carry what a chunk knows, with copies inside it summed up. Runs and pairs are told apart by 47 bits of hash;
+two that collide share a name, which only adds candidates.
 
 Defined cases: null, empty or white text: no words, the digest of no bytes; fewer words than a window: nothing removed;
-repeated rows and equal ids: neither is smaller, so neither loses words to the other; null doc_id: behind all ids;
-empty table: no rows; other columns are ignored.
+a text longer than ``chunk_bytes``: a chunk of its own, in one task; repeated rows and ties of ids: neither is smaller, so
+neither loses words to the other; null doc_id: behind all ids; empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,89 +30,93 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import MESSAGE, MESSAGE_ARROW, Words, answered, bits_of, chunk_rows, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_names, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
+from .common import MESSAGE, MESSAGE_ARROW, Words, answered, chunk_rows, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
 
-_RUN, _PAIR, _ONE, _NEXT = (np.uint64(x) for x in np.random.default_rng(23).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
+_RUN, _LEFT, _RIGHT, _LEVEL = (np.uint64(x) for x in np.random.default_rng(23).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
+DIGEST = 0  # kind of the messages about windows; those about names have their level
 
 
 class Symbols:
-    """One round of recompression over the words of a chunk, and the anchors of its windows."""
+    """The symbols of a chunk's words at one level, and the symbols inside each window.
 
-    def __init__(self, words: Words, window: int, phrase: int):
+    ``name`` is 0 where no other document has the symbol; ``inner``: first and last symbol of each window that are the
+    same in every equal window.
+    """
+
+    def __init__(self, words: Words, window: int):
         w, doc = words.hash, words.doc
+        self.level = 0
         self.window = np.flatnonzero(doc[: max(0, len(w) - window + 1)] == doc[window - 1 :]) if len(w) >= window else np.zeros(0, np.int64)
-        self.anchor = np.full(len(self.window), -1)
-        self.high, self.symbol_doc = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        if not len(w):
-            return
-        new_run = np.concatenate(([True], (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])))
-        run = np.cumsum(new_run, dtype=np.int32) - 1
+        new_run = np.concatenate(([True], (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]))) if len(w) else np.zeros(0, bool)
+        run = np.cumsum(new_run) - 1
         head = np.flatnonzero(new_run)
-        name = mix(w[head] + _RUN * np.diff(np.append(head, len(w))).astype(np.uint64))
-        left = (name >> np.uint64(17) & np.uint64(1)).astype(bool)
-        own = doc[head]
-        right = np.concatenate(([False], left[:-1] & ~left[1:] & (own[1:] == own[:-1])))
-        symbol = np.cumsum(~right, dtype=np.int32) - 1
-        first = np.flatnonzero(~right)
-        paired = np.append(right, False)[first + 1]
-        names = mix(np.where(paired, name[first] * _PAIR + name[np.minimum(first + 1, len(name) - 1)], name[first] + _ONE))
-        begin = head[first]
-        count = len(begin)
-        is_begin = np.zeros(len(w) + 1, np.int32)
-        is_begin[begin + 1] = 1
-        before = np.cumsum(is_begin, dtype=np.int32)  # symbols that begin before a word
-        # the last symbol of the shortest phrase from each symbol on; count: the words don't suffice
-        stop = np.where(begin + phrase <= len(w), before[np.minimum(begin + phrase, len(w))] - 1, count)
-        self.symbol_doc = doc[begin]
-        self.high = names.copy()
-        for k in range(1, phrase):
-            at = np.flatnonzero((np.arange(count) + k <= stop) & (stop < count))
-            self.high[at] = mix(self.high[at] * _NEXT + names[at + k])
-        if not len(self.window):
-            return
-        # in each window the symbols that are the same in every equal window: a to b, phrases begin up to last
-        r0, r1 = run[self.window], run[self.window + window - 1]
-        inner = r1 - r0 >= 2
-        a = symbol[np.minimum(r0 + 1, len(symbol) - 1)] + 1
-        b = symbol[np.maximum(r1 - 1, 0)] - 1
-        upto = np.cumsum(np.bincount(stop, minlength=count + 1))  # phrases that end at a symbol or before it
-        last = upto[np.maximum(b, 0)] - 1
-        n = np.where(inner & (b >= a), last - a + 1, 0)
-        # least key of a to last from two overlapping powers of two; a key's low bits are its place
-        low = np.uint64((1 << 32) - 1)
-        key = (self.high & ~low) | np.arange(count, dtype=np.uint64)
-        width = 1
-        while True:
-            i = np.flatnonzero((n >= width) & (n < 2 * width))
-            if len(i):
-                self.anchor[i] = (np.minimum(key[a[i]], key[last[i] - width + 1]) & low).astype(np.int64)
-            if not (n >= 2 * width).any():
-                break
-            key = np.minimum(key, np.append(key[width:], np.full(min(width, len(key)), ~np.uint64(0))))
-            width *= 2
+        self.length = np.diff(np.append(head, len(w)))
+        self.name, self.doc = mix(w[head] + _RUN * self.length.astype(np.uint64)) | np.uint64(1), doc[head]
+        self.inner = run[self.window] + 1, run[self.window + window - 1] - 1
+        self.candidate = np.ones(len(self.window), bool)
+
+    def pair(self) -> None:
+        """Make the next level's symbols; those that are new have a ``key`` and wait for their names."""
+        self.level += 1
+        left = (mix(self.name + _LEVEL * np.uint64(self.level)) >> np.uint64(17) & np.uint64(1)).astype(bool)
+        second = np.concatenate(([False], left[:-1] & ~left[1:] & (self.doc[1:] == self.doc[:-1])))[: len(left)]
+        first = np.flatnonzero(~second)
+        paired = np.append(second, False)[first + 1]
+        own, next_ = self.name[first], self.name[np.minimum(first + 1, len(self.name) - 1)]
+        new = paired | (self.length[first] > 1) if self.level == 1 else paired  # a long run that stays alone is named now
+        self.key = np.where(paired, mix(own * _LEFT + next_ * _RIGHT), mix(own)) >> np.uint64(17)
+        self.lost = new & ((own == 0) | (paired & (next_ == 0)))
+        self.waits = new & ~self.lost
+        symbol = np.cumsum(~second) - 1
+        a, b = self.inner
+        held = a <= b
+        self.inner = np.where(held, symbol[np.minimum(a, len(symbol) - 1)] + 1, 1), np.where(held, symbol[np.maximum(b, 0)] - 1, 0)
+        self.name, self.doc = own, self.doc[first]
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys that wait for names, and whether two documents of the chunk have each."""
+        keys, self.key_of = np.unique(self.key[self.waits], return_inverse=True)
+        low, top = np.full(len(keys), np.iinfo(np.int32).max), np.full(len(keys), -1)
+        np.minimum.at(low, self.key_of, self.doc[self.waits])
+        np.maximum.at(top, self.key_of, self.doc[self.waits])
+        return keys, top > low
+
+    def rename(self, numbers: np.ndarray) -> None:
+        """Take the numbers of :meth:`items`, 0 for what only one document has, and drop windows with such a symbol inside."""
+        level = np.uint64(self.level << 56)
+        self.name[self.waits] = np.where(numbers == 0, np.uint64(0), numbers | level)[self.key_of]
+        self.name[self.lost] = 0
+        a, b = self.inner
+        alone = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.name == 0)))
+        held = a <= b
+        self.candidate &= ~held | (alone[np.where(held, b + 1, 0)] == alone[np.where(held, a, 0)])
 
 
 class _Chunk:
-    def __init__(self, row: dict, window: int, phrase: int):
+    def __init__(self, row: dict, window: int):
         self.ids, self.id_null, self.offs, data = unpack(row)
         self.w, self.window = Words(data, self.offs), window
-        self.s = Symbols(self.w, window, phrase)
-        used = np.unique(self.s.anchor[self.s.anchor >= 0])
-        self.names, self.name_of = np.unique(self.s.high[used] >> np.uint64(17), return_inverse=True)
-        low, top = np.full(len(self.names), len(self.ids)), np.full(len(self.names), -1)
-        np.minimum.at(low, self.name_of, self.s.symbol_doc[used])
-        np.maximum.at(top, self.name_of, self.s.symbol_doc[used])
-        self.used, self.several = used, top > low
-
-    def anchors(self, chunk: int, n: int):
-        yield from name_messages(self.names, self.several, chunk, 0, n)
-
-    def verify(self, got: dict, n: int) -> None:
+        self.s = Symbols(self.w, window)
+
+    def climb(self, got: dict, levels: int, n: int) -> None:
+        """To the given level, by the names in ``got``."""
+        for _ in range(levels):
+            self.s.pair()
+            keys, _ = self.s.items()
+            numbers = np.zeros(len(keys), np.uint64)
+            for k, i in split_by_bucket((keys % np.uint64(n)).astype(np.int64), n):
+                wide = np.zeros((len(i), 8), np.uint8)
+                wide[:, :6] = np.frombuffer(got[self.s.level, k], np.uint8).reshape(-1, 6)
+                numbers[i] = wide.view("<u8")[:, 0]
+            self.s.rename(numbers)
+
+    def names(self, chunk: int, n: int):
+        self.s.pair()
+        yield from name_messages(*self.s.items(), chunk, self.s.level, n)
+
+    def verify(self) -> None:
         """Candidates, their digests, and the smallest id that this chunk knows for each."""
-        shared = bits_of(got, 0, self.names, n)
-        of_symbol = np.ones(len(self.s.high) + 1, bool)  # the last: no anchor, so a candidate
-        of_symbol[self.used] = shared[self.name_of]
-        self.at = self.s.window[of_symbol[self.s.anchor]]
+        self.at = self.s.window[self.s.candidate]
         raw, f = self.w.bytes.tobytes(), xxhash.xxh3_128_digest
         last = self.at + self.window - 1
         d = np.frombuffer(b"".join([f(raw[i:j]) for i, j in zip(self.w.at[self.at].tolist(), (self.w.at[last] + self.w.length[last]).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
@@ -131,18 +135,39 @@ class _Chunk:
     def digests(self, chunk: int, n: int):
         z = zstandard.ZstdCompressor(level=1)
         for k, i in split_by_bucket((self.lo % np.uint64(n)).astype(np.int64), n):
-            yield k, chunk, 1, self.lo[i].tobytes(), self.hi[i].astype(np.uint32).tobytes(), z.compress(self.least[i].tobytes())
+            yield k, chunk, DIGEST, self.lo[i].tobytes(), self.hi[i].astype(np.uint32).tobytes(), z.compress(self.least[i].tobytes())
 
     def gone(self, got: dict, n: int) -> np.ndarray:
         """Mask of the words to remove."""
         smaller = np.zeros(len(self.lo), bool)
         for k, i in split_by_bucket((self.lo % np.uint64(n)).astype(np.int64), n):
-            smaller[i] = np.unpackbits(np.frombuffer(got[1, k], np.uint8), count=len(i)).astype(bool)
+            smaller[i] = np.unpackbits(np.frombuffer(got[DIGEST, k], np.uint8), count=len(i)).astype(bool)
         out = self.at[smaller[self.text_of] | (self.own > self.least[self.text_of])]
         edge = np.bincount(out, minlength=len(self.w.doc) + 1) - np.bincount(out + self.window, minlength=len(self.w.doc) + 1)[: len(self.w.doc) + 1]
         return np.cumsum(edge)[:-1] > 0
 
 
+def _numbers(n: int):
+    """Replies to names: a 48-bit number for each that two documents hold, the same for the whole corpus, and 0 for others."""
+
+    def reducer(rows: list[dict]) -> list[bytes]:
+        sizes = [len(r["p1"]) // 6 for r in rows]
+        said = np.zeros((sum(sizes), 8), np.uint8)
+        said[:, :6] = np.frombuffer(b"".join(r["p1"] for r in rows), np.uint8).reshape(-1, 6)
+        said = said.view("<u8")[:, 0]
+        key, several = said >> np.uint64(1), (said & np.uint64(1)).astype(bool)
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        size = np.diff(np.append(start, len(key)))
+        both = (size > 1) | np.logical_or.reduceat(several[order], start)
+        number = np.where(both, (np.cumsum(both) - 1) * n + rows[0]["bucket"] + 1, 0)  # a task has one bucket
+        out = np.empty(len(key), "<u8")
+        out[order] = np.repeat(number, size)
+        return [x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
+
+    return reducer
+
+
 def _smaller_ids(rows: list[dict]) -> list[bytes]:
     sizes = [len(r["p1"]) // 8 for r in rows]
     lo, hi = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("p1", np.uint64), ("p2", np.uint32)))
@@ -156,53 +181,61 @@ def _smaller_ids(rows: list[dict]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def earlier_passages(docs: DataFrame, window: int = 13, phrase: int = 5, chunk_bytes: int = 1 << 21, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans[, kept_text]) of every row; spans count words.
+def earlier_passages(docs: DataFrame, window: int = 13, levels: int = 3, chunk_bytes: int = 1 << 21, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, n_candidates, n_windows, spans[, kept_text]) of every row; spans count words.
 
-    ``phrase`` is at most window - 8: three words may be lost at either end of a window, and a phrase can overshoot by one.
+    n_windows, n_candidates: the windows of the document, and those that the shared symbols of all levels leave.
     """
-    if not 1 <= phrase <= window - 7:
-        raise ValueError("phrase has to fit inside a window")
     spark = docs.sparkSession
     n = partitions(spark)
     packed = shared_table(pack(plain(docs, id_col, text_col), chunk_bytes), "packed", (n, "chunk"))
     columns = ["chunk", "ids", "id_null", "lens", "blob"]
 
-    def reveal(batches):
-        for row in chunk_rows(batches, columns):
-            yield to_batch(list(_Chunk(row, window, phrase).anchors(row["chunk"], n)), MESSAGE_ARROW)
+    def name_round(level: int):
+        def run(batches):
+            for row in chunk_rows(batches, [*columns, "replies"]):
+                c = _Chunk(row, window)
+                c.climb(reply_map(row), level - 1, n)
+                yield to_batch(list(c.names(row["chunk"], n)), MESSAGE_ARROW)
+
+        return run
 
-    names = shared_table(answered(packed.mapInArrow(tidy(reveal), MESSAGE), {0: shared_names}, n), "names")
+    known = spark.createDataFrame([], "chunk long, kind int, bucket int, reply binary")
+    for level in range(1, levels + 1):
+        said = with_replies(packed, known).select(*columns, "replies").mapInArrow(tidy(name_round(level)), MESSAGE)
+        known = known.unionAll(shared_table(answered(said, {level: _numbers(n)}, n), "names"))
 
     def verify(batches):
         for row in chunk_rows(batches, [*columns, "replies"]):
-            c = _Chunk(row, window, phrase)
-            c.verify(reply_map(row), n)
+            c = _Chunk(row, window)
+            c.climb(reply_map(row), levels, n)
+            c.verify()
             yield to_batch(list(c.digests(row["chunk"], n)), MESSAGE_ARROW)
 
-    ids = answered(with_replies(packed, names).select(*columns, "replies").mapInArrow(tidy(verify), MESSAGE), {1: _smaller_ids}, n)
+    ids = answered(with_replies(packed, known).select(*columns, "replies").mapInArrow(tidy(verify), MESSAGE), {DIGEST: _smaller_ids}, n)
 
     def finish(batches):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
-        take = 5 if with_text else 4
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
+        take = 7 if with_text else 6
         for row in chunk_rows(batches, [*columns, "replies"]):
-            c = _Chunk(row, window, phrase)
-            got = reply_map(row)
-            c.verify(got, n)
+            c, got = _Chunk(row, window), reply_map(row)
+            c.climb(got, levels, n)
+            c.verify()
             gone = c.gone(got, n)
             keep = np.repeat(~gone, c.w.length + 1)
             edge = np.searchsorted(c.w.doc, np.arange(len(c.ids) + 1))
             place = np.append(c.w.at, len(c.w.bytes))[edge]
-            cols: list[list] = [[] for _ in range(5)]
+            counts = [np.bincount(c.w.doc[at], minlength=len(c.ids)).tolist() for at in (c.at, c.s.window)]
+            cols: list[list] = [[] for _ in range(7)]
             for i in range(len(c.ids)):
                 cut = gone[edge[i] : edge[i + 1]]
                 kept = c.w.bytes[place[i] : place[i + 1]][keep[place[i] : place[i + 1]]].tobytes()[:-1]
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], cut.view(np.int8), [0]))))
                 spans = [{"start": x, "length": y - x} for x, y in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
-                for col, v in zip(cols, (len(cut), int(cut.sum()), hashlib.sha256(kept).hexdigest(), spans, kept.decode() if with_text else None), strict=True):
+                for col, v in zip(cols, (len(cut), int(cut.sum()), hashlib.sha256(kept).hexdigest(), counts[0][i], counts[1][i], spans, kept.decode() if with_text else None), strict=True):
                     col.append(v)
-            names_ = ["n_words", "n_removed", "kept_sha256", "spans", "kept_text"]
+            names_ = ["n_words", "n_removed", "kept_sha256", "n_candidates", "n_windows", "spans", "kept_text"]
             yield pa.RecordBatch.from_arrays([ids_out(c.ids, c.id_null), *(pa.array(x, k) for x, k in zip(cols[:take], kinds[:take], strict=True))], names=["doc_id", *names_[:take]])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,length:long>>" + ", kept_text string" * with_text
-    return with_replies(packed, names.unionAll(ids)).select(*columns, "replies").mapInArrow(tidy(finish), schema)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_candidates long, n_windows long, spans array<struct<start:long,length:long>>" + ", kept_text string" * with_text
+    return with_replies(packed, known.unionAll(ids)).select(*columns, "replies").mapInArrow(tidy(finish), schema)

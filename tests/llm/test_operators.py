@@ -242,18 +242,30 @@ def test_earlier_passages(docs, texts, empty, chunk_bytes):
 
 
 def test_symbols_agree_inside_equal_windows():
-    """The anchor of a window depends on its own words only."""
+    """The inner symbols of a window depend on its own words only, at every level, and no window shared by two texts is lost."""
     rng = np.random.default_rng(2)
+    most = 0
     for _ in range(60):
-        core = [b"abc"[k : k + 1] * int(rng.integers(1, 3)) for k in rng.integers(0, 3, 13)]
-        seen = set()
+        core = [b"abcdefg"[k : k + 1] * int(rng.integers(1, 3)) for k in rng.integers(0, 7, 13)]
+        texts, seen = [], []
         for _ in range(5):
-            around = [[b"abcd"[k : k + 1] for k in rng.integers(0, 4, rng.integers(0, 20))] for _ in range(2)]
-            data = b" ".join([*around[0], *core, *around[1]])
-            s = substring_recompression.Symbols(substring_recompression.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])), 13, 5)
-            at = s.anchor[np.flatnonzero(s.window == len(around[0]))[0]]
-            seen.add(int(s.high[at]) if at >= 0 else None)
-        assert len(seen) == 1
+            around = [[b"abcdh"[k : k + 1] for k in rng.integers(0, 5, rng.integers(0, 20))] for _ in range(2)]
+            texts.append((b" ".join([*around[0], *core, *around[1]]), len(around[0])))
+        data = b"".join(t for t, _ in texts)
+        offs = np.cumsum([0, *(len(t) for t, _ in texts)])
+        words = common.Words(np.frombuffer(data, np.uint8), offs)
+        s = substring_recompression.Symbols(words, 13)
+        start = [int(np.flatnonzero(words.doc == k)[0]) + at for k, (_, at) in enumerate(texts)]
+        own = [int(np.flatnonzero(s.window == at)[0]) for at in start]
+        for _ in range(3):
+            s.pair()
+            keys, several = s.items()
+            s.rename(np.where(several, np.arange(1, len(keys) + 1, dtype=np.uint64), np.uint64(0)))
+            seen = [s.name[s.inner[0][w] : s.inner[1][w] + 1].tolist() for w in own]
+            assert all(x == seen[0] for x in seen) and all(seen[0])
+            most = max(most, len(seen[0]))
+        assert s.candidate[own].all()
+    assert most >= 2
 
 
 # --- op5
