@@ -564,45 +564,52 @@ def test_suffix_array_and_prefixes():
 # --- op10
 
 
-def brute_ppm(counts, alphabet, history, byte):
-    """Bits of a byte after the symbols of ``history``, straight from the counts of one language."""
-    rare = np.log2(256 - int((alphabet < 63).sum()))
-    s, bits = int(alphabet[byte]), 0.0
-    for order in (3, 2, 1, 0):
-        ctx = tuple(([0] * 3 + history)[-order:]) if order else ()
+def brute_ppm(counts, history, byte):
+    """Bits of a byte after the bytes of ``history``, straight from the counts of one language."""
+    bits = 0.0
+    for order in (4, 3, 2, 1, 0):
+        ctx = tuple(([None] * 4 + history)[-order:]) if order else ()
         seen = counts.get(ctx, {})
         n, d = sum(seen.values()), len(seen)
-        if s in seen:
-            return bits - np.log2(seen[s] / (n + d)) + (rare if s == 63 else 0)
+        if byte in seen:
+            return bits - np.log2(seen[byte] / (n + d))
         if d:
             bits -= np.log2(d / (n + d))
     return bits + 8
 
 
 def test_code_lengths_are_exact():
-    texts = [b"the cat sat on the mat", b"the hat", b"a", b""]
-    alphabet = np.full(256, 63, np.uint8)
-    alphabet[list(b"theca s")] = np.arange(1, 8)
-    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    codes, n = np.unique(langid_ppm.grams(data, offs, alphabet), return_counts=True)
-    model = langid_ppm.Model(["x"], [(codes.astype(np.int64), n.astype(float))], alphabet)
-    counts: dict = {}
-    for t in texts:
-        history = []
-        for b in t:
-            full = ([0] * 3 + history)[-3:]
-            for order in range(4):
-                ctx = tuple(full[3 - order :])
-                counts.setdefault(ctx, Counter())[int(alphabet[b])] += 1
-            history.append(int(alphabet[b]))
-    probe = [b"the cow", b"mat on", b"zz", b""]
-    got = model.code_lengths(np.frombuffer(b"".join(probe), np.uint8), np.cumsum([0, *map(len, probe)]))[:, 0]
+    """Two languages, one with letters of two and three bytes, against plain tables of counts."""
+    texts = [[b"the cat sat on the mat", b"the hat", b"a", b""], ["кот сел на мат 猫が好き".encode(), "на мат".encode(), b"the"]]
+    joined = lambda ts: (np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)]))
+    model = langid_ppm.Model(["x", "y"], [(c, n.astype(float)) for c, n in (np.unique(langid_ppm.grams(*joined(ts)), return_counts=True) for ts in texts)])
+    counts: list[dict] = [{}, {}]
+    for own, ts in zip(counts, texts, strict=True):
+        for t in ts:
+            for k, b in enumerate(t):
+                full = ([None] * 4 + list(t[:k]))[-4:]
+                for order in range(5):
+                    own.setdefault(tuple(full[4 - order :]), Counter())[b] += 1
+    probe = [b"the cow", b"mat on", b"zz", b"", "кит 猫".encode(), bytes(range(256))]
+    got = model.code_lengths(*joined(probe))
     for g, t in zip(got, probe, strict=True):
-        history, want = [], 0.0
-        for b in t:
-            want += brute_ppm(counts, alphabet, history, b)
-            history.append(int(alphabet[b]))
-        assert g == pytest.approx(want, rel=1e-5)
+        for k, own in enumerate(counts):
+            assert g[k] == pytest.approx(sum(brute_ppm(own, list(t[:i]), b) for i, b in enumerate(t)), rel=1e-5)
+
+
+def test_places_find_what_is_there():
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 2**45, 5000, dtype=np.uint64))
+    places = langid_ppm.Places(codes)
+    assert (places.find(codes) == np.arange(len(codes))).all() and (places.find(np.setdiff1d(rng.integers(0, 2**45, 5000, dtype=np.uint64), codes)) == -1).all()
+    assert (langid_ppm.Places(codes[:0]).find(codes) == -1).all()
+
+
+def test_training_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "ab" * (2000 if i == 3 else 20), "x" if i % 2 else "y") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid_ppm.train(docs, train_bytes=300).langs and langid_ppm.train(docs, train_bytes=10) is None
+    with pytest.raises(ValueError, match="lower train_bytes"):
+        langid_ppm.train(docs, most_table=10)
 
 
 def test_language_held_out(spark):
