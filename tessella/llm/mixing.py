@@ -10,11 +10,12 @@ words sum to its target rounded to a word; the one document on the border is tak
 
 Curriculum: over training time t in [0, 1] a source of weight class k is drawn at the rate 1 + tilt_k (2t - 1) times
 its target. Its integral, t + tilt (t^2 - t), is the share of its words used up to t; inverted at a document's place in
-its source's demand it gives the training position, and the documents are range-sorted by position.
+its source's demand it gives the training position, and the documents are range-sorted by position. Time is each source's
+own: at time t a source has used that share of its words, so what is drawn of all sources up to t follows their rates.
 
 Running sums over a source go in two steps (4,096 hash ranges, then inside a range), so a hot source is no hot task.
 
-Defined cases: null text or only white space: size 0, taken 0, no position; null source: a source of its own, ranked
+Defined cases: very long texts: counted whole; ties of position: by id; null text or only white space: size 0, taken 0, no position; null source: a source of its own, ranked
 last; all sizes 0: targets 0; repeated rows: drawn one by one; null doc_id: first in its source's order; empty table:
 no rows; other columns are ignored.
 """

@@ -7,7 +7,8 @@ size, to be packed best-fit again. After a best-fit task no two of its bins fit
 or less; hence above it no more than one bin per task below can ever find a partner, and a task hands up at most that
 many bins of one fill. Nothing that could be merged stays behind and no task gets an unbounded share.
 
-Defined cases: null or empty text: the end id alone; repeated rows: packed one by one; null doc_id: kept; empty table:
+Defined cases: null or empty text: the end id alone; very long texts: tokenised whole, one at a time; ties of fill or
+size: the lowest number first; repeated rows: packed one by one; null doc_id: kept; empty table:
 no rows; other columns are ignored. Texts that contain a special token's string are encoded by the tokenizers library
 as it does by default; others by the same vocabulary's rank file, whose ids are the same and come several times faster.
 """

@@ -8,9 +8,10 @@ logistic of the intercept plus one table entry per feature and pair: additions o
 The fit reads at most ``train_rows`` labelled documents (lowest hashes of the id), whose features, never texts, come
 to the driver; scoring covers whole texts of all documents in one pass.
 
-Defined cases: null or empty text: the features of no bytes, scored like any other; null label or id: not learned
-from; no labelled rows, or one class only: the score is the smoothed share of that class; repeated rows: each gets its
-row; empty table: no rows; other columns are ignored.
+Defined cases: null or empty text: the features of no bytes, scored like any other; very long texts: read whole, in a
+block of their own; null label or id: not learned from; several labels of one id: the greatest; ties of gain: the first
+cut, feature and pair; no labelled rows, or one class only: the score is the smoothed share of that class; repeated rows: each gets its
+row; empty table: no rows; other columns, also of the labels, are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessella.llm import common, embedding_dedup, langid_ppm, media_avi, mixing, packing, quality_gam, sharding, simhash, substring_recompression, suffix_dedup
+from tessella.llm import common, embedding_dedup, langid_ppm, media_avi, mixing, packing, quality_gam, queries, sharding, simhash, substring_recompression, suffix_dedup
 from tessella.llm.queries import tokenizer_path
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -351,6 +351,89 @@ def test_quality_features_by_hand():
     assert f["echoes"].tolist() == [0, 1 / 5, 0]
 
 
+def brute_gam(x, y, bins, coarse, rounds, pairs, pair_rounds, rate, ridge):
+    """Boosting row by row: every cut is tried on the rows themselves, and a model is its list of trees."""
+    n = len(y)
+    edge = lambda f, k: sorted(set(np.quantile(x[:, f], np.linspace(0, 1, k + 1)[1:-1]).tolist()))
+    place = lambda f, k: [sum(v >= e for e in edge(f, k)) for v in x[:, f]]
+    fine, rough = ([place(f, k) for f in range(x.shape[1])] for k in (bins, coarse))
+    p = (y.sum() + 1) / (n + 2)
+    score = [float(np.log(p / (1 - p)))] * n
+
+    def state():
+        q = [1 / (1 + np.exp(-s)) for s in score]
+        return [t - v for t, v in zip(y, q, strict=True)], [v * (1 - v) for v in q]
+
+    def best(rows, at, lo, hi, g, h):
+        """(gain, cut) of the best cut of bins lo to hi."""
+        total = lambda rs: (sum(g[r] for r in rs), sum(h[r] for r in rs))
+        whole, found = total(rows), (0.0, 0)
+        for cut in range(lo + 1, hi):
+            a, b = total([r for r in rows if at[r] < cut]), total([r for r in rows if at[r] >= cut])
+            gain = a[0] ** 2 / (a[1] + ridge) + b[0] ** 2 / (b[1] + ridge) - whole[0] ** 2 / (whole[1] + ridge)
+            if cut == lo + 1 or gain > found[0] + 1e-13:
+                found = gain, cut
+        return found
+
+    def add(rows, g, h):
+        step = rate * sum(g[r] for r in rows) / (sum(h[r] for r in rows) + ridge)
+        for r in rows:
+            score[r] += step
+
+    for _ in range(rounds):
+        for at in fine:
+            g, h = state()
+            _, cut = best(range(n), at, 0, bins, g, h)
+            halves = [(0, cut), (cut, bins)]
+            tried = []
+            for lo, hi in halves:
+                gain, c = best([r for r in range(n) if lo <= at[r] < hi], at, lo, hi, g, h)
+                tried.append((gain, c, lo, hi))
+            gain, c, lo, hi = max(tried, key=lambda t: (t[0], t[1] - t[2]))
+            leaves = [x for x in halves if x != (lo, hi)] + [(lo, c), (c, hi)] if gain > 0 and c else halves
+            for lo, hi in leaves:
+                add([r for r in range(n) if lo <= at[r] < hi], g, h)
+    g, h = state()
+    gain = []
+    for i in range(x.shape[1]):
+        for j in range(i):
+            cells = {}
+            for r in range(n):
+                cells.setdefault((rough[i][r], rough[j][r]), []).append(r)
+            gain.append((sum(sum(g[r] for r in rs) ** 2 / (sum(h[r] for r in rs) + ridge) for rs in cells.values()), i, j))
+    chosen = [(i, j) for _, i, j in sorted(gain, reverse=True)[:pairs]]
+    for _ in range(pair_rounds):
+        for i, j in chosen:
+            g, h = state()
+            _, cut = best(range(n), rough[i], 0, coarse, g, h)
+            for lo, hi in ((0, cut), (cut, coarse)):
+                rows_ = [r for r in range(n) if lo <= rough[i][r] < hi]
+                _, at = best(rows_, rough[j], 0, coarse, g, h)
+                for c, d in ((0, at), (at, coarse)):
+                    add([r for r in rows_ if c <= rough[j][r] < d], g, h)
+    return [1 / (1 + np.exp(-s)) for s in score], chosen
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_boosting_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x = np.stack([rng.normal(size=120), rng.integers(0, 4, 120), rng.random(120), rng.normal(size=120)], axis=1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 1) | (x[:, 2] > 0.8)).astype(float)
+    options = {"bins": 8, "coarse": 4, "rounds": 4, "pairs": 2, "pair_rounds": 5, "rate": 0.3, "ridge": 1.0}
+    want, pairs = brute_gam(x, y, **options)
+    model = quality_gam.Gam(x, y, **options)
+    assert [(i, j) for i, j, _ in model.pairs] == pairs
+    assert np.allclose(model.score(x), want, atol=1e-9)
+
+
+def test_quality_labels_with_clashing_columns(spark, docs):
+    labels = spark.createDataFrame([(i, q, "x", 1, 0.5) for i, q in ((1, 0), (2, 1), (2, 0), (8, 1), (12, 0), (None, 1))], "doc_id long, quality int, text string, y int, score double")
+    plain = quality_gam.train(docs, labels.select("doc_id", "quality"))
+    model = quality_gam.train(docs, labels)
+    x = np.random.default_rng(0).random((20, len(quality_gam.FEATURES)))
+    assert model.score(x).tolist() == plain.score(x).tolist()
+
+
 # --- op7
 
 
@@ -633,3 +716,82 @@ def test_release(spark, docs):
     assert common.release(spark) > 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
         spark.read.parquet(path)
+
+
+# --- the registered queries
+
+
+CONTRACT = {
+    "op1": "vec_id n_links component_id kept", "op2": "doc_id fingerprint component_id", "op3": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op4": "doc_id n_words n_removed kept_sha256", "op5": "doc_id size source_size target taken", "op6": "doc_id held_out score predicted", "op7": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op8": "doc_id size text_crc32 law shard slot grown_shard", "op9": "doc_id n_bytes n_removed n_spans kept_sha256", "op10": "doc_id held_out lang_pred score",
+}
+
+
+@pytest.fixture(scope="module")
+def table():
+    import pyarrow.parquet as pq
+
+    return {r["doc_id"]: r["text"] or "" for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_registered_query(spark, table, name):
+    """Each query over its whole table: its columns, a row (or the pieces) of every document, and what a row has to be."""
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    op = name.split("_")[0]
+    assert set(CONTRACT[op].split()) <= set(df.columns)
+    got = rows(df)
+    if op == "op1":
+        assert len(got) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count() and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+        return
+    assert {r["doc_id"] for r in got} == set(table) and (op == "op7" or len(got) == len(table))
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    for r in got:
+        text = table[r["doc_id"]]
+        if op == "op2":
+            assert r["fingerprint"] == f"{brute_fingerprint(text):016x}"
+        elif op == "op3":
+            payload = padded(text)
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+            assert sum(c["n_frames"] for c in r["clips"]) == len(payload) // 576
+        elif op == "op4":
+            words = text.encode().split()
+            assert r["n_words"] == len(words) and (r["n_removed"] or r["kept_sha256"] == hashlib.sha256(b" ".join(words)).hexdigest()) and r["n_candidates"] <= r["n_windows"] == max(0, len(words) - 12)
+        elif op == "op5":
+            assert r["size"] == len(text.encode().split()) and r["taken"] <= 3 * r["size"]
+        elif op == "op6":
+            assert r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+        elif op == "op8":
+            assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text.encode()) + 1, zlib.crc32(text.encode()), "bytes", None) and 0 <= r["shard"] < 8
+        elif op == "op9":
+            assert r["n_bytes"] == len(text.encode()) and r["n_removed"] == r["by_copy"] + r["by_shard"] + r["by_merge"]
+        elif op == "op10":
+            assert r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1
+    if op == "op7":
+        assert max(sum(r["length"] for r in got if r["sequence_id"] == s) for s in {r["sequence_id"] for r in got}) <= 2048
+
+
+def test_mixing_query_against_its_sql(spark):
+    from compare import differences
+
+    assert differences(queries.op5_mixing(spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL["op5_mixing"], "/root/testdata/sf0.001") == ""
+
+
+def test_near_texts_hold_pairs_of_high_similarity(spark, table):
+    """Recall against the Jaccard similarity of distinct 5-word shingles, on texts with some words changed."""
+    rng = np.random.default_rng(13)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in ("n", "r", "st", "nd", "lim", "ture")]
+    base = [rng.choice(vocabulary, rng.integers(60, 400)).tolist() for _ in range(150)]
+    texts = []
+    for words in base:
+        for changed in (0, 1, max(1, len(words) // 60)):
+            own = list(words)
+            for k in rng.choice(len(words), changed, replace=False):
+                own[k] = str(rng.choice(vocabulary)) + "x"
+            texts.append(" ".join(own))
+    label = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    close = [(i, j) for i in range(len(texts)) for j in range(i // 3 * 3, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(close) > 300 and sum(label[i] == label[j] for i, j in close) >= 0.9 * len(close)
+    assert all(label[i] // 3 == i // 3 for i in label)  # unrelated texts stay apart
