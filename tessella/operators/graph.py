@@ -224,47 +224,68 @@ def hop_sums(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[int]:
     return [int(sizes @ x) for x in hop_areas(a, b, sizes)]
 
 
+def _searches(areas: DataFrame, edges: DataFrame, block: int) -> DataFrame:
+    """(raster_id, nodes, sizes, lo, hi, part, parts): a raster's patch graph for each share of its patches as sources."""
+    tasks = max(1, int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = F.sort_array(F.collect_list(F.struct("patch_id", F.col("area").cast("long").alias("area"))))
+    nodes = areas.groupBy("raster_id").agg(nodes.alias("n")).select("raster_id", F.col("n.patch_id").alias("nodes"), F.col("n.area").alias("sizes"))
+    links = edges.groupBy("raster_id").agg(F.collect_list(F.struct("lo", "hi")).alias("e")).select("raster_id", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
+    parts = F.least(F.lit(4 * tasks), F.ceil(F.size("nodes") / block)).cast("int")
+    none = F.array().cast("array<bigint>")
+    out = nodes.join(links, "raster_id", "left").select("raster_id", "nodes", "sizes", F.coalesce("lo", none).alias("lo"), F.coalesce("hi", none).alias("hi"), parts.alias("parts"))
+    return out.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(tasks, "raster_id", "part")
+
+
+def _searched(areas: DataFrame, edges: DataFrame, block: int, rows, schema: str) -> DataFrame:
+    """rows(raster, nodes, sizes, source numbers, node numbers, hop) of every level of every search."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                nodes, sizes = np.asarray(r.nodes, np.int64), np.asarray(r.sizes, np.int64)
+                a, b = (np.searchsorted(nodes, np.asarray(x, np.int64)) for x in (r.lo, r.hi))
+                own = np.arange(r.part, len(nodes), r.parts)
+                for k in range(0, len(own), block):
+                    src = own[k : k + block]
+                    for s, d, hop in hop_rows(len(nodes), a, b, src):
+                        yield rows(r.raster_id, nodes, sizes, src[s], d, hop)
+
+    return _searches(areas, edges, block).mapInPandas(run, schema)
+
+
 def hop_distances(areas: DataFrame, edges: DataFrame, most_edges: int = 200_000, block: int = 256) -> DataFrame:
     """(raster_id, src, dst, hop) of reachable pairs.
 
-    Where the patch graph has at most ``most_edges`` edges it is shipped to the tasks, which search from blocks of
-    sources; a larger one is searched by :func:`hop_distances_frames`.
+    Where all patch graphs have at most ``most_edges`` edges together, tasks hold the graph of a raster and search from
+    shares of its patches; larger ones are searched by :func:`hop_distances_frames`, with the same result.
     """
     edges, areas = settled(edges), settled(areas)
     if edges.count() > most_edges or areas.count() > most_edges:
         return hop_distances_frames(areas, edges)
-    graph: dict[str, list] = {}
-    for r in edges.collect():  # bounded by most_edges
-        graph.setdefault(r.raster_id, []).append((r.lo, r.hi))
-    graph = {k: np.array(v, np.int64) for k, v in graph.items()}
-    shared = areas.sparkSession.sparkContext.broadcast(graph)
+    rows = lambda raster, nodes, sizes, s, d, hop: pd.DataFrame({"raster_id": raster, "src": nodes[s], "dst": nodes[d], "hop": np.int32(hop)})
+    return _searched(areas, edges, block, rows, "raster_id string, src long, dst long, hop int")
 
-    def run(batches):
-        for pdf in batches:
-            for raster, own in pdf.groupby("raster_id"):
-                e = shared.value.get(raster, np.zeros((0, 2), np.int64))
-                nodes = np.unique(np.concatenate((e.ravel(), own["patch_id"].to_numpy())))
-                a, b = np.searchsorted(nodes, e[:, 0]), np.searchsorted(nodes, e[:, 1])
-                src = np.searchsorted(nodes, own["patch_id"].to_numpy())
-                for k in range(0, len(src), block):
-                    for s, d, hop in hop_rows(len(nodes), a, b, src[k : k + block]):
-                        yield pd.DataFrame({"raster_id": raster, "src": nodes[src[k : k + block][s]], "dst": nodes[d], "hop": np.int32(hop)})
 
-    tasks = max(1, int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return areas.repartition(tasks, "raster_id", "patch_id").select("raster_id", "patch_id").mapInPandas(run, "raster_id string, src long, dst long, hop int")
+def hop_products(areas: DataFrame, edges: DataFrame, most_edges: int = 200_000, block: int = 256) -> DataFrame:
+    """(raster_id, hop, s): area products of all ordered pairs of patches, summed per hop where the pairs are found."""
+    edges, areas = settled(edges), settled(areas)
+    if edges.count() > most_edges or areas.count() > most_edges:
+        size = lambda c: areas.select("raster_id", F.col("patch_id").alias(c), F.col("area").alias(f"{c}_area"))
+        parts = hop_distances_frames(areas, edges).join(size("src"), ["raster_id", "src"]).join(size("dst"), ["raster_id", "dst"]).select("raster_id", "hop", (F.col("src_area") * F.col("dst_area")).alias("s"))
+    else:
+        rows = lambda raster, nodes, sizes, s, d, hop: pd.DataFrame({"raster_id": [raster], "hop": [np.int32(hop)], "s": [int((sizes[s] * sizes[d]).sum())]})
+        parts = _searched(areas, edges, block, rows, "raster_id string, hop int, s long")
+    return parts.groupBy("raster_id", "hop").agg(F.sum("s").alias("s"))
 
 
-def iic(hops: DataFrame, areas: DataFrame, landscape: DataFrame) -> DataFrame:
-    """landscape(raster_id, landscape_area) to (raster_id, iic).
+def iic(products: DataFrame, landscape: DataFrame) -> DataFrame:
+    """products of :func:`hop_products` and landscape(raster_id, landscape_area) to (raster_id, iic).
 
-    Area products are summed per hop as integers and the few sums folded in order of the hop, so the result is the same
-    under any partitioning. Rasters without habitat have 0.
+    The sums are of integers and the few of a raster are folded in order of the hop, so the result is the same under any
+    partitioning. Rasters without habitat have 0.
     """
-    a = areas.select("raster_id", F.col("patch_id").alias("src"), F.col("area").alias("src_area"))
-    b = areas.select("raster_id", F.col("patch_id").alias("dst"), F.col("area").alias("dst_area"))
-    per = hops.join(a, ["raster_id", "src"]).join(b, ["raster_id", "dst"]).groupBy("raster_id", "hop").agg(F.sum(F.col("src_area") * F.col("dst_area")).alias("s"))
     fold = F.aggregate(F.sort_array(F.collect_list(F.struct("hop", "s"))), F.lit(0.0), lambda t, x: t + x["s"] / (1 + x["hop"]))
-    total = per.groupBy("raster_id").agg(fold.alias("total"))
+    total = products.groupBy("raster_id").agg(fold.alias("total"))
     out = landscape.join(total, "raster_id", "left")
     area = F.col("landscape_area").cast("double")
     return out.select("raster_id", F.coalesce(F.try_divide(F.col("total"), area * area), F.lit(0.0)).alias("iic"))

@@ -14,14 +14,13 @@ from . import graph, raster
 
 
 def connectivity(cells: DataFrame, r: float) -> dict[str, DataFrame]:
-    """Patches, areas, edges, components, hops and IIC of habitat at dispersal distance r."""
+    """Patches, areas, edges and IIC of habitat at dispersal distance r."""
     masked = raster.with_masks(cells)
     labelled = graph.label_patches(masked.where("habitat"))
     areas = settled(graph.patch_areas(labelled))
     edges = settled(graph.patch_edges(labelled, r))
-    hops = graph.hop_distances(areas, edges)
     landscape = masked.groupBy("raster_id").agg(F.count_if(F.col("habitat") | F.col("restorable")).alias("landscape_area"))
-    return {"masked": masked, "labelled": labelled, "areas": areas, "edges": edges, "hops": hops, "iic": graph.iic(hops, areas, landscape)}
+    return {"masked": masked, "labelled": labelled, "areas": areas, "edges": edges, "iic": graph.iic(graph.hop_products(areas, edges), landscape)}
 
 
 def raster_audit(cells: DataFrame, r: float, budget: int) -> DataFrame:

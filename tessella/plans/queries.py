@@ -191,7 +191,8 @@ def component_count(spark, sf):
 
 @query
 def hop_distances(spark, sf):
-    return reports.connectivity(_cells(spark, sf), R)["hops"].drop("raster_id")
+    _, lab = _patches(spark, sf)
+    return graph.hop_distances(graph.patch_areas(lab), graph.patch_edges(lab, R)).drop("raster_id")
 
 
 @query
@@ -206,7 +207,7 @@ def iic_by_dispersal(spark, sf):
     land = masked.groupBy("raster_id").agg(F.count_if(F.col("habitat") | F.col("restorable")).alias("landscape_area"))
     out = None
     for r in (2.0, 3.0, 5.0):
-        one = graph.iic(graph.hop_distances(areas, graph.patch_edges(lab, r)), areas, land).select(F.lit(r).alias("dispersal"), F.round("iic", 10).alias("iic"))
+        one = graph.iic(graph.hop_products(areas, graph.patch_edges(lab, r)), land).select(F.lit(r).alias("dispersal"), F.round("iic", 10).alias("iic"))
         out = one if out is None else out.unionByName(one)
     return out
 

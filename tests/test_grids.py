@@ -119,7 +119,8 @@ def test_frames_agree_with_brute_force(spark):
     kernel = sorted(map(tuple, graph.hop_distances(areas, edges).select("raster_id", "src", "dst", "hop").collect()))
     assert kernel == sorted(map(tuple, graph.hop_distances_frames(areas, edges).select("raster_id", "src", "dst", "hop").collect()))
     land = masked.groupBy("raster_id").agg(F.count_if(F.col("habitat") | F.col("restorable")).alias("landscape_area"))
-    score = {r.raster_id: r.iic for r in graph.iic(graph.hop_distances(areas, edges), areas, land).collect()}
+    assert sorted(map(tuple, graph.hop_products(areas, edges).collect())) == sorted(map(tuple, graph.hop_products(areas, edges, most_edges=0).collect()))
+    score = {r.raster_id: r.iic for r in graph.iic(graph.hop_products(areas, edges), land).collect()}
     names = {(r.raster_id, r.y, r.x): r.patch_id for r in labelled.collect()}
     comps = {(r.raster_id, r.patch_id): r.component_id for r in graph.patch_components(areas, edges).collect()}
     pairs = {(r.raster_id, r.lo, r.hi) for r in edges.collect()}
