@@ -358,12 +358,12 @@ def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return nodes, nodes[label]
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, most_local: int = 1 << 21) -> DataFrame:
     """edges(u, v: long) to (node, component): the smallest node that each node reaches. Nodes without an edge don't appear.
 
-    Each task first reduces its edges to a star forest; then large-star and small-star rounds alternate until nothing
-    changes, each round written to the shared folder. A hot node costs one row per neighbour and round; no component
-    is gathered anywhere.
+    Each task first reduces its edges to a star forest. Forests of at most ``most_local`` edges together (counted; 16
+    bytes each) are merged in one task; of larger ones large-star and small-star rounds alternate until nothing changes,
+    each round written to the shared folder, and joins with a hot node are split by AQE. The result is the same.
     """
 
     def forest(batches):
@@ -374,6 +374,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(root[keep])], names=["u", "v"])
 
     e = shared_table(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(tidy(forest), "u long, v long").distinct(), "edges")
+    if e.count() <= most_local:
+        e = shared_table(e.coalesce(1).mapInArrow(tidy(forest), "u long, v long"), "components")
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     seen = None
     for _ in range(most_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

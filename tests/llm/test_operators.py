@@ -147,6 +147,16 @@ def test_links_at_three_bits(spark, group_rows):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, mine.values()))
 
 
+@pytest.mark.parametrize("most_local", [0, 1 << 21])
+def test_components_by_rounds_and_in_one_task(spark, most_local):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(500 + k, 501 + k) for k in range(40)] + [(600, k) for k in range(601, 700)]
+    got = {r["node"]: r["component"] for r in rows(common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3), most_local=most_local))}
+    nodes, root = common.local_components(*np.array([e for e in edges if e[0] != e[1]]).T)
+    assert got == dict(zip(nodes.tolist(), root.tolist(), strict=True))
+    assert common.connected_components(spark.createDataFrame([], "u long, v long"), most_local=most_local).count() == 0
+
+
 # --- op3
 
 
