@@ -183,11 +183,12 @@ class Grid:
         sums[: len(areas)] = areas @ sizes - 2 * areas[:, beside] @ sizes[beside]
         inside = dist[np.ix_(beside, beside)]
         sums += np.bincount(inside[inside < FAR], np.outer(sizes[beside], sizes[beside])[inside < FAR], len(sums))
-        was, now = dist[np.ix_(other, other)], to[other][:, None] + to[other]
-        i, j = np.nonzero(now < was)
-        product, was, now = sizes[other[i]] * sizes[other[j]], was[i, j], now[i, j]
-        sums += np.bincount(now, product, len(sums))
-        sums -= np.bincount(was[was < FAR], product[was < FAR], len(sums))[: len(sums)]
+        if len(beside) > 1 or (dist[beside[0], near] > 1).any():  # else it reaches only what is linked already
+            was, now = dist[np.ix_(other, other)], to[other][:, None] + to[other]
+            i, j = np.nonzero(now < was)
+            product, was, now = sizes[other[i]] * sizes[other[j]], was[i, j], now[i, j]
+            sums += np.bincount(now, product, len(sums))
+            sums -= np.bincount(was[was < FAR], product[was < FAR], len(sums))
         whole = 1 + sizes[beside].sum()
         sums += 2 * whole * np.bincount(to[other], sizes[other], len(sums))
         sums[0] += whole * whole
