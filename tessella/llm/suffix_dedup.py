@@ -394,7 +394,7 @@ def _about_windows(law: str):
     return reducer
 
 
-def repeats(docs: DataFrame, window: int = 200, gram: int = 32, law: str = "all", chunk_bytes: int = 1 << 21, with_text: bool = False, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = 200, gram: int = 32, law: str = "all", chunk_bytes: int = 1 << 20, with_text: bool = False, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, by_copy, by_shard, by_merge, spans[, kept_text], *keep) of every row.
 
     by_copy, by_shard, by_merge: the removed bytes that copies show, of the others those that the shard's own suffix array
