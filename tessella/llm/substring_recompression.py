@@ -181,7 +181,7 @@ def _smaller_ids(rows: list[dict]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def earlier_passages(docs: DataFrame, window: int = 13, levels: int = 3, chunk_bytes: int = 1 << 21, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def earlier_passages(docs: DataFrame, window: int = 13, levels: int = 3, chunk_bytes: int = 1 << 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, n_candidates, n_windows, spans[, kept_text]) of every row; spans count words.
 
     n_windows, n_candidates: the windows of the document, and those that the shared symbols of all levels leave.
