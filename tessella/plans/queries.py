@@ -397,7 +397,7 @@ def bridge_first_action(spark, sf):
     return _grids(spark, sf, lambda g: pd.DataFrame({"cell_id": [planning.policy_bridge(g)]}), "cell_id long")
 
 
-def _configs(spark, methods, seeds=(0, 1, 2), budget=8.0, dispersal=2.0):
+def _configs(spark, methods, seeds, budget, dispersal):
     rows = [("1:2", m, s, budget, dispersal, list(RESTORABLE), {k: float(v) for k, v in COSTS.items()}) for m in methods for s in (seeds if m == "random" else (0,))]
     return spark.createDataFrame(rows, "config string, method string, seed int, budget double, dispersal double, restorable array<int>, costs map<int,double>")
 
@@ -430,9 +430,10 @@ def policy_comparison(spark, sf):
 @query
 def candidate_check(spark, sf):
     win, size = _windows(spark, sf)
-    top = structure.top_windows(_structures(spark, sf), 3).select("raster_id", "score")
+    """Random and greedy episodes on the five best windows, five random ones each, with the whole budget."""
+    top = structure.top_windows(_structures(spark, sf), 5).select("raster_id", "score")
     half = raster.resample(win.drop("y0", "x0"), size, (max(1, size[0] // 2), max(1, size[1] // 2)))
-    s = planning.summarise(planning.episodes(half.join(F.broadcast(top), "raster_id", "left_semi"), _configs(spark, ["random", "naive"])), ["raster_id", "method"])
+    s = planning.summarise(planning.episodes(half.join(F.broadcast(top), "raster_id", "left_semi"), _configs(spark, ["random", "naive"], range(5), float(BUDGET), R)), ["raster_id", "method"])
     wide = s.groupBy("raster_id").agg(F.max(F.when(F.col("method") == "random", F.col("iic_gain"))).alias("gain_random"), F.max(F.when(F.col("method") == "naive", F.col("iic_gain"))).alias("gain_greedy"))
     wide = wide.withColumn("gap", F.col("gain_greedy") - F.col("gain_random"))
     return wide.join(top, "raster_id").select("raster_id", "score", "gain_random", "gain_greedy", "gap", passes(F.col("gap"), F.col("gain_greedy")).alias("passed"))
