@@ -170,6 +170,93 @@ final AS (SELECT last.*, iic, n_patches, largest FROM last JOIN hiic USING (conf
     )
 
 
+def _greedy_episodes(land: str, configs: str, steps: int, r: int) -> str:
+    """Episodes of the policies, a block of tables for each step: last(ep, spent, steps, planted) and its graph.
+
+    land: land(g, cell, y, x, habitat, restorable, code) of every grid; configs: ep0(ep, g, method, seed, budget, p1, p2). The distances between all patches are kept from step to step: a cell makes one patch of those beside it, and
+    two others are then as far apart as before or as their ways to it together.
+    """
+    out = [
+        land,
+        f""",
+adj AS MATERIALIZED (SELECT a.g, a.cell AS a, b.cell AS b FROM land a JOIN land b ON a.g = b.g AND abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE (a.habitat OR a.restorable) AND (b.habitat OR b.restorable)),
+reach AS MATERIALIZED (SELECT a.g, a.cell AS a, b.cell AS b FROM land a JOIN land b ON a.g = b.g AND a.restorable AND a.cell <> b.cell AND (b.habitat OR b.restorable)
+         AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= {r * r}),
+grown AS (SELECT g, cell, cell AS seed FROM land WHERE habitat UNION SELECT r.g, adj.b, r.seed FROM grown r JOIN adj ON adj.g = r.g AND adj.a = r.cell JOIN land l ON l.g = r.g AND l.cell = adj.b AND l.habitat),
+label AS MATERIALIZED (SELECT g, cell, min(seed) AS patch FROM grown GROUP BY g, cell),
+lc AS MATERIALIZED (SELECT label.*, y, x FROM label JOIN land USING (g, cell)),
+link AS MATERIALIZED (SELECT DISTINCT a.g, a.patch AS a, b.patch AS b FROM lc a JOIN lc b ON a.g = b.g AND a.patch <> b.patch AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= {r * r}),
+walk(g, a, b, d) USING KEY (g, a, b) AS (SELECT DISTINCT g, patch, patch, 0 FROM label
+      UNION SELECT DISTINCT w.g, w.a, l.b, w.d + 1 FROM walk w JOIN link l ON l.g = w.g AND l.a = w.b LEFT JOIN recurring.walk k ON k.g = w.g AND k.a = w.a AND k.b = l.b WHERE k.b IS NULL),
+ep0 AS MATERIALIZED ({configs}),
+full0 AS MATERIALIZED (SELECT g, power(count(*), 2)::DOUBLE AS area FROM land WHERE habitat OR restorable GROUP BY g),
+e0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS spent, 0 AS steps, ''::VARCHAR AS planted FROM ep0),
+h0 AS MATERIALIZED (SELECT ep, label.cell, patch FROM ep0 JOIN label USING (g)),
+d0 AS MATERIALIZED (SELECT ep, a, b, d FROM ep0 JOIN walk USING (g))""",
+    ]
+    for k in range(steps):
+        n = k + 1
+        out.append(f""",
+s{k} AS MATERIALIZED (SELECT ep, patch, count(*) AS size FROM h{k} GROUP BY ALL),
+i{k} AS MATERIALIZED (SELECT ep, sum(t ORDER BY d) AS s FROM (SELECT d{k}.ep, d, sum(p.size * q.size)::DOUBLE / (1 + d) AS t FROM d{k} JOIN s{k} p ON p.ep = d{k}.ep AND p.patch = a JOIN s{k} q ON q.ep = d{k}.ep AND q.patch = b GROUP BY d{k}.ep, d) GROUP BY ep),
+c{k} AS MATERIALIZED (SELECT e.ep, e.method, l.cell AS c, CASE l.code WHEN 13 THEN p1 ELSE p2 END AS cost FROM e{k} e JOIN land l ON l.g = e.g AND l.restorable LEFT JOIN h{k} h ON h.ep = e.ep AND h.cell = l.cell
+         WHERE h.cell IS NULL AND (CASE l.code WHEN 13 THEN p1 ELSE p2 END) <= e.budget - e.spent AND EXISTS (SELECT 1 FROM adj JOIN h{k} x ON x.ep = e.ep AND x.cell = adj.b WHERE adj.g = e.g AND adj.a = l.cell)),
+b{k} AS MATERIALIZED (SELECT DISTINCT c.ep, c.c, h.patch FROM c{k} c JOIN e{k} e ON e.ep = c.ep JOIN adj ON adj.g = e.g AND adj.a = c.c JOIN h{k} h ON h.ep = c.ep AND h.cell = adj.b),
+n{k} AS MATERIALIZED (SELECT DISTINCT c.ep, c.c, h.patch FROM c{k} c JOIN e{k} e ON e.ep = c.ep JOIN reach ON reach.g = e.g AND reach.a = c.c JOIN h{k} h ON h.ep = c.ep AND h.cell = reach.b),
+k{k} AS MATERIALIZED (SELECT ep, c, kind, min(c) OVER (PARTITION BY ep, kind) AS one FROM (SELECT ep, c, string_agg(patch || CASE WHEN side THEN 'b' ELSE '' END, ' ' ORDER BY patch, side) AS kind
+         FROM (SELECT ep, c, patch, true AS side FROM b{k} UNION ALL SELECT ep, c, patch, false FROM n{k}) GROUP BY ep, c)),
+u{k} AS MATERIALIZED (SELECT v.ep, v.c, v.q, v.u FROM (SELECT n.ep, n.c, d.b AS q, min(d.d + CASE WHEN b.patch IS NULL THEN 1 ELSE 0 END) AS u FROM n{k} n JOIN k{k} k ON k.ep = n.ep AND k.c = n.c AND k.one = n.c
+         JOIN d{k} d ON d.ep = n.ep AND d.a = n.patch LEFT JOIN b{k} b ON b.ep = n.ep AND b.c = n.c AND b.patch = n.patch GROUP BY n.ep, n.c, d.b) v
+         LEFT JOIN b{k} b ON b.ep = v.ep AND b.c = v.c AND b.patch = v.q WHERE b.patch IS NULL),
+a{k} AS MATERIALIZED (SELECT b.ep, b.c, 1 + sum(size) AS size FROM b{k} b JOIN s{k} s ON s.ep = b.ep AND s.patch = b.patch GROUP BY ALL),
+t{k} AS MATERIALIZED (
+  SELECT a.ep, a.c, 0 AS hop, a.size * a.size AS w FROM a{k} a JOIN k{k} k ON k.ep = a.ep AND k.one = a.c AND k.c = a.c
+  UNION ALL SELECT u.ep, u.c, u.u, 2 * a.size * s.size FROM u{k} u JOIN a{k} a ON a.ep = u.ep AND a.c = u.c JOIN s{k} s ON s.ep = u.ep AND s.patch = u.q
+  UNION ALL SELECT k.ep, k.c, d.d, p.size * q.size FROM k{k} k JOIN d{k} d ON d.ep = k.ep JOIN s{k} p ON p.ep = d.ep AND p.patch = d.a JOIN s{k} q ON q.ep = d.ep AND q.patch = d.b
+            LEFT JOIN b{k} x ON x.ep = k.ep AND x.c = k.c AND x.patch = d.a LEFT JOIN b{k} y ON y.ep = k.ep AND y.c = k.c AND y.patch = d.b WHERE k.c = k.one AND x.patch IS NULL AND y.patch IS NULL
+  UNION ALL SELECT z.ep, z.c, h, z.w FROM (SELECT v.ep, v.c, v.u + w.u AS h, d.d, p.size * q.size AS w FROM u{k} v JOIN u{k} w ON w.ep = v.ep AND w.c = v.c AND w.q <> v.q
+            JOIN s{k} p ON p.ep = v.ep AND p.patch = v.q JOIN s{k} q ON q.ep = v.ep AND q.patch = w.q LEFT JOIN d{k} d ON d.ep = v.ep AND d.a = v.q AND d.b = w.q WHERE d.d IS NULL OR v.u + w.u < d.d) z
+  UNION ALL SELECT v.ep, v.c, d.d, -p.size * q.size FROM u{k} v JOIN u{k} w ON w.ep = v.ep AND w.c = v.c AND w.q <> v.q
+            JOIN s{k} p ON p.ep = v.ep AND p.patch = v.q JOIN s{k} q ON q.ep = v.ep AND q.patch = w.q JOIN d{k} d ON d.ep = v.ep AND d.a = v.q AND d.b = w.q WHERE v.u + w.u < d.d),
+g{k} AS MATERIALIZED (SELECT c.ep, c.c, c.cost, CASE c.method WHEN 'naive' THEN gain ELSE round(gain / c.cost, 12) END AS score
+         FROM (SELECT v.ep, v.c, round(v.s / f.area - i.s / f.area, 12) AS gain FROM (SELECT ep, c, sum(t ORDER BY hop) AS s FROM (SELECT ep, c, hop, sum(w)::DOUBLE / (1 + hop) AS t FROM t{k} GROUP BY ep, c, hop) GROUP BY ep, c) v
+               JOIN i{k} i ON i.ep = v.ep JOIN e{k} e ON e.ep = v.ep JOIN full0 f ON f.g = e.g) x JOIN k{k} k ON k.ep = x.ep AND k.one = x.c JOIN c{k} c ON c.ep = k.ep AND c.c = k.c),
+m{k} AS MATERIALIZED (SELECT ep, a AS patch, min(b) AS comp FROM d{k} JOIN e{k} USING (ep) WHERE method = 'bridge' GROUP BY ep, a),
+w{k}(ep, cell, d) USING KEY (ep, cell) AS (SELECT ep, cell, 0.0::DOUBLE FROM h{k} JOIN e{k} USING (ep) WHERE method = 'bridge'
+      UNION SELECT ep, cell, min(d) FROM (SELECT w.ep, l.cell, w.d + CASE l.code WHEN 13 THEN p1 ELSE p2 END AS d, r.d AS old FROM w{k} w JOIN e{k} e ON e.ep = w.ep JOIN adj ON adj.g = e.g AND adj.a = w.cell
+            JOIN land l ON l.g = e.g AND l.cell = adj.b AND l.restorable LEFT JOIN recurring.w{k} r ON r.ep = w.ep AND r.cell = l.cell) WHERE old IS NULL OR d < old GROUP BY ep, cell),
+f{k} AS MATERIALIZED (SELECT ep, cell, pred FROM (SELECT v.ep, v.cell, u.cell AS pred, row_number() OVER (PARTITION BY v.ep, v.cell ORDER BY u.d, u.cell) AS o FROM w{k} v JOIN e{k} e ON e.ep = v.ep JOIN adj ON adj.g = e.g AND adj.a = v.cell
+         JOIN w{k} u ON u.ep = v.ep AND u.cell = adj.b WHERE v.d > 0) WHERE o = 1),
+o{k} AS (SELECT h.ep, h.cell, comp FROM h{k} h JOIN m{k} m ON m.ep = h.ep AND m.patch = h.patch UNION ALL SELECT f.ep, f.cell, o.comp FROM o{k} o JOIN f{k} f ON f.ep = o.ep AND f.pred = o.cell),
+r{k} AS MATERIALIZED (SELECT ep, a, b FROM (SELECT e.ep, u.cell AS a, v.cell AS b, u.d + v.d AS cost, budget - spent AS rest, row_number() OVER (PARTITION BY e.ep ORDER BY u.d + v.d, u.cell, v.cell) AS o
+         FROM e{k} e JOIN w{k} u ON u.ep = e.ep JOIN adj ON adj.g = e.g AND adj.a = u.cell JOIN w{k} v ON v.ep = e.ep AND v.cell = adj.b AND u.cell < v.cell
+         JOIN o{k} x ON x.ep = e.ep AND x.cell = u.cell JOIN o{k} y ON y.ep = e.ep AND y.cell = v.cell AND x.comp <> y.comp) WHERE o = 1 AND cost <= rest),
+q{k} AS (SELECT ep, a AS cell FROM r{k} UNION ALL SELECT ep, b FROM r{k} UNION ALL SELECT f.ep, f.pred FROM q{k} q JOIN f{k} f ON f.ep = q.ep AND f.cell = q.cell),
+z{k} AS MATERIALIZED (SELECT DISTINCT q.ep, q.cell FROM q{k} q JOIN c{k} c ON c.ep = q.ep AND c.c = q.cell),
+p{k} AS MATERIALIZED (SELECT x.ep, x.c, x.cost, k.one FROM (SELECT g.*, row_number() OVER (PARTITION BY g.ep ORDER BY CASE method WHEN 'random' THEN -((g.c * 7919 + steps * 104729 + seed * 15485863 + 12345) % 1000003) ELSE score END DESC, g.c) AS o
+         FROM g{k} g JOIN e{k} e ON e.ep = g.ep WHERE g.ep NOT IN (SELECT ep FROM z{k}) OR EXISTS (SELECT 1 FROM z{k} z WHERE z.ep = g.ep AND z.cell = g.c)) x JOIN k{k} k ON k.ep = x.ep AND k.c = x.c WHERE o = 1),
+e{n} AS MATERIALIZED (SELECT e.* REPLACE (e.spent + coalesce(p.cost, 0) AS spent, e.steps + CASE WHEN p.c IS NULL THEN 0 ELSE 1 END AS steps, CASE WHEN p.c IS NULL THEN planted ELSE trim(planted || ' ' || p.c) END AS planted) FROM e{k} e LEFT JOIN p{k} p USING (ep)),
+h{n} AS MATERIALIZED (SELECT h.ep, h.cell, CASE WHEN b.patch IS NULL THEN h.patch ELSE p.c END AS patch FROM h{k} h LEFT JOIN p{k} p ON p.ep = h.ep LEFT JOIN b{k} b ON b.ep = h.ep AND b.c = p.c AND b.patch = h.patch UNION ALL SELECT ep, c, c FROM p{k}),
+v{k} AS MATERIALIZED (SELECT p.ep, u.q, u.u FROM p{k} p JOIN u{k} u ON u.ep = p.ep AND u.c = p.one),
+d{n} AS MATERIALIZED (SELECT ep, a, b, min(d) AS d FROM (
+  SELECT d.ep, d.a, d.b, d.d FROM d{k} d LEFT JOIN p{k} p ON p.ep = d.ep LEFT JOIN b{k} x ON x.ep = d.ep AND x.c = p.c AND x.patch = d.a LEFT JOIN b{k} y ON y.ep = d.ep AND y.c = p.c AND y.patch = d.b WHERE x.patch IS NULL AND y.patch IS NULL
+  UNION ALL SELECT v.ep, v.q, w.q, v.u + w.u FROM v{k} v JOIN v{k} w ON w.ep = v.ep AND w.q <> v.q
+  UNION ALL SELECT v.ep, v.q, p.c, v.u FROM v{k} v JOIN p{k} p ON p.ep = v.ep UNION ALL SELECT v.ep, p.c, v.q, v.u FROM v{k} v JOIN p{k} p ON p.ep = v.ep UNION ALL SELECT ep, c, c, 0 FROM p{k}) GROUP BY ep, a, b)""")
+    k = steps
+    out.append(f""",
+s{k} AS MATERIALIZED (SELECT ep, patch, count(*) AS size FROM h{k} GROUP BY ALL),
+finals AS MATERIALIZED (SELECT ep, sum(t ORDER BY d) AS s FROM (SELECT d{k}.ep, d, sum(p.size * q.size)::DOUBLE / (1 + d) AS t FROM d{k} JOIN s{k} p ON p.ep = d{k}.ep AND p.patch = a JOIN s{k} q ON q.ep = d{k}.ep AND q.patch = b GROUP BY d{k}.ep, d) GROUP BY ep),
+last AS (SELECT e.*, i0.s / f.area AS iic_initial, x.s / f.area AS iic_final, n_patches, largest FROM e{k} e JOIN full0 f USING (g) JOIN i0 ON i0.ep = e.ep JOIN finals x ON x.ep = e.ep
+         JOIN (SELECT ep, count(*) AS n_patches, max(size) AS largest FROM s{k} GROUP BY ep) y ON y.ep = e.ep)
+""")
+    return _with(*out)
+
+
+_LAND = """,
+land AS MATERIALIZED (SELECT 0 AS g, cell_id AS cell, y, x, habitat, restorable, class_code AS code FROM m)
+"""
+
+
 # Windows of two fifths of the raster, at half the resolution, with patches, gaps and scores.
 _WINDOWS = """,
 size AS (SELECT h, w, h * 2 // 5 AS nh, w * 2 // 5 AS nw, greatest(1, h * 2 // 5 // 2) AS th, greatest(1, w * 2 // 5 // 2) AS tw FROM dim),
@@ -177,7 +264,7 @@ place AS (SELECT a * th AS y0, b * tw AS x0, nh, nw, th, tw FROM size, (SELECT u
           WHERE a * th + nh <= h AND b * tw + nw <= w),
 wcount AS (SELECT y0, x0, ((y - y0 + 1) * th - 1) // nh AS y, ((x - x0 + 1) * tw - 1) // nw AS x, any_value(tw) AS tw, class_code, count(*) AS n
            FROM place JOIN cells ON y >= y0 AND y < y0 + nh AND x >= x0 AND x < x0 + nw GROUP BY 1, 2, 3, 4, class_code),
-w AS (SELECT y0 || ',' || x0 AS win, y0, x0, y, x, y * tw + x AS cell, class_code IN (5, 76) AS habitat, class_code IN (13, 21) AS restorable,
+w AS (SELECT y0 || ',' || x0 AS win, y0, x0, y, x, y * tw + x AS cell, class_code AS code, class_code IN (5, 76) AS habitat, class_code IN (13, 21) AS restorable,
              class_code IN (31, 40, 33, 0) AS locked
       FROM (SELECT *, row_number() OVER (PARTITION BY y0, x0, y, x ORDER BY n DESC, class_code) AS k FROM wcount) WHERE k = 1),
 beside AS (SELECT a.win, a.cell AS a, b.cell AS b, a.habitat AND b.habitat AS inside FROM w a JOIN w b ON a.win = b.win AND abs(a.y - b.y) + abs(a.x - b.x) = 1
@@ -185,8 +272,8 @@ beside AS (SELECT a.win, a.cell AS a, b.cell AS b, a.habitat AND b.habitat AS in
 wreach AS (SELECT win, cell, cell AS seed FROM w WHERE habitat UNION SELECT r.win, b.b, r.seed FROM wreach r JOIN beside b ON b.win = r.win AND b.a = r.cell AND b.inside),
 wlabel AS (SELECT win, cell, min(seed) AS patch FROM wreach GROUP BY 1, 2),
 warea AS (SELECT win, patch, count(*) AS area FROM wlabel GROUP BY 1, 2),
-land AS (SELECT win, any_value(y0)::INT AS y0, any_value(x0)::INT AS x0, avg(habitat::INT)::DOUBLE AS fh, avg(restorable::INT)::DOUBLE AS fr, avg(locked::INT)::DOUBLE AS fl FROM w GROUP BY 1),
-per AS (SELECT land.*, coalesce(n, 0) AS n, most FROM land LEFT JOIN (SELECT win, count(*) AS n, max(area) AS most FROM warea GROUP BY 1) USING (win)),
+wland AS (SELECT win, any_value(y0)::INT AS y0, any_value(x0)::INT AS x0, avg(habitat::INT)::DOUBLE AS fh, avg(restorable::INT)::DOUBLE AS fr, avg(locked::INT)::DOUBLE AS fl FROM w GROUP BY 1),
+per AS (SELECT wland.*, coalesce(n, 0) AS n, most FROM wland LEFT JOIN (SELECT win, count(*) AS n, max(area) AS most FROM warea GROUP BY 1) USING (win)),
 wlarge AS (SELECT win, patch, area FROM warea JOIN per USING (win) WHERE n >= 2 AND fh >= 0.02 AND fr >= 0.05 AND area >= greatest(2, 0.08 * most)),
 wstep(win, src, cell, d) USING KEY (win, src, cell) AS (SELECT win, patch, cell, 0 FROM wlabel JOIN wlarge USING (win, patch)
       UNION SELECT DISTINCT s.win, s.src, b.b, s.d + 1 FROM wstep s JOIN beside b ON b.win = s.win AND b.a = s.cell
@@ -333,6 +420,52 @@ r AS (SELECT *, sum(CASE WHEN invalid AND coalesce(i, false) AND action = a THEN
     "greedy_cost_first_action": _with(_GRID, _PATCH, _edges(2), _HOP, _GAIN) + "SELECT cell_id, round(round(gain / cost, 12), 10) AS ratio FROM cgain ORDER BY round(gain / cost, 12) DESC, cell_id LIMIT 1",
 }
 
+_TRACE = "iic_initial, iic_final, 0::INT AS invalid, greatest(steps, 1)::INT AS steps, spent AS cost, {n}::INT AS n_planted, n_patches::INT AS n_patches, largest::INT AS largest_patch, {order} AS plant_order"
+
+
+def _all_episodes(greedy: str, random: str, steps: int) -> str:
+    """Episodes of all policies: config, method, seed and what an episode records."""
+    mine = _greedy_episodes(_GRID + _LAND, greedy, steps, 5) + "SELECT split_part(ep, '/', 1) AS config, method, 0::INT AS seed, " + _TRACE.format(n="steps", order="planted") + " FROM last"
+    drawn = _random_episodes(random, 20) + f"SELECT config, 'random' AS method, seed::INT AS seed, {_IIC} AS iic_initial, " + _TRACE.format(n="len(planted)", order="array_to_string(planted, ' ')").replace("iic_initial, iic_final", "iic AS iic_final") + " FROM final"
+    return f"SELECT * FROM ({mine}) UNION ALL SELECT * FROM ({drawn})"
+
+
+_ONE = _all_episodes(
+    "SELECT '1:2/' || method AS ep, 0 AS g, method, 0 AS seed, 20.0::DOUBLE AS budget, 1.0::DOUBLE AS p1, 2.0::DOUBLE AS p2 FROM (VALUES ('naive'), ('cost'), ('bridge')) AS t(method)",
+    "SELECT '1:2' AS config, 13 AS c1, 21 AS c2, 1.0::DOUBLE AS p1, 2.0::DOUBLE AS p2, 20.0::DOUBLE AS budget",
+    20,
+)
+_EVERY = _all_episodes(
+    "SELECT s || '|' || b || '/' || method AS ep, 0 AS g, method, 0 AS seed, b::DOUBLE AS budget, 1.0::DOUBLE AS p1, p2::DOUBLE AS p2 FROM (VALUES ('1:1', 1), ('1:2', 2), ('1:3', 3)) AS t(s, p2), (VALUES (10), (20), (30)) AS u(b), (VALUES ('naive'), ('cost'), ('bridge')) AS v(method)",
+    "SELECT s || '|' || b AS config, 13 AS c1, 21 AS c2, 1.0::DOUBLE AS p1, p2::DOUBLE AS p2, b::DOUBLE AS budget FROM (VALUES ('1:1', 1), ('1:2', 2), ('1:3', 3)) AS t(s, p2), (VALUES (10), (20), (30)) AS u(b)",
+    30,
+)
+_MEANS = ", ".join(f"round({x}, 10)::DOUBLE AS {n}" for x, n in (
+    ("avg(iic_initial)", "iic_initial"), ("avg(iic_final)", "iic_final"), ("avg(iic_final - iic_initial)", "iic_gain"), ("stddev_samp(iic_final - iic_initial)", "std_iic_gain"), ("avg(cost)", "cost_used"),
+    ("avg((iic_final - iic_initial) / nullif(cost, 0))", "iic_per_unit"), ("avg(n_planted)", "cells_planted"), ("avg(n_patches)", "n_patches"), ("avg(largest_patch)", "largest_patch"), ("avg(invalid / steps)", "invalid_action_rate"),
+))
+ORACLE_SQL["episode_rollout"] = f"SELECT 'part' AS raster_id, * REPLACE (round(iic_initial, 10) AS iic_initial, round(iic_final, 10) AS iic_final) FROM ({_ONE})"
+ORACLE_SQL["policy_comparison"] = f"SELECT config, method, {_MEANS} FROM ({_ONE}) GROUP BY config, method"
+ORACLE_SQL["scenario_results"] = f"""SELECT 'default' AS resolution, 'main' AS land_scenario, '' AS rl_preset, split_part(config, '|', 1) AS cost_scenario, split_part(config, '|', 2)::INT AS budget, 0 AS timesteps, '' AS seeds,
+  CASE method WHEN 'random' THEN 'Random Valid Action' WHEN 'naive' THEN 'Greedy Naive' WHEN 'cost' THEN 'Greedy Cost' ELSE 'Bridge Planner' END AS method, 0.0::DOUBLE AS training_seconds, {_MEANS} FROM ({_EVERY}) GROUP BY config, method"""
+ORACLE_SQL["candidate_check"] = (
+    _greedy_episodes(
+        _GRID + _WINDOWS + """,
+best AS MATERIALIZED (SELECT raster_id, score, y0 || ',' || x0 AS win FROM structure WHERE score >= 0 ORDER BY score DESC, y0, x0 LIMIT 5),
+land AS MATERIALIZED (SELECT raster_id AS g, w.cell, y, x, habitat, restorable, code FROM w JOIN best USING (win))
+""",
+        "SELECT raster_id || '/' || method || seed AS ep, raster_id AS g, method, seed, 20.0::DOUBLE AS budget, 1.0::DOUBLE AS p1, 2.0::DOUBLE AS p2 FROM best, (SELECT 'naive' AS method, 0 AS seed UNION ALL SELECT 'random', unnest(range(5)))",
+        20,
+        5,
+    )
+    + """, won AS (SELECT g AS raster_id, avg(iic_final - iic_initial) FILTER (method = 'random') AS gain_random, avg(iic_final - iic_initial) FILTER (method = 'naive') AS gain_greedy FROM last GROUP BY g)
+SELECT raster_id, round(score, 9) AS score, round(gain_random, 10) AS gain_random, round(gain_greedy, 10) AS gain_greedy, round(gain_greedy - gain_random, 10) AS gap, gain_greedy - gain_random < 0.3 * greatest(gain_greedy, 1e-9) AS passed FROM won JOIN best USING (raster_id)"""
+)
+ORACLE_SQL["greedy_rollout"] = (
+    _greedy_episodes(_GRID + _LAND, "SELECT method AS ep, 0 AS g, method, 0 AS seed, 20.0::DOUBLE AS budget, 1.0::DOUBLE AS p1, 2.0::DOUBLE AS p2 FROM (VALUES ('naive'), ('cost')) AS t(method)", 20, 5)
+    + "SELECT method, spent AS cost, steps AS n_planted, greatest(steps, 1) AS steps, n_patches::INT AS n_patches, largest::INT AS largest_patch, round(iic_final, 10) AS iic_final, planted AS plant_order FROM last"
+)
+
 # Sources, sinks, streams and run settings: the same rows from the tables themselves.
 ORACLE_SQL |= {
     "npy_roundtrip": _with(_GRID) + "SELECT cell_id, y, x, class_code FROM cells",

@@ -402,9 +402,15 @@ def _configs(spark, methods, seeds, budget, dispersal):
     return spark.createDataFrame(rows, "config string, method string, seed int, budget double, dispersal double, restorable array<int>, costs map<int,double>")
 
 
+def _all_policies(spark, sf):
+    return planning.episodes(_cells(spark, sf), _configs(spark, ["random", "naive", "cost", "bridge"], range(EVALUATIONS), float(BUDGET), R))
+
+
 @query
 def episode_rollout(spark, sf):
-    return planning.episodes(_cells(spark, sf), _configs(spark, ["random", "naive", "cost", "bridge"], range(EVALUATIONS), float(BUDGET), R))
+    """Every policy's episodes; plant_order: cell ids in the order of planting."""
+    order = F.array_join(F.col("plant_order").cast("array<string>"), " ").alias("plant_order")
+    return _all_policies(spark, sf).withColumns({"iic_initial": F.round("iic_initial", 10), "iic_final": F.round("iic_final", 10), "plant_order": order})
 
 
 @query
@@ -414,6 +420,13 @@ def random_rollout(spark, sf):
     return e.select("seed", "cost", "n_planted", "steps", "invalid", "n_patches", "largest_patch", F.round("iic_final", 10).alias("iic_final"), F.array_join(F.col("plant_order").cast("array<string>"), " ").alias("plant_order"))
 
 
+@query
+def greedy_rollout(spark, sf):
+    """The greedy policies' episodes step by step."""
+    e = planning.episodes(_cells(spark, sf), _configs(spark, ["naive", "cost"], (0,), float(BUDGET), R))
+    return e.select("method", "cost", "n_planted", "steps", "n_patches", "largest_patch", F.round("iic_final", 10).alias("iic_final"), F.array_join(F.col("plant_order").cast("array<string>"), " ").alias("plant_order"))
+
+
 @query
 def scenario_random(spark, sf):
     """Rows of the results table for the random policy, in every cost scenario and budget."""
@@ -424,7 +437,8 @@ def scenario_random(spark, sf):
 
 @query
 def policy_comparison(spark, sf):
-    return planning.summarise(episode_rollout(spark, sf), ["config", "method"])
+    means = planning.summarise(_all_policies(spark, sf), ["config", "method"])
+    return means.select("config", "method", *[F.round(c, 10).alias(c) for c in means.columns[2:]])
 
 
 @query
@@ -436,7 +450,8 @@ def candidate_check(spark, sf):
     s = planning.summarise(planning.episodes(half.join(F.broadcast(top), "raster_id", "left_semi"), _configs(spark, ["random", "naive"], range(5), float(BUDGET), R)), ["raster_id", "method"])
     wide = s.groupBy("raster_id").agg(F.max(F.when(F.col("method") == "random", F.col("iic_gain"))).alias("gain_random"), F.max(F.when(F.col("method") == "naive", F.col("iic_gain"))).alias("gain_greedy"))
     wide = wide.withColumn("gap", F.col("gain_greedy") - F.col("gain_random"))
-    return wide.join(top, "raster_id").select("raster_id", "score", "gain_random", "gain_greedy", "gap", passes(F.col("gap"), F.col("gain_greedy")).alias("passed"))
+    fine = [F.round("score", 9).alias("score"), *[F.round(c, 10).alias(c) for c in ("gain_random", "gain_greedy", "gap")]]
+    return wide.join(top, "raster_id").select("raster_id", *fine, passes(F.col("gap"), F.col("gain_greedy")).alias("passed"))
 
 
 @query
@@ -450,7 +465,8 @@ def bridge_routes_frames(spark, sf):
 
 @query
 def scenario_results(spark, sf):
-    return planning.run_scenarios(_cells(spark, sf), ["random", "naive", "cost", "bridge"], COST_SCENARIOS, list(BUDGETS), R)
+    rows = planning.run_scenarios(_cells(spark, sf), ["random", "naive", "cost", "bridge"], COST_SCENARIOS, list(BUDGETS), R)
+    return rows.select(*[F.round(c, 10).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
 @query
