@@ -33,7 +33,12 @@ from pyspark.sql import DataFrame
 from .common import MESSAGE, MESSAGE_ARROW, Words, answered, chunk_rows, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
 
 _RUN, _LEFT, _RIGHT, _LEVEL = (np.uint64(x) for x in np.random.default_rng(23).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
-DIGEST = 0  # kind of the messages about windows; those about names have their level
+DIGEST, CANDIDATES, TEXTS, LOCAL, COUNTS = 0, -1, -2, -3, -4  # kinds of messages about windows and of what a chunk keeps; those about names have their level
+
+
+def windows(doc: np.ndarray, window: int) -> np.ndarray:
+    """The first word of each window, given the document of each word."""
+    return np.flatnonzero(doc[: max(0, len(doc) - window + 1)] == doc[window - 1 :]) if len(doc) >= window else np.zeros(0, np.int64)
 
 
 class Symbols:
@@ -46,7 +51,7 @@ class Symbols:
     def __init__(self, words: Words, window: int):
         w, doc = words.hash, words.doc
         self.level = 0
-        self.window = np.flatnonzero(doc[: max(0, len(w) - window + 1)] == doc[window - 1 :]) if len(w) >= window else np.zeros(0, np.int64)
+        self.window = windows(doc, window)
         new_run = np.concatenate(([True], (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]))) if len(w) else np.zeros(0, bool)
         run = np.cumsum(new_run) - 1
         head = np.flatnonzero(new_run)
@@ -114,8 +119,8 @@ class _Chunk:
         self.s.pair()
         yield from name_messages(*self.s.items(), chunk, self.s.level, n)
 
-    def verify(self) -> None:
-        """Candidates, their digests, and the smallest id that this chunk knows for each."""
+    def verify(self, n: int) -> None:
+        """Candidates, their digests by bucket, and the smallest id that this chunk knows for each."""
         self.at = self.s.window[self.s.candidate]
         raw, f = self.w.bytes.tobytes(), xxhash.xxh3_128_digest
         last = self.at + self.window - 1
@@ -124,7 +129,7 @@ class _Chunk:
         order = np.lexsort((own, hi, lo))
         new = np.concatenate(([True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1]))) if len(lo) else np.zeros(0, bool)
         pick = order[new]
-        rank = np.lexsort((lo[pick], own[pick]))  # by id: ids then compress well
+        rank = np.lexsort((lo[pick], own[pick], lo[pick] % np.uint64(n)))  # by id in a bucket: ids then compress well
         self.lo, self.hi, self.least = lo[pick][rank], hi[pick][rank], own[pick][rank]
         back = np.empty(len(rank), np.int64)
         back[rank] = np.arange(len(rank))
@@ -133,18 +138,26 @@ class _Chunk:
         self.own = own
 
     def digests(self, chunk: int, n: int):
-        z = zstandard.ZstdCompressor(level=1)
-        for k, i in split_by_bucket((self.lo % np.uint64(n)).astype(np.int64), n):
+        """Messages about candidates, and what the last pass needs of them (for bucket chunk % n)."""
+        z, bucket = zstandard.ZstdCompressor(level=1), (self.lo % np.uint64(n)).astype(np.int64)
+        for k, i in split_by_bucket(bucket, n):
             yield k, chunk, DIGEST, self.lo[i].tobytes(), self.hi[i].astype(np.uint32).tobytes(), z.compress(self.least[i].tobytes())
+        local = self.own > self.least[self.text_of]
+        for kind, x in ((CANDIDATES, np.packbits(self.s.candidate)), (TEXTS, self.text_of.astype(np.int32)), (LOCAL, np.packbits(local)), (COUNTS, np.bincount(bucket, minlength=n))):
+            yield chunk % n, chunk, kind, z.compress(x.tobytes()), b"", b""
 
-    def gone(self, got: dict, n: int) -> np.ndarray:
-        """Mask of the words to remove."""
-        smaller = np.zeros(len(self.lo), bool)
-        for k, i in split_by_bucket((self.lo % np.uint64(n)).astype(np.int64), n):
-            smaller[i] = np.unpackbits(np.frombuffer(got[DIGEST, k], np.uint8), count=len(i)).astype(bool)
-        out = self.at[smaller[self.text_of] | (self.own > self.least[self.text_of])]
-        edge = np.bincount(out, minlength=len(self.w.doc) + 1) - np.bincount(out + self.window, minlength=len(self.w.doc) + 1)[: len(self.w.doc) + 1]
-        return np.cumsum(edge)[:-1] > 0
+
+def removed(w: Words, window: int, got: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask of the words to remove, all windows, the candidates) of a chunk's words by what was kept and replied."""
+    z = zstandard.ZstdDecompressor()
+    read = lambda kind, t: np.frombuffer(z.decompress(got[kind, -1]), t)
+    all_ = windows(w.doc, window)
+    at = all_[np.unpackbits(read(CANDIDATES, np.uint8), count=len(all_)).astype(bool)]
+    counts = read(COUNTS, np.int64).tolist()
+    smaller = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(got[DIGEST, k], np.uint8), count=c) for k, c in enumerate(counts) if c)])
+    out = at[(smaller[read(TEXTS, np.int32)] | np.unpackbits(read(LOCAL, np.uint8), count=len(at))).astype(bool)]
+    edge = np.bincount(out, minlength=len(w.doc) + 1) - np.bincount(out + window, minlength=len(w.doc) + 1)[: len(w.doc) + 1]
+    return np.cumsum(edge)[:-1] > 0, all_, at
 
 
 def _numbers(n: int):
@@ -209,33 +222,33 @@ def earlier_passages(docs: DataFrame, window: int = 13, levels: int = 3, chunk_b
         for row in chunk_rows(batches, [*columns, "replies"]):
             c = _Chunk(row, window)
             c.climb(reply_map(row), levels, n)
-            c.verify()
+            c.verify(n)
             yield to_batch(list(c.digests(row["chunk"], n)), MESSAGE_ARROW)
 
-    ids = answered(with_replies(packed, known).select(*columns, "replies").mapInArrow(tidy(verify), MESSAGE), {DIGEST: _smaller_ids}, n)
+    ids = answered(with_replies(packed, known).select(*columns, "replies").mapInArrow(tidy(verify), MESSAGE), {DIGEST: _smaller_ids}, n, keep=(CANDIDATES, TEXTS, LOCAL, COUNTS))
 
     def finish(batches):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
         take = 7 if with_text else 6
         for row in chunk_rows(batches, [*columns, "replies"]):
-            c, got = _Chunk(row, window), reply_map(row)
-            c.climb(got, levels, n)
-            c.verify()
-            gone = c.gone(got, n)
-            keep = np.repeat(~gone, c.w.length + 1)
-            edge = np.searchsorted(c.w.doc, np.arange(len(c.ids) + 1))
-            place = np.append(c.w.at, len(c.w.bytes))[edge]
-            counts = [np.bincount(c.w.doc[at], minlength=len(c.ids)).tolist() for at in (c.at, c.s.window)]
+            own, null, offs, data = unpack(row)
+            w = Words(data, offs)
+            gone, all_, candidates = removed(w, window, reply_map(row))
+            counts = [np.bincount(w.doc[at], minlength=len(own)).tolist() for at in (candidates, all_)]
+            keep = np.repeat(~gone, w.length + 1)
+            edge = np.searchsorted(w.doc, np.arange(len(own) + 1))
+            place = np.append(w.at, len(w.bytes))[edge]
             cols: list[list] = [[] for _ in range(7)]
-            for i in range(len(c.ids)):
+            for i in range(len(own)):
                 cut = gone[edge[i] : edge[i + 1]]
-                kept = c.w.bytes[place[i] : place[i + 1]][keep[place[i] : place[i + 1]]].tobytes()[:-1]
+                kept = w.bytes[place[i] : place[i + 1]]
+                kept = (kept[keep[place[i] : place[i + 1]]] if cut.any() else kept).tobytes()[:-1]
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], cut.view(np.int8), [0]))))
                 spans = [{"start": x, "length": y - x} for x, y in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
                 for col, v in zip(cols, (len(cut), int(cut.sum()), hashlib.sha256(kept).hexdigest(), counts[0][i], counts[1][i], spans, kept.decode() if with_text else None), strict=True):
                     col.append(v)
-            names_ = ["n_words", "n_removed", "kept_sha256", "n_candidates", "n_windows", "spans", "kept_text"]
-            yield pa.RecordBatch.from_arrays([ids_out(c.ids, c.id_null), *(pa.array(x, k) for x, k in zip(cols[:take], kinds[:take], strict=True))], names=["doc_id", *names_[:take]])
+            names = ["n_words", "n_removed", "kept_sha256", "n_candidates", "n_windows", "spans", "kept_text"]
+            yield pa.RecordBatch.from_arrays([ids_out(own, null), *(pa.array(x, k) for x, k in zip(cols[:take], kinds[:take], strict=True))], names=["doc_id", *names[:take]])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_candidates long, n_windows long, spans array<struct<start:long,length:long>>" + ", kept_text string" * with_text
-    return with_replies(packed, known.unionAll(ids)).select(*columns, "replies").mapInArrow(tidy(finish), schema)
+    return with_replies(packed, ids).select(*columns, "replies").mapInArrow(tidy(finish), schema)
