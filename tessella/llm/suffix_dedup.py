@@ -12,8 +12,8 @@ whole texts.
 3. Suffix arrays. The candidates of a shard are sorted by Larsson-Sadakane refinement in numpy (ranks by 8 bytes, doubled
    until the order is settled to the window's length), and Kasai's recurrence, run in lockstep over blocks of windows,
    gives the common prefixes of neighbours. That finds the repeats inside the shard.
-4. Merge. Each shard deals its different windows, as sorted 96-bit digests, to buckets of digests; there the shards'
-   lists are merged two by two by binary search, and each shard learns which of its windows others hold as well. (The
+4. Merge. Each shard deals its different windows, as sorted 96-bit digests, to buckets of digests; there the
+   lists are merged, each shard's is found in the merged one by binary search, and each shard learns which of its windows others hold as well. (The
    lists of whole segments under 2 are merged likewise, by sorting.)
 
 ``law`` "all" marks every such string; "first" leaves its first occurrence (least doc_id, then least place in the input,
@@ -194,10 +194,10 @@ def shared_windows(text: np.ndarray, lens: np.ndarray, window: int) -> tuple[np.
     nth[order] = np.arange(len(order))
     words = np.concatenate((word, np.zeros(window + 8, np.uint64)))
     starts = lens - window + 1  # of a run; blocks of them go in lockstep
-    blocks = -(-starts // 256)
+    blocks = -(-starts // 64)
     nth_block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    first = np.repeat(begin, blocks) + 256 * nth_block
-    lcp = common_prefixes(words, before, nth, first, np.minimum(256, np.repeat(starts, blocks) - 256 * nth_block), window)
+    first = np.repeat(begin, blocks) + 64 * nth_block
+    lcp = common_prefixes(words, before, nth, first, np.minimum(64, np.repeat(starts, blocks) - 64 * nth_block), window)
     same = lcp[order] >= window
     repeated = np.zeros(len(text), bool)
     repeated[order] = same | np.append(same[1:], False)
@@ -341,33 +341,19 @@ def _about_digests(half):
     return reducer
 
 
-class Windows:
-    """Sorted keys of windows with the number of shards that hold each and the first of them."""
-
-    def __init__(self, key, tag, shards, ids, chunk):
-        self.columns = key, tag, shards, ids, chunk
-
-    def merge(self, other: Windows) -> Windows:
-        """Both, by binary search of the smaller one's keys in the larger one."""
-        big, small = (self, other) if len(self.columns[0]) >= len(other.columns[0]) else (other, self)
-        at = np.searchsorted(big.columns[0], small.columns[0])
-        hit = np.flatnonzero(big.columns[0][np.minimum(at, len(big.columns[0]) - 1)] == small.columns[0])
-        to = at[hit]
-        if (big.columns[1][to] != small.columns[1][hit]).any():
-            raise ValueError("equal keys of different windows")
-        _, _, shards, ids, chunk = big.columns
-        shards[to] += small.columns[2][hit]
-        before = (small.columns[3][hit] < ids[to]) | ((small.columns[3][hit] == ids[to]) & (small.columns[4][hit] < chunk[to]))
-        ids[to[before]], chunk[to[before]] = small.columns[3][hit[before]], small.columns[4][hit[before]]
-        new = np.setdiff1d(np.arange(len(at)), hit, assume_unique=True)
-        return Windows(*(np.insert(x, at[new], y[new]) for x, y in zip(big.columns, small.columns, strict=True)))
-
-
-def merge_lists(lists: list[Windows]) -> Windows:
-    while len(lists) > 1:
-        lists = sorted(lists, key=lambda w: len(w.columns[0]))
-        lists = [x.merge(y) for x, y in zip(lists[::2], lists[1::2], strict=False)] + lists[len(lists) // 2 * 2 :]
-    return lists[0]
+def merge_lists(keys: list[np.ndarray], ids: list[np.ndarray], chunks: list[int]):
+    """(merged keys, shards that hold each, least (id, chunk) of them, places of each list): by binary search of each
+    shard's sorted list in the merged one."""
+    merged = np.unique(np.concatenate(keys))
+    shards, least, chunk = np.zeros(len(merged), np.int32), np.full(len(merged), np.iinfo(np.int64).max), np.full(len(merged), np.iinfo(np.int64).max)
+    places = []
+    for k, i, c in zip(keys, ids, chunks, strict=True):
+        at = np.searchsorted(merged, k)
+        shards[at] += 1  # a shard has each key once
+        before = (i < least[at]) | ((i == least[at]) & (c < chunk[at]))
+        least[at[before]], chunk[at[before]] = i[before], c
+        places.append(at)
+    return merged, shards, least, chunk, places
 
 
 def _about_windows(law: str):
@@ -377,19 +363,16 @@ def _about_windows(law: str):
         z = zstandard.ZstdDecompressor()
         keys, tags = ([np.frombuffer(r[c], t) for r in rows] for c, t in (("p1", np.uint64), ("p2", np.uint32)))
         ids = [np.frombuffer(z.decompress(r["p3"]), np.int64) if law == "first" else np.zeros(len(k), np.int64) for r, k in zip(rows, keys, strict=True)]
-        lists = lambda: [Windows(k, t, np.ones(len(k), np.int32), i.copy(), np.full(len(k), r["chunk"])) for k, t, i, r in zip(keys, tags, ids, rows, strict=True)]
-        try:
-            all_ = merge_lists(lists())
-        except ValueError:  # two windows share 64 bits: number the 96-bit digests instead
+        chunks = [r["chunk"] for r in rows]
+        merged, shards, least, chunk, places = merge_lists(keys, ids, chunks)
+        tag = np.zeros(len(merged), np.uint32)
+        for t, at in zip(tags, places, strict=True):
+            tag[at] = t
+        if any((tag[at] != t).any() or len(at) != len(np.unique(at)) for t, at in zip(tags, places, strict=True)):  # two windows share 64 bits: number the 96-bit digests instead
             both = np.concatenate([np.rec.fromarrays((k, t)) for k, t in zip(keys, tags, strict=True)])
             keys = np.split(np.unique(both, return_inverse=True)[1].astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1])
-            all_ = merge_lists(lists())
-        key, _, shards, least, chunk = all_.columns
-        out = []
-        for k, i, r in zip(keys, ids, rows, strict=True):
-            at = np.searchsorted(key, k)
-            out.append(np.packbits(shards[at] > 1 if law == "all" else (least[at] != i) | (chunk[at] != r["chunk"])).tobytes())
-        return out
+            merged, shards, least, chunk, places = merge_lists(keys, ids, chunks)
+        return [np.packbits(shards[at] > 1 if law == "all" else (least[at] != i) | (chunk[at] != c)).tobytes() for at, i, c in zip(places, ids, chunks, strict=True)]
 
     return reducer
 

@@ -632,13 +632,21 @@ def test_repeats_but_the_first(spark, docs, texts, empty, chunk_bytes):
 def test_merge_of_sorted_lists():
     rng = np.random.default_rng(4)
     keys = [np.unique(rng.integers(0, 300, m).astype(np.uint64)) for m in (0, 1, 50, 90, 200, 7)]
-    lists = [suffix_dedup.Windows(k, (k % np.uint64(7)).astype(np.uint32), np.ones(len(k), np.int32), rng.integers(0, 5, len(k)), np.full(len(k), c)) for c, k in enumerate(keys)]
-    held = [[tuple(x) for x in zip(*(c.tolist() for c in w.columns), strict=True)] for w in lists]
-    got = suffix_dedup.merge_lists(lists).columns
+    ids = [rng.integers(0, 5, len(k)) for k in keys]
+    merged, shards, least, chunk, places = suffix_dedup.merge_lists(keys, ids, list(range(6)))
     by = {}
-    for e in (e for w in held for e in w):
-        by.setdefault(e[0], []).append(e[3:])
-    assert list(zip(*(c.tolist() for c in got), strict=True)) == [(k, k % 7, len(v), *min(v)) for k, v in sorted(by.items())]
+    for c, (k, i) in enumerate(zip(keys, ids, strict=True)):
+        for x, y in zip(k.tolist(), i.tolist(), strict=True):
+            by.setdefault(x, []).append((y, c))
+    assert list(zip(merged.tolist(), shards.tolist(), least.tolist(), chunk.tolist(), strict=True)) == [(k, len(v), *min(v)) for k, v in sorted(by.items())]
+    assert all((merged[at] == k).all() for at, k in zip(places, keys, strict=True))
+
+
+def test_windows_that_share_half_a_digest():
+    """Equal 64 bits of different windows don't pass for one window, across shards or inside one."""
+    row = lambda chunk, pairs: {"chunk": chunk, "p1": np.array([k for k, _ in pairs], np.uint64).tobytes(), "p2": np.array([t for _, t in pairs], np.uint32).tobytes(), "p3": b""}
+    said = suffix_dedup._about_windows("all")([row(1, [(5, 1), (7, 1)]), row(2, [(5, 2), (7, 1)]), row(3, [(5, 1), (5, 3)])])
+    assert [np.unpackbits(np.frombuffer(x, np.uint8), count=2).tolist() for x in said] == [[1, 1], [0, 1], [1, 0]]
 
 
 def test_suffix_array_and_prefixes():
