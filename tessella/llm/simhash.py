@@ -12,9 +12,10 @@ words, of which 20 blocks of 24 bits are the keys. Two texts link if they share
 word bits, and likely far beyond) and their shingle bits differ in at most ``distance`` places.
 
 Entries (key, node, bits) go through one exchange as packed rows, a row for each task and bucket of keys, behind rows
-that count them. A bucket is linked in one task if it holds at most ``group_rows`` entries; a larger one, be it one hot
-key, is cut into parts on the way, and each two parts meet in a task of their own. Tasks hand on spanning forests of
-the links they found, never pairs. Equal fingerprints are one node from the start.
+that count them. A bucket is linked in one task if it holds at most ``group_rows`` entries (more where a task would have
+over 64 buckets); a larger one, be it one hot key, is cut into parts on the way, and each two parts meet in a task of
+their own. Tasks hand on spanning forests of the links they found, never pairs. Equal fingerprints are one node from the
+start.
 
 Defined cases: null or empty text: no words, fingerprint zero, linked like any other; fewer words than a shingle: the
 whole sequence is the one shingle; very long texts: read whole, one at a time; ties: at exactly ``distance`` bits a pair
@@ -163,12 +164,14 @@ BOTH, LEFT, RIGHT, EDGE = 0, 1, 2, 9  # of found rows: entries of a block by sid
 def _forest(nodes: DataFrame, entries_of, keys: int, words: int, distance: int, group_rows: int) -> DataFrame:
     """(u, v): links of nodes. entries_of(batch) gives (keys [m, keys], node [m], bits [m, words]) of the batch's rows."""
     n = partitions(nodes.sparkSession)
-    buckets = max(1, -(-nodes.count() * keys // (group_rows // 2)))  # half full, but for hot keys; a task has several
+    entries = nodes.count() * keys
+    room = max(group_rows, entries // (32 * n))  # entries that a task links at once; at most some 64 buckets a task
+    buckets = max(1, -(-entries // (room // 2)))  # half full, but for hot keys
     entry = np.dtype([("key", "<u8"), ("node", "<i8"), ("bits", "<u8", (words,))])
 
     def deal(batches):
         count = np.zeros(buckets, np.int64)
-        for b in joined(batches, max(4096, buckets)):  # rows to a bucket stay long, however many there are
+        for b in joined(batches, max(4096, min(buckets, 32768))):  # rows to a bucket stay long, however many there are
             keys, node, bits = entries_of(b)
             bucket = (keys % np.uint64(buckets)).astype(np.int64).ravel()
             count += np.bincount(bucket, minlength=buckets)
@@ -199,7 +202,7 @@ def _forest(nodes: DataFrame, entries_of, keys: int, words: int, distance: int,
                 at, total, held = r["bucket"], 0, []
             if r["kind"] == COUNT:  # sorted before the entries
                 total += r["n"]
-                parts = -(-total // group_rows)
+                parts = -(-total // room)
             elif parts == 1:
                 held.append(r["entries"])
             else:  # too many for a task: every two parts meet elsewhere
