@@ -198,7 +198,8 @@ d0 AS MATERIALIZED (SELECT ep, a, b, d FROM ep0 JOIN walk USING (g))""",
         n = k + 1
         out.append(f""",
 s{k} AS MATERIALIZED (SELECT ep, patch, count(*) AS size FROM h{k} GROUP BY ALL),
-i{k} AS MATERIALIZED (SELECT ep, sum(t ORDER BY d) AS s FROM (SELECT d{k}.ep, d, sum(p.size * q.size)::DOUBLE / (1 + d) AS t FROM d{k} JOIN s{k} p ON p.ep = d{k}.ep AND p.patch = a JOIN s{k} q ON q.ep = d{k}.ep AND q.patch = b GROUP BY d{k}.ep, d) GROUP BY ep),
+y{k} AS MATERIALIZED (SELECT d{k}.ep, d AS hop, sum(p.size * q.size) AS w FROM d{k} JOIN s{k} p ON p.ep = d{k}.ep AND p.patch = a JOIN s{k} q ON q.ep = d{k}.ep AND q.patch = b GROUP BY d{k}.ep, d),
+i{k} AS MATERIALIZED (SELECT ep, sum(w::DOUBLE / (1 + hop) ORDER BY hop) AS s FROM y{k} GROUP BY ep),
 c{k} AS MATERIALIZED (SELECT e.ep, e.method, l.cell AS c, CASE l.code WHEN 13 THEN p1 ELSE p2 END AS cost FROM e{k} e JOIN land l ON l.g = e.g AND l.restorable LEFT JOIN h{k} h ON h.ep = e.ep AND h.cell = l.cell
          WHERE h.cell IS NULL AND (CASE l.code WHEN 13 THEN p1 ELSE p2 END) <= e.budget - e.spent AND EXISTS (SELECT 1 FROM adj JOIN h{k} x ON x.ep = e.ep AND x.cell = adj.b WHERE adj.g = e.g AND adj.a = l.cell)),
 b{k} AS MATERIALIZED (SELECT DISTINCT c.ep, c.c, h.patch FROM c{k} c JOIN e{k} e ON e.ep = c.ep JOIN adj ON adj.g = e.g AND adj.a = c.c JOIN h{k} h ON h.ep = c.ep AND h.cell = adj.b),
@@ -209,14 +210,17 @@ u{k} AS MATERIALIZED (SELECT v.ep, v.c, v.q, v.u FROM (SELECT n.ep, n.c, d.b AS
          JOIN d{k} d ON d.ep = n.ep AND d.a = n.patch LEFT JOIN b{k} b ON b.ep = n.ep AND b.c = n.c AND b.patch = n.patch GROUP BY n.ep, n.c, d.b) v
          LEFT JOIN b{k} b ON b.ep = v.ep AND b.c = v.c AND b.patch = v.q WHERE b.patch IS NULL),
 a{k} AS MATERIALIZED (SELECT b.ep, b.c, 1 + sum(size) AS size FROM b{k} b JOIN s{k} s ON s.ep = b.ep AND s.patch = b.patch GROUP BY ALL),
+x{k} AS MATERIALIZED (SELECT n.ep, n.c FROM n{k} n JOIN k{k} k ON k.ep = n.ep AND k.c = n.c AND k.one = n.c JOIN b{k} b ON b.ep = n.ep AND b.c = n.c LEFT JOIN d{k} d ON d.ep = n.ep AND d.a = b.patch AND d.b = n.patch WHERE d.d IS NULL OR d.d > 1
+      UNION SELECT ep, c FROM b{k} GROUP BY ep, c HAVING count(*) > 1),
 t{k} AS MATERIALIZED (
   SELECT a.ep, a.c, 0 AS hop, a.size * a.size AS w FROM a{k} a JOIN k{k} k ON k.ep = a.ep AND k.one = a.c AND k.c = a.c
   UNION ALL SELECT u.ep, u.c, u.u, 2 * a.size * s.size FROM u{k} u JOIN a{k} a ON a.ep = u.ep AND a.c = u.c JOIN s{k} s ON s.ep = u.ep AND s.patch = u.q
-  UNION ALL SELECT k.ep, k.c, d.d, p.size * q.size FROM k{k} k JOIN d{k} d ON d.ep = k.ep JOIN s{k} p ON p.ep = d.ep AND p.patch = d.a JOIN s{k} q ON q.ep = d.ep AND q.patch = d.b
-            LEFT JOIN b{k} x ON x.ep = k.ep AND x.c = k.c AND x.patch = d.a LEFT JOIN b{k} y ON y.ep = k.ep AND y.c = k.c AND y.patch = d.b WHERE k.c = k.one AND x.patch IS NULL AND y.patch IS NULL
-  UNION ALL SELECT z.ep, z.c, h, z.w FROM (SELECT v.ep, v.c, v.u + w.u AS h, d.d, p.size * q.size AS w FROM u{k} v JOIN u{k} w ON w.ep = v.ep AND w.c = v.c AND w.q <> v.q
+  UNION ALL SELECT k.ep, k.c, y.hop, y.w FROM k{k} k JOIN y{k} y ON y.ep = k.ep WHERE k.c = k.one
+  UNION ALL SELECT b.ep, b.c, d.d, -CASE WHEN o.patch IS NULL THEN 2 ELSE 1 END * p.size * q.size FROM b{k} b JOIN k{k} k ON k.ep = b.ep AND k.c = b.c AND k.one = b.c JOIN d{k} d ON d.ep = b.ep AND d.a = b.patch
+            JOIN s{k} p ON p.ep = d.ep AND p.patch = d.a JOIN s{k} q ON q.ep = d.ep AND q.patch = d.b LEFT JOIN b{k} o ON o.ep = b.ep AND o.c = b.c AND o.patch = d.b
+  UNION ALL SELECT z.ep, z.c, h, z.w FROM (SELECT v.ep, v.c, v.u + w.u AS h, d.d, p.size * q.size AS w FROM x{k} JOIN u{k} v ON v.ep = x{k}.ep AND v.c = x{k}.c JOIN u{k} w ON w.ep = v.ep AND w.c = v.c AND w.q <> v.q
             JOIN s{k} p ON p.ep = v.ep AND p.patch = v.q JOIN s{k} q ON q.ep = v.ep AND q.patch = w.q LEFT JOIN d{k} d ON d.ep = v.ep AND d.a = v.q AND d.b = w.q WHERE d.d IS NULL OR v.u + w.u < d.d) z
-  UNION ALL SELECT v.ep, v.c, d.d, -p.size * q.size FROM u{k} v JOIN u{k} w ON w.ep = v.ep AND w.c = v.c AND w.q <> v.q
+  UNION ALL SELECT v.ep, v.c, d.d, -p.size * q.size FROM x{k} JOIN u{k} v ON v.ep = x{k}.ep AND v.c = x{k}.c JOIN u{k} w ON w.ep = v.ep AND w.c = v.c AND w.q <> v.q
             JOIN s{k} p ON p.ep = v.ep AND p.patch = v.q JOIN s{k} q ON q.ep = v.ep AND q.patch = w.q JOIN d{k} d ON d.ep = v.ep AND d.a = v.q AND d.b = w.q WHERE v.u + w.u < d.d),
 g{k} AS MATERIALIZED (SELECT c.ep, c.c, c.cost, CASE c.method WHEN 'naive' THEN gain ELSE round(gain / c.cost, 12) END AS score
          FROM (SELECT v.ep, v.c, round(v.s / f.area - i.s / f.area, 12) AS gain FROM (SELECT ep, c, sum(t ORDER BY hop) AS s FROM (SELECT ep, c, hop, sum(w)::DOUBLE / (1 + hop) AS t FROM t{k} GROUP BY ep, c, hop) GROUP BY ep, c) v
