@@ -197,6 +197,11 @@ def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), PACKED + ", rest binary" * bool(more))
 
 
+def chunk_size(n: int, least: int = 1 << 20) -> int:
+    """Bytes of a chunk for n buckets: at least 2 KB for each, so that what a chunk says to a bucket stays worth a row."""
+    return max(least, 2048 * n)
+
+
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, null mask of ids, offsets of n + 1, bytes) of a packed chunk."""
     lens = np.frombuffer(row["lens"], np.int64)

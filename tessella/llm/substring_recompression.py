@@ -30,7 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import MESSAGE, MESSAGE_ARROW, Words, answered, chunk_rows, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
+from .common import MESSAGE, MESSAGE_ARROW, Words, answered, chunk_rows, chunk_size, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
 
 _RUN, _LEFT, _RIGHT, _LEVEL = (np.uint64(x) for x in np.random.default_rng(23).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1))
 DIGEST, CANDIDATES, TEXTS, LOCAL, COUNTS = 0, -1, -2, -3, -4  # kinds of messages about windows and of what a chunk keeps; those about names have their level
@@ -194,14 +194,14 @@ def _smaller_ids(rows: list[dict]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def earlier_passages(docs: DataFrame, window: int = 13, levels: int = 3, chunk_bytes: int = 1 << 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def earlier_passages(docs: DataFrame, window: int = 13, levels: int = 3, chunk_bytes: int | None = None, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, n_candidates, n_windows, spans[, kept_text]) of every row; spans count words.
 
     n_windows, n_candidates: the windows of the document, and those that the shared symbols of all levels leave.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    packed = shared_table(pack(plain(docs, id_col, text_col), chunk_bytes), "packed", (n, "chunk"))
+    packed = shared_table(pack(plain(docs, id_col, text_col), chunk_bytes or chunk_size(n)), "packed", (n, "chunk"))
     columns = ["chunk", "ids", "id_null", "lens", "blob"]
 
     def name_round(level: int):

@@ -19,8 +19,8 @@ whole texts.
 ``law`` "all" marks every such string; "first" leaves its first occurrence (least doc_id, then least place in the input,
 then least place in the text) and marks those that start behind it and don't overlap it.
 
-Messages go out once per shard, so copies, however many, are summed before an exchange. Chunk size and the number of
-buckets (spark.sql.shuffle.partitions) set the number of messages.
+Messages go out once per shard, so copies, however many, are summed before an exchange. A shard has 1 MB, and more where
+there are over 512 buckets (spark.sql.shuffle.partitions), so that the rows of messages follow the data alone.
 
 Defined cases: null or empty text: 0 bytes, nothing removed, the digest of no bytes; texts under ``window`` bytes:
 nothing removed; a text longer than ``chunk_bytes``: a shard of its own, in one task, some 100 bytes of memory for each
@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MESSAGE, MESSAGE_ARROW, answered, bits_of, chunk_rows, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_names, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
+from .common import MESSAGE, MESSAGE_ARROW, answered, bits_of, chunk_rows, chunk_size, ids_out, mix, name_messages, pack, partitions, plain, reply_map, shared_names, shared_table, split_by_bucket, tidy, to_batch, unpack, with_replies
 
 _TABLES = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _STEPS = np.random.default_rng(12).integers(1, 2**63, (2, 64), dtype=np.uint64) | np.uint64(1)
@@ -377,7 +377,7 @@ def _about_windows(law: str):
     return reducer
 
 
-def repeats(docs: DataFrame, window: int = 200, gram: int = 32, law: str = "all", chunk_bytes: int = 1 << 20, with_text: bool = False, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = 200, gram: int = 32, law: str = "all", chunk_bytes: int | None = None, with_text: bool = False, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, by_copy, by_shard, by_merge, spans[, kept_text], *keep) of every row.
 
     by_copy, by_shard, by_merge: the removed bytes that copies show, of the others those that the shard's own suffix array
@@ -388,7 +388,7 @@ def repeats(docs: DataFrame, window: int = 200, gram: int = 32, law: str = "all"
         raise ValueError("law is all or first")
     spark = docs.sparkSession
     n = partitions(spark)
-    packed = shared_table(pack(plain(docs, id_col, text_col, keep), chunk_bytes), "packed", (n, "chunk"))
+    packed = shared_table(pack(plain(docs, id_col, text_col, keep), chunk_bytes or chunk_size(n)), "packed", (n, "chunk"))
     columns = ["chunk", "ids", "id_null", "lens", "blob"]
 
     def tell_texts(batches):
