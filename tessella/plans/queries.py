@@ -273,10 +273,14 @@ def window_topk(spark, sf):
 # --- scenarios -----------------------------------------------------------------------------------------------------
 
 
+def _each(values) -> F.Column:
+    """A row per value: cross products of settings stay in one task, where joins would multiply the partitions."""
+    return F.explode(F.array(*map(F.lit, values)))
+
+
 @query
 def scenario_grid(spark, sf):
-    cost = spark.createDataFrame([(k,) for k in COST_SCENARIOS], "cost_scenario string")
-    return cost.join(spark.createDataFrame([(b,) for b in BUDGETS], "budget int"))
+    return spark.range(1, numPartitions=1).select(_each(COST_SCENARIOS).alias("cost_scenario")).select("cost_scenario", _each(BUDGETS).alias("budget"))
 
 
 @query
@@ -289,7 +293,7 @@ def scenario_cost_merge(spark, sf):
 
 @query
 def run_slugs(spark, sf):
-    grid = scenario_grid(spark, sf).join(spark.createDataFrame([(x,) for x in LAND_SCENARIOS], "land_scenario string")).join(spark.createDataFrame([("default",), ("s2-tuned",)], "rl_preset string"))
+    grid = scenario_grid(spark, sf).select("*", _each(LAND_SCENARIOS).alias("land_scenario")).select("*", _each(("default", "s2-tuned")).alias("rl_preset"))
     slug = run_slug(F.lit("maskableppo"), F.col("land_scenario"), F.col("rl_preset"), F.col("cost_scenario"), F.col("budget"), F.lit(50000), F.lit(0))
     return grid.select("cost_scenario", "budget", "land_scenario", "rl_preset", slug.alias("run_name"))
 

@@ -115,3 +115,7 @@ def test_episodes_plan_the_whole_raster(spark):
     rows = QUERIES["episode_rollout"](spark, sf).collect()
     assert {round(r.iic_initial, 10) for r in rows} == {QUERIES["raster_audit"](spark, sf).first().iic}
     assert sum(r.method == "random" for r in rows) == 20 and max(r.cost for r in rows) == 20
+
+
+def test_settings_are_crossed_in_one_task(spark, small):
+    assert QUERIES["run_slugs"](spark, small).rdd.getNumPartitions() == 1
