@@ -306,3 +306,15 @@ def test_random_episodes_work_out_no_gains(monkeypatch):
     grid = CODES[np.random.default_rng(6).choice(6, (20, 20), p=[0.2, 0.05, 0.25, 0.2, 0.2, 0.1])]
     assert planning.run_episode(planning.Grid(grid, COSTS, 20, 5.0), "random", 1)["n_planted"] > 5
     assert len(calls) == 2  # the first and the last state
+
+
+def test_episodes_that_share_a_start_are_those_alone(monkeypatch):
+    grid = CODES[np.random.default_rng(7).choice(6, (14, 14), p=[0.2, 0.05, 0.25, 0.2, 0.2, 0.1])]
+    alone = [planning.run_episode(planning.Grid(grid, COSTS, b, 3.0), "cost", 0) for b in (6, 9)]
+    first = planning.Grid(grid, COSTS, 6, 3.0)
+    one = planning.run_episode(first, "cost", 0)
+    calls = len(first._seen)
+    second = planning.Grid(grid, COSTS, 9, 3.0)
+    second.share(first)
+    assert [one, planning.run_episode(second, "cost", 0)] == alone
+    assert calls and second._seen is first._seen
