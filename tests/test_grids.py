@@ -331,3 +331,25 @@ def test_searches_are_dealt_by_blocks(spark):
     assert sorted(i for r in shares for i in r.own) == list(range(n)) and len(shares) == -(-n // block)
     assert {r.hop: r.s for r in graph.hop_products(areas, edges, block=block).collect()} == want
     assert graph.hop_distances(areas, edges, block=block).where("abs(src - dst) = 10 * hop").count() == n * n
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([2.0, 5.0]), st.booleans())
+def test_best_cell_is_that_of_all_gains(seed, r, per_cost):
+    """Cells are ruled out by a bound only: the choice is that of scoring every cell, before and after a cell is planted."""
+    g = planning.Grid(CODES[np.random.default_rng(seed).choice(6, (18, 18), p=[0.12, 0.03, 0.3, 0.25, 0.2, 0.1])], COSTS, 20, r)
+    for _ in range(2):
+        if not len(cells := g.valid()):
+            return
+        scores = [round(a / b, 12) if per_cost else a for a, b in map(g.gain, cells.tolist())]
+        assert g.best(cells, per_cost) == planning._best(scores, cells)
+        g.act(int(cells[0]))
+        assert g.iic == pytest.approx(planning.iic_of(g.habitat, g.area, r), rel=1e-13)
+
+
+def test_few_cells_are_worked_out(monkeypatch):
+    g = planning.Grid(CODES[np.random.default_rng(3).choice(6, (60, 60), p=[0.12, 0.03, 0.3, 0.25, 0.2, 0.1])], COSTS, 20, 3.0)
+    calls, own = [], planning.Grid._sums_with
+    monkeypatch.setattr(planning.Grid, "_sums_with", lambda *a: calls.append(1) or own(*a))
+    assert planning.policy_naive(g) in g.valid()
+    assert 0 < len(calls) < len(g.valid()) / 4
