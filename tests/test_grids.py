@@ -353,3 +353,49 @@ def test_few_cells_are_worked_out(monkeypatch):
     monkeypatch.setattr(planning.Grid, "_sums_with", lambda *a: calls.append(1) or own(*a))
     assert planning.policy_naive(g) in g.valid()
     assert 0 < len(calls) < len(g.valid()) / 4
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_hops_by_elimination(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    a, b = rng.integers(0, n, (2, int(rng.integers(0, 2 * n))))
+    ways = graph.Ways(n, a, b)
+    got = ways.hops(ways.place)
+    assert np.array_equal(got[ways.place], graph.hop_matrix(n, a, b))
+    sizes = rng.integers(1, 5, n)
+    by = np.empty(n, np.int64)
+    by[ways.place] = sizes
+    sums = graph.hop_sums(a, b, sizes)
+    assert graph.sums_between(ways.hops(np.arange(n)), by, by, len(sums), held=50).tolist() == sums
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([1.0, 2.0, 3.0, 5.0]))
+def test_sums_of_states_by_shares(seed, r):
+    rng = np.random.default_rng(seed)
+    g = planning.Grid(rng.choice([5, 13, 21, 31], rng.integers(5, 24, 2), p=[0.15, 0.2, 0.2, 0.45]), COSTS, 12, r)
+    if not len(g._first[0]):
+        return
+    ends = {}
+    for k in range(4):
+        for g.budget in (6.0, 12.0):
+            e = planning.run_episode(g, "random", k)
+            ends[tuple(e["plant_order"])] = g.iic
+            assert sorted(g.sizes()) == sorted(np.bincount(planning.patches_of(g.habitat)[0]))
+            assert np.array_equal(g.frontier, g._open())
+    ends[()] = g.first_iic
+    parts = [planning.state_sums(g, list(ends), k, 3, block=7) for k in range(3)]
+    for order, iic in ends.items():
+        sums = [sum(int(p[order][h]) for p in parts if h < len(p[order])) for h in range(max(len(p[order]) for p in parts))]
+        assert abs(planning.fold(sums, g.area) - iic) < 1e-15
+
+
+def test_random_episodes_of_many_patches(spark):
+    rng = np.random.default_rng(5)
+    c = frame(spark, *(rng.choice([5, 13, 21, 31], (18, 20), p=[0.15, 0.2, 0.2, 0.45]) for _ in range(2)))
+    rows = [(f"1:2|{b:g}", m, s, b, 3.0, list(RESTORABLE), {k: float(v) for k, v in COSTS.items()}) for b in (4.0, 8.0) for m, s in (("random", 0), ("random", 1), ("naive", 0))]
+    configs = spark.createDataFrame(rows, planning._CONFIG)
+    held, shared = (sorted(planning.episodes(c, configs, **own).collect(), key=str) for own in ({}, {"most": 0}))
+    assert len(held) == 12 and held == shared
