@@ -399,3 +399,20 @@ def test_random_episodes_of_many_patches(spark):
     configs = spark.createDataFrame(rows, planning._CONFIG)
     held, shared = (sorted(planning.episodes(c, configs, **own).collect(), key=str) for own in ({}, {"most": 0}))
     assert len(held) == 12 and held == shared
+
+
+@pytest.mark.parametrize("method", ["naive", "cost", "bridge"])
+def test_greedy_episodes_of_many_patches(monkeypatch, method):
+    """Without a matrix of hops, and without an IIC for each of the cells."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        c = rng.choice([5, 13, 21, 31], rng.integers(5, 22, 2), p=[0.15, 0.25, 0.2, 0.4])
+        got = []
+        for most in (planning.MOST_MATRIX, 0):
+            with monkeypatch.context() as m:
+                m.setattr(planning, "MOST_MATRIX", most)
+                if not most and method != "bridge":
+                    m.setattr(planning.Grid, "gain", None)
+                e = planning.run_episode(planning.Grid(c, COSTS, 8, [2.0, 3.0, 5.0][seed % 3]), method, 0)
+                got.append({k: round(v, 13) if k.startswith("iic") else v for k, v in e.items()})
+        assert got[0] == got[1]
